@@ -1,4 +1,4 @@
-"""What the corpus operators share: tables, words, hashes and Arrow plumbing.
+"""What the corpus operators share: tables, words, hashes and checkpoints.
 
 A word is a run of characters other than space, tab, line feed, vertical tab,
 form feed and carriage return. ``bytes.split()`` cuts UTF-8 at exactly these
@@ -8,10 +8,7 @@ vectorised.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,17 +73,6 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
         return mix64(out)
 
 
-def map_arrow(df: DataFrame, columns: list[Column], schema: str, rows: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
-    """``mapInArrow`` over the given columns; ``rows()`` makes the per-task function on the worker."""
-
-    def run(batches):
-        each = rows()
-        for batch in batches:
-            yield from each(batch)
-
-    return df.select(*columns).mapInArrow(run, schema)
-
-
 def shared_folder(spark: SparkSession, local: str = "/tmp/ledgerloom-checkpoints") -> str:
     """The folder that all executors share; the setting is only filled in where it is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

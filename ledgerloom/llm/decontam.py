@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import arrow_map
 from .common import MIX, U64, mix64, words_of
 
 # Masks; 1 compares the word, 0 ignores it.
@@ -196,8 +197,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedP
                     ["doc_id", "item_id", "start", "end", "n_different"],
                 )
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, item_id {item_kind}, start int, end int, n_different int"
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).transform(
+        arrow_map, run, f"doc_id {kind}, item_id {item_kind}, start int, end int, n_different int"
     )
 
 
@@ -226,8 +227,8 @@ def _find_by_shuffle(docs: DataFrame, items: DataFrame, params: SeedParams, key:
         return run
 
     d = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    left = d.mapInArrow(hashes(False), f"id {kind}, h bigint, p int").withColumnRenamed("id", "doc_id")
-    right = items.select("item_id", "text").mapInArrow(hashes(True), f"id {item_kind}, h bigint, p int").select(F.col("id").alias("item_id"), "h", F.col("p").alias("q"))
+    left = d.transform(arrow_map, hashes(False), f"id {kind}, h bigint, p int").withColumnRenamed("id", "doc_id")
+    right = items.select("item_id", "text").transform(arrow_map, hashes(True), f"id {item_kind}, h bigint, p int").select(F.col("id").alias("item_id"), "h", F.col("p").alias("q"))
     hits = left.join(right, "h").select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("diagonal")).distinct()
     both = (
         hits.groupBy("doc_id", "item_id").agg(F.collect_set("diagonal").alias("diagonals"))
@@ -250,4 +251,4 @@ def _find_by_shuffle(docs: DataFrame, items: DataFrame, params: SeedParams, key:
                 take, c = pa.array(at), list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *[pa.array(x, pa.int32()) for x in c]], ["doc_id", "item_id", "start", "end", "n_different"])
 
-    return both.mapInArrow(verify, f"doc_id {kind}, item_id {item_kind}, start int, end int, n_different int")
+    return both.transform(arrow_map, verify, f"doc_id {kind}, item_id {item_kind}, start int, end int, n_different int")

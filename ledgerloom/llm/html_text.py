@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import arrow_map
+
 # HTML's tag classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -306,6 +308,6 @@ def extract(pages: DataFrame, tree: Tree | None = None, key: str = "page_id", ur
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
-    return pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")).mapInArrow(
-        run, f"page_id {kind}, url string, text string, n_chars bigint"
+    return pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")).transform(
+        arrow_map, run, f"page_id {kind}, url string, text string, n_chars bigint"
     )

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import arrow_map
+
 # Script ranges (first and last code point).
 SCRIPTS = {
     "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF)),
@@ -249,7 +251,7 @@ def train(docs: DataFrame, params: LangParams = LangParams(), key: str = "doc_id
                         ["lang", "bucket", "n"],
                     )
 
-    counts = sample.select("text", "lang").mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.select("text", "lang").transform(arrow_map, count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(counts["lang"]))
     if not languages:
         return LangModel([], np.zeros((params.buckets, 0), np.float32), np.zeros((len(SCRIPTS) + 1, 0), bool), params)
@@ -285,6 +287,6 @@ def identify(docs: DataFrame, model: LangModel | None = None, params: LangParams
                     ["doc_id", "held_out", "lang_pred", "score", "spans"],
                 )
 
-    return docs.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>"
+    return docs.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text")).transform(
+        arrow_map, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>"
     )

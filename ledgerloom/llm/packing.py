@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import arrow_map
 from .common import SPACES, row_key
 
 
@@ -160,6 +161,6 @@ def best_fit(docs: DataFrame, params: PackParams = PackParams(), key: str = "doc
         if waiting:
             yield from flush()
 
-    return dealt.select("doc_id", "piece", "start", F.coalesce("n", F.lit(0)).alias("n"), "g").mapInArrow(
-        run, f"doc_id {kind}, piece int, start bigint, n_tokens int, bin_id string, bin_capacity int, bin_offset int"
+    return dealt.select("doc_id", "piece", "start", F.coalesce("n", F.lit(0)).alias("n"), "g").transform(
+        arrow_map, run, f"doc_id {kind}, piece int, start bigint, n_tokens int, bin_id string, bin_capacity int, bin_offset int"
     )

@@ -27,6 +27,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import arrow_map
+
 # The contract's patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -134,6 +136,6 @@ def scan(docs: DataFrame, limits: SecretLimits = SecretLimits(), key: str = "doc
                 ["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"],
             )
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_random bigint, base_sha256 string, spans string"
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).transform(
+        arrow_map, run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_random bigint, base_sha256 string, spans string"
     )

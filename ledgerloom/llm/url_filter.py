@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import arrow_map
+
 # Terms that alone reject a URL, then terms of which several must occur.
 STRICT_TERMS = (
     "casino", "porn", "porno", "xxx", "viagra", "cialis", "hentai", "escort", "sexcam", "camgirls",
@@ -116,8 +118,8 @@ def judge_urls(pages: DataFrame, policy: UrlPolicy = UrlPolicy(), key: str = "pa
                 ["page_id", "host", "path", "rule", "verdict", "hits", "weight"],
             )
 
-    return pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url")).mapInArrow(
-        run, f"page_id {kind}, host string, path string, rule string, verdict string, hits string, weight double"
+    return pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url")).transform(
+        arrow_map, run, f"page_id {kind}, host string, path string, rule string, verdict string, hits string, weight double"
     )
 
 
