@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
+#: An Arrow batch is cut at this many bytes, so that a worker's memory does not follow the length of texts.
+BATCH_BYTES = 16 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
     """Adds the package to the session's Python files, once for each application."""
@@ -29,5 +33,8 @@ def ship(spark: SparkSession) -> None:
 
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInArrow`` whose function may come from this package."""
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    if int(spark.conf.get(BATCH_SETTING)) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
