@@ -33,8 +33,6 @@ def ship(spark: SparkSession) -> None:
 
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInArrow`` whose function may come from this package."""
-    spark = df.sparkSession
-    ship(spark)
-    if int(spark.conf.get(BATCH_SETTING)) > BATCH_BYTES:
-        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    ship(df.sparkSession)
+    df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
