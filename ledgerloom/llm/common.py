@@ -8,10 +8,16 @@ vectorised.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..runtime import arrow_map
 
 #: Java/RE2/Python regex for what separates words.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -93,3 +99,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def row_key(*columns: str) -> Column:
     """A 64-bit key of a row's content, defined for null in any column."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns])
+
+
+def extend(docs: DataFrame, text: str, make: Callable[[], Callable[[list], list[pa.Array]]], added: list[T.StructField]) -> DataFrame:
+    """All rows and columns of docs, and behind them columns computed from the text; no join, no shuffle.
+
+    ``make()`` gives, once a task, the function from texts to arrays. Names of added
+    columns must not be among docs' own.
+    """
+    at = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, *added])
+
+    def run(batches):
+        each = make()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *each(b.column(at).to_pylist())], schema.names)
+
+    return arrow_map(docs, run, schema)

@@ -33,9 +33,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import arrow_map
-from .common import MIX, U64, mix64, words_of
+from .common import MIX, SPACES, U64, extend, mix64, row_key, words_of
 
 # Masks; 1 compares the word, 0 ignores it.
 MASKS = ("11111111", "1110110111", "110101110011", "1100111000110011")
@@ -168,22 +169,45 @@ def matches(h: np.ndarray, bench: Benchmark) -> list[tuple]:
     return [(bench.ids[k], *o) for k, o in sorted(best.items())]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedParams(), key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each document and item that overlap: doc_id, item_id, start, end (words), n_different."""
+def _items(benchmark: DataFrame, params: SeedParams, item_key: str, item_text: str) -> tuple[DataFrame, list | None]:
+    """The items, and their rows if they are within the bound for a broadcast."""
     items = benchmark.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text"))
-    n = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), ""))
+    n = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACES), ""))
     total = items.agg(F.sum(n)).first()[0] or 0
-    if total > params.most_broadcast_words:
-        return _find_by_shuffle(docs, items, params, key, text)
-    rows = items.collect()  # within the bound just checked
+    return items, items.collect() if total <= params.most_broadcast_words else None
+
+
+def _hashed(rows: list) -> tuple[list, list[np.ndarray]]:
     hasher = NormalHasher()
-    bench = Benchmark([r["item_id"] for r in rows], [hasher(r["text"]) for r in rows], params)
-    packed = docs.sparkSession.sparkContext.broadcast((bench.ids, bench.words))
+    return [r["item_id"] for r in rows], [hasher(r["text"]) for r in rows]
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedParams(), text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, that overlap with no item."""
+    items, rows = _items(benchmark, params, item_key, item_text)
+    if rows is None:
+        keyed = docs.withColumn("__key", row_key(text))
+        leaks = _find_by_shuffle(keyed.dropDuplicates(["__key"]), items, params, "__key", text).select(F.col("doc_id").alias("__key")).distinct()
+        return keyed.join(leaks, "__key", "left_anti").drop("__key")
+    packed = docs.sparkSession.sparkContext.broadcast(_hashed(rows))
+
+    def make():
+        bench, hasher = Benchmark(*packed.value, params), NormalHasher()
+        return lambda texts: [pa.array([bool(matches(hasher(t), bench)) for t in texts], pa.bool_())]
+
+    return extend(docs, text, make, [T.StructField("__leak", T.BooleanType())]).where("NOT __leak").drop("__leak")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedParams(), key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """A row for each document and item that overlap: doc_id, item_id, start, end (words), n_different."""
+    items, rows = _items(benchmark, params, item_key, item_text)
+    if rows is None:
+        return _find_by_shuffle(docs, items, params, key, text)
+    packed = docs.sparkSession.sparkContext.broadcast(_hashed(rows))
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
 
     def run(batches):
-        ids, words = packed.value
-        bench, hasher = Benchmark(ids, words, params), NormalHasher()
+        bench, hasher = Benchmark(*packed.value, params), NormalHasher()
         for b in batches:
             at, out = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
@@ -209,7 +233,7 @@ def _find_by_shuffle(docs: DataFrame, items: DataFrame, params: SeedParams, key:
     and verified on the item's and the document's words, fetched by two equi-joins.
     """
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    widths = {r["n"] for r in items.select(F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).alias("n")).where(F.col("n").between(params.least_item, min(map(len, params.masks)) - 1)).distinct().collect()}
+    widths = {r["n"] for r in items.select(F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACES), "")).alias("n")).where(F.col("n").between(params.least_item, min(map(len, params.masks)) - 1)).distinct().collect()}
 
     def hashes(of_item: bool):
         def run(batches):

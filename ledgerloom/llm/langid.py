@@ -27,8 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import arrow_map
+from .common import extend
 
 # Script ranges (first and last code point).
 SCRIPTS = {
@@ -290,3 +292,16 @@ def identify(docs: DataFrame, model: LangModel | None = None, params: LangParams
     return docs.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text")).transform(
         arrow_map, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>"
     )
+
+
+def label_rows(docs: DataFrame, model: LangModel, text: str = "text", language: str = "__language", share: str = "__share") -> DataFrame:
+    """All rows and columns of docs with language and share of letters behind them."""
+
+    def make():
+        def each(texts):
+            found = [x for _, some in pieces([t or "" for t in texts], model.params.piece_letters) for x in model.predict(some)]
+            return [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+
+        return each
+
+    return extend(docs, text, make, [T.StructField(language, T.StringType()), T.StructField(share, T.DoubleType())])

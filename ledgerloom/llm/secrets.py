@@ -26,8 +26,10 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import arrow_map
+from .common import extend
 
 # The contract's patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -139,3 +141,27 @@ def scan(docs: DataFrame, limits: SecretLimits = SecretLimits(), key: str = "doc
     return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).transform(
         arrow_map, run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_random bigint, base_sha256 string, spans string"
     )
+
+
+def cover(text: str | None, spans: list[tuple[int, int, int]], mark: str) -> str | None:
+    """The text with every run of overlapping spans replaced by the mark."""
+    if not spans:
+        return text
+    out, at = [], 0
+    for a, _, b in spans:
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def mask(docs: DataFrame, mark: str, limits: SecretLimits = SecretLimits(), text: str = "text") -> DataFrame:
+    """All rows and columns of docs, secrets in the text replaced by the mark."""
+    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(limits))
+
+    def make():
+        scanner = SecretScanner(shared.value, limits)
+        return lambda texts: [pa.array([cover(t, scanner(t)[1], mark) for t in texts], pa.string())]
+
+    masked = extend(docs, text, make, [T.StructField("__masked", T.StringType())])
+    return masked.withColumn(text, F.col("__masked")).drop("__masked")
