@@ -1 +1 @@
-""""""
+"""Column functions over the store's values."""

@@ -1 +1 @@
-""""""
+"""Batch operators over the transaction state."""

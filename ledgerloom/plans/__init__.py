@@ -1 +1 @@
-""""""
+"""Queries over the projected state, each with its SQL."""

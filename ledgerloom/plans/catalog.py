@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import mutations, reports
 
-from pyspark.sql import DataFrame, SparkSession
+_MODULES = (mutations, reports)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
