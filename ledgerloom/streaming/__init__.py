@@ -1 +1 @@
-""""""
+"""The operation log as a stream."""
