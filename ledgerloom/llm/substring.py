@@ -156,7 +156,7 @@ def _occurrences(rows: DataFrame, params: SubstringParams) -> DataFrame:
 
 
 def _segments(placed: DataFrame, params: SubstringParams) -> DataFrame:
-    """a, h, key, s0, seg: the candidates' texts. placed: key, text, found (array of a, s0, s1, hot)."""
+    """a, h, key, s0, seg: the candidates' texts. placed: key, doc_id, text, found (array of a, s0, s1, hot)."""
 
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
@@ -169,7 +169,7 @@ def _segments(placed: DataFrame, params: SubstringParams) -> DataFrame:
                     [pa.array(a, pa.int64()), pa.array(np.array(h, U64).view(np.int64)), pa.array(key, pa.int64()), pa.array(s0, pa.int32()), pa.array(seg, pa.binary())], ["a", "h", "key", "s0", "seg"]
                 )
 
-            for key, text, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for key, text, found in zip(b.column(0).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 words = words_of(text.as_py())
                 for f in found:
                     a, lo, hi = f["a"], f["s0"], f["s1"]
@@ -242,7 +242,8 @@ def dedup_substrings(docs: DataFrame, params: SubstringParams = SubstringParams(
         occ.join(counts, "a").groupBy("key").agg(F.collect_set(F.struct("a", "s0", "s1", (F.col("n") > params.hot).alias("hot"))).alias("found"))
     )
     # A text that rows share by key comes once here for each row, so that occurrences count.
-    segments = _segments(rows.join(found, "key").select("key", "text", "found"), params)
+    # doc_id is carried along so that this join and the last one read one and the same exchange of the texts.
+    segments = _segments(rows.join(found, "key").select("key", "doc_id", "text", "found"), params)
     verdicts = _verdicts(segments, params)
     marks = segments.select("a", "h", "key", "s0").join(verdicts, ["a", "h"]).groupBy("key").agg(F.collect_set(F.struct("s0", "mask")).alias("marks"))
 
