@@ -10,9 +10,8 @@ differs.
 
 The benchmark side is broadcast only if its words number at most
 ``most_broadcast_words``, which a count of the benchmark checks first. Beyond
-that the same hashes are joined by a shuffle: map-side, document positions are
-kept only if a broadcast filter of fixed size lets them pass; the rest is grouped
-by (document, item, diagonal), so a hot hash never gathers in one task.
+that the same hashes are joined by a shuffle, whose hot hashes Spark may split, and
+hits are reduced to (document, item, diagonal) before texts are fetched.
 
 Words are compared in lower case without punctuation at their ends.
 
@@ -233,6 +232,9 @@ def _find_by_shuffle(docs: DataFrame, items: DataFrame, params: SeedParams, key:
     and verified on the item's and the document's words, fetched by two equi-joins.
     """
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    # Joined by keys of the rows' content, so that null ids and repeated rows keep their matches.
+    d = docs.select(row_key(key, text).alias("d"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    u = items.select(row_key("item_id", "text").alias("u"), "item_id", F.col("text").alias("item_text"))
     widths = {r["n"] for r in items.select(F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACES), "")).alias("n")).where(F.col("n").between(params.least_item, min(map(len, params.masks)) - 1)).distinct().collect()}
 
     def hashes(of_item: bool):
@@ -250,16 +252,10 @@ def _find_by_shuffle(docs: DataFrame, items: DataFrame, params: SeedParams, key:
                             )
         return run
 
-    d = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    left = d.transform(arrow_map, hashes(False), f"id {kind}, h bigint, p int").withColumnRenamed("id", "doc_id")
-    right = items.select("item_id", "text").transform(arrow_map, hashes(True), f"id {item_kind}, h bigint, p int").select(F.col("id").alias("item_id"), "h", F.col("p").alias("q"))
-    hits = left.join(right, "h").select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("diagonal")).distinct()
-    both = (
-        hits.groupBy("doc_id", "item_id").agg(F.collect_set("diagonal").alias("diagonals"))
-        .join(items.select("item_id", F.col("text").alias("item_text")), "item_id")
-        .join(d.select(F.col("id").alias("doc_id"), "text"), "doc_id")
-        .select("doc_id", "item_id", "diagonals", "text", "item_text")
-    )
+    left = d.select("d", "text").transform(arrow_map, hashes(False), "id bigint, h bigint, p int").select(F.col("id").alias("d"), "h", "p")
+    right = u.select("u", "item_text").distinct().transform(arrow_map, hashes(True), "id bigint, h bigint, p int").select(F.col("id").alias("u"), "h", F.col("p").alias("q"))
+    hits = left.join(right, "h").select("d", "u", (F.col("p") - F.col("q")).alias("diagonal")).distinct()
+    both = hits.groupBy("d", "u").agg(F.collect_set("diagonal").alias("diagonals")).join(u, "u").join(d, "d").select("doc_id", "item_id", "diagonals", "text", "item_text")
 
     def verify(batches):
         hasher = NormalHasher()
