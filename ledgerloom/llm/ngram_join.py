@@ -361,3 +361,22 @@ def keep_one(docs: DataFrame, params: JoinParams = JoinParams(), key: str = "doc
     if best.where("n > 1").isEmpty():
         return kept("n = 1")
     return kept("n = 1").unionByName(kept("n > 1").dropDuplicates([key, text]))
+
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+#: DuckDB SQL for the query's rows: an exact join on shingles, and components by recursion.
+ORACLE_SQL = f"""
+WITH RECURSIVE t AS (SELECT min(doc_id) AS t, count(*) AS n_copies, text, any_value({_WORDS}) AS w FROM documents GROUP BY text),
+full_t AS (SELECT * FROM t WHERE len(w) > 0),
+s AS (SELECT DISTINCT t, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT t, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM full_t)),
+size AS (SELECT t, count(*) AS n FROM s GROUP BY t),
+pairs AS (SELECT a.t AS a, b.t AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.t <> b.t GROUP BY 1, 2),
+linked AS (SELECT a, b FROM pairs JOIN size x ON x.t = a JOIN size y ON y.t = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+reach(a, b) AS (SELECT t, t FROM full_t UNION SELECT r.a, l.b FROM reach r JOIN linked l ON l.a = r.b),
+class AS (SELECT a AS t, min(b) AS class_id FROM reach GROUP BY 1),
+n AS (SELECT a AS t, count(*) AS n FROM linked GROUP BY 1)
+SELECT d.doc_id, CASE WHEN len(t.w) > 0 THEN c.class_id ELSE d.doc_id END AS class_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links,
+  CASE WHEN len(t.w) > 0 THEN t.n_copies ELSE 1 END AS n_copies
+FROM documents d JOIN t ON t.text IS NOT DISTINCT FROM d.text LEFT JOIN class c ON c.t = t.t AND len(t.w) > 0 LEFT JOIN n ON n.t = t.t
+"""
