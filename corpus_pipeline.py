@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import decontam, langid, ngram_join, packing, secrets
 from ledgerloom.llm.common import shared_folder, table
 
-#: Below this share of letters in its main language a document is a mixture and goes.
-LEAST_LANGUAGE_SHARE = 0.5
+#: A document of which no language has this share of the letters is rejected; passages in other languages are no fault.
+LEAST_LANGUAGE_SHARE = 0.25
 MASK = "[secret]"
 
 
