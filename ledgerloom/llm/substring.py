@@ -155,45 +155,60 @@ def _occurrences(rows: DataFrame, params: SubstringParams) -> DataFrame:
     return rows.select("key", "text").transform(arrow_map, run, "a bigint, key bigint, s0 int, s1 int")
 
 
-def _segments(placed: DataFrame, params: SubstringParams) -> DataFrame:
-    """a, h, key, s0, seg: the candidates' texts. placed: key, doc_id, text, found (array of a, s0, s1, hot)."""
+def _cut(placed: DataFrame, params: SubstringParams, places: bool) -> DataFrame:
+    """The candidates' segments: a, h and where they are (key, s0), or a, h, their words (seg) and how often (n) they come.
+
+    Segments with words are folded on the way out, so that many copies of one leave
+    a task as few rows. placed: key, doc_id, text, found (array of a, s0, s1, hot).
+    """
+    digest = xxhash.xxh3_64_intdigest
+
+    def signed(h: list[int]) -> pa.Array:
+        return pa.array(np.array(h, U64).view(np.int64))
+
+    def segments(words: list[bytes], found: list[dict]):
+        for f in found:
+            a, lo, hi = f["a"] % (1 << 64), f["s0"], f["s1"]
+            if f["hot"]:
+                for s in range(lo, hi + 1):
+                    seg = b" ".join(words[s : s + params.window])
+                    yield digest(seg, a), digest(seg), s, seg
+            else:
+                seg = b" ".join(words[lo : hi + params.window])
+                yield a, digest(seg), lo, seg
 
     def run(batches):
-        digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            out: list[tuple] = []
+            rows, folded = [], {}
 
-            def batch():
-                a, h, key, s0, seg = zip(*out, strict=True)
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(np.array(h, U64).view(np.int64)), pa.array(key, pa.int64()), pa.array(s0, pa.int32()), pa.array(seg, pa.binary())], ["a", "h", "key", "s0", "seg"]
-                )
+            def out():
+                if places:
+                    a, h, key, s0 = zip(*rows, strict=True)
+                    return pa.RecordBatch.from_arrays([signed(a), signed(h), pa.array(key, pa.int64()), pa.array(s0, pa.int32())], ["a", "h", "key", "s0"])
+                a, h = zip(*folded, strict=True)
+                n, seg = zip(*folded.values(), strict=True)
+                return pa.RecordBatch.from_arrays([signed(a), signed(h), pa.array(n, pa.int64()), pa.array(seg, pa.binary())], ["a", "h", "n", "seg"])
 
             for key, text, found in zip(b.column(0).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
-                words = words_of(text.as_py())
-                for f in found:
-                    a, lo, hi = f["a"], f["s0"], f["s1"]
-                    if f["hot"]:
-                        for s in range(lo, hi + 1):
-                            seg = b" ".join(words[s : s + params.window])
-                            h = digest(seg)
-                            out.append((int(np.array(digest(seg, a & 0xFFFFFFFF), U64).view(np.int64)), h, key, s, seg))
+                for a, h, s, seg in segments(words_of(text.as_py()), found):
+                    if places:
+                        rows.append((a, h, key, s))
+                    elif (have := folded.get((a, h))) is not None:
+                        have[0] += 1
                     else:
-                        seg = b" ".join(words[lo : hi + params.window])
-                        out.append((a, digest(seg), key, lo, seg))
-                if len(out) > 5000:
-                    yield batch()
-                    out = []
-            if out:
-                yield batch()
+                        folded[a, h] = [1, seg]
+                if len(rows) > 50_000 or len(folded) > 20_000:
+                    yield out()
+                    rows, folded = [], {}
+            if rows or folded:
+                yield out()
 
-    return placed.transform(arrow_map, run, "a bigint, h bigint, key bigint, s0 int, seg binary")
+    return placed.transform(arrow_map, run, "a bigint, h bigint, key bigint, s0 int" if places else "a bigint, h bigint, n bigint, seg binary")
 
 
-def _verdicts(segments: DataFrame, params: SubstringParams) -> DataFrame:
-    """a, h, mask: the repeated windows of each different segment that has any."""
-    distinct = segments.groupBy("a", "h").agg(F.count(F.lit(1)).alias("n"), F.first("seg").alias("seg"))
-    shards = distinct.repartition("a").sortWithinPartitions("a", "h")
+def _verdicts(texts: DataFrame, params: SubstringParams) -> DataFrame:
+    """a, h, mask: the repeated windows of each different segment that has any. texts: a, h, n, seg."""
+    shards = texts.repartition("a").sortWithinPartitions("a", "h")
 
     def run(batches):
         now, held, rows = None, [], []
@@ -220,7 +235,10 @@ def _verdicts(segments: DataFrame, params: SubstringParams) -> DataFrame:
                     if held:
                         judge()
                     now, held = a, []
-                held.append((h, n, seg))
+                if held and held[-1][0] == h:
+                    held[-1][1] += n
+                else:
+                    held.append([h, n, seg])
             if rows:
                 yield batch()
                 rows = []
@@ -237,15 +255,16 @@ def dedup_substrings(docs: DataFrame, params: SubstringParams = SubstringParams(
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(row_key(key, text).alias("key"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     occ = _occurrences(rows, params)
-    counts = occ.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written out, so that the join below stands between two exchanges and Spark may split a hot anchor's partition.
+    counts = checkpoint(occ.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     found = checkpoint(
         occ.join(counts, "a").groupBy("key").agg(F.collect_set(F.struct("a", "s0", "s1", (F.col("n") > params.hot).alias("hot"))).alias("found"))
     )
     # A text that rows share by key comes once here for each row, so that occurrences count.
     # doc_id is carried along so that this join and the last one read one and the same exchange of the texts.
-    segments = _segments(rows.join(found, "key").select("key", "doc_id", "text", "found"), params)
-    verdicts = _verdicts(segments, params)
-    marks = segments.select("a", "h", "key", "s0").join(verdicts, ["a", "h"]).groupBy("key").agg(F.collect_set(F.struct("s0", "mask")).alias("marks"))
+    placed = rows.join(found, "key").select("key", "doc_id", "text", "found")
+    verdicts = _verdicts(_cut(placed, params, False), params)
+    marks = _cut(placed, params, True).join(verdicts, ["a", "h"]).groupBy("key").agg(F.collect_set(F.struct("s0", "mask")).alias("marks"))
 
     def run(batches):
         for b in batches:
