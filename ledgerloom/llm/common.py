@@ -9,6 +9,7 @@ vectorised.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,97 @@ class WordHasher:
         return np.array(out, dtype=U64)
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+#: An odd base, its inverse mod 2**64, and how long a text may be for their tables of powers.
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = 1 << 18
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        up, down = (np.cumprod(np.concatenate([[U64(1)], np.full(_POWERS - 1, b, U64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return up, down
+
+
+def text_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words from running sums over its bytes, without making the words.
+
+    A word's hash is a polynomial of its bytes, mixed with its length. Long texts
+    are taken in pieces that end between words.
+    """
+    if not text:
+        return np.empty(0, U64)
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    if len(raw) < _POWERS:
+        return _piece_hashes(raw)
+    out, at = [], 0
+    while at < len(raw):
+        end = min(at + _POWERS - 1, len(raw))
+        if end < len(raw):
+            gaps = np.flatnonzero(_SPACE[raw[at:end]])
+            if not len(gaps):  # a word longer than the tables: go on to its end and hash it alone
+                rest = np.flatnonzero(_SPACE[raw[end:]])
+                end = end + int(rest[0]) if len(rest) else len(raw)
+                out.append(np.array([xxhash.xxh3_64_intdigest(raw[at:end].tobytes())], U64))
+                at = end
+                continue
+            end = at + int(gaps[-1]) + 1
+        out.append(_piece_hashes(raw[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
+def many_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' words in one array, and the number of words of each; short texts share one pass."""
+    hashes, counts = [], np.zeros(len(texts), np.int64)
+    held: list[bytes] = []
+    first = size = 0
+
+    def out():
+        joined = b"\n".join(held)
+        raw = np.frombuffer(joined, np.uint8)
+        hashes.append(_piece_hashes(raw))
+        starts = np.cumsum([0] + [len(x) + 1 for x in held[:-1]])
+        gap = np.ones(len(raw) + 1, bool)
+        gap[1:] = _SPACE[raw]
+        begin = np.flatnonzero(gap[:-1] & ~gap[1:])
+        counts[first : first + len(held)] = np.diff(np.append(np.searchsorted(begin, starts), len(begin)))
+
+    for i, t in enumerate(texts):
+        x = t.encode("utf-8", "surrogatepass") if t else b""
+        if size + len(x) + 1 >= _POWERS // 2:
+            if held:
+                out()
+            held, size = [], 0
+        if len(x) + 1 >= _POWERS // 2:
+            h = text_hashes(t)
+            hashes.append(h)
+            counts[i] = len(h)
+            continue
+        if not held:
+            first = i
+        held.append(x)
+        size += len(x) + 1
+    if held:
+        out()
+    return (np.concatenate(hashes) if hashes else np.empty(0, U64)), counts
+
+
+def _piece_hashes(raw: np.ndarray) -> np.ndarray:
+    gap = np.ones(len(raw) + 2, bool)
+    gap[1:-1] = _SPACE[raw]
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    start, end = edge[::2], edge[1::2]
+    up, down = _powers()
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(raw) + 1, U64)
+        np.cumsum((raw.astype(U64) + U64(1)) * up[: len(raw)], out=sums[1:])
+        return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * MIX)
+
+
 def rolling(h: np.ndarray, width: int) -> np.ndarray:
     """One 64-bit hash for each run of ``width`` consecutive hashes, order-sensitive."""
     n = len(h) - width + 1

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import arrow_map
-from .common import U64, WordHasher, checkpoint, rolling, row_key, words_of
+from .common import PIECE_BYTES, U64, checkpoint, many_hashes, rolling, row_key, words_of
 
 
 @dataclass(frozen=True)
@@ -51,20 +51,38 @@ class SubstringParams:
     hot: int = 2000
 
 
-def anchors(h: np.ndarray, params: SubstringParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first and last window of each segment; h: word hashes."""
+def anchors(h: np.ndarray, counts: np.ndarray, params: SubstringParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, text, first and last window of each segment; h: word hashes of texts with so many words each, in order."""
     none = np.empty(0, np.int64)
     if len(h) < params.window:
-        return none, none, none
+        return none, none, none, none
     g = rolling(h, params.gram)
     wide = params.window - params.gram + 1
-    at = np.concatenate([
-        sliding_window_view(g[i : i + (1 << 16) + wide - 1], wide).argmin(1) + np.arange(i, min(i + (1 << 16), len(g) - wide + 1))
-        for i in range(0, len(g) - wide + 1, 1 << 16)
-    ])
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    last = np.append(first[1:], len(at)) - 1
-    return g[at[first]].view(np.int64), first, last
+    least, have = g, 1
+    while have < wide:  # running minima by doubling
+        step = min(have, wide - have)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        have += step
+    n = len(least)
+    text = np.repeat(np.arange(len(counts)), counts)
+    valid = text[:n] == text[params.window - 1 :]
+    change = (least[1:] != least[:-1]) | ~valid[1:] | ~valid[:-1] | (text[1:n] != text[: n - 1])
+    edge = np.concatenate([[True], change, [True]])
+    first, last = np.flatnonzero(valid & edge[:-1]), np.flatnonzero(valid & edge[1:])
+    views = sliding_window_view(g, wide)
+    place_of = lambda at: np.concatenate([at[i : i + 4096] + views[at[i : i + 4096]].argmin(1) for i in range(0, len(at), 4096)] or [none])
+    # A run of one minimum goes on past its place only where the same gram comes again: cut there, each place its own segment.
+    firsts, lasts, places = [], [], []
+    while len(first):
+        place = place_of(first)
+        over = last > place
+        firsts.append(first)
+        lasts.append(np.minimum(last, place))
+        places.append(place)
+        first, last = place[over] + 1, last[over]
+    first, last, place = (np.concatenate(x or [none]) for x in (firsts, lasts, places))
+    start = np.concatenate([[0], np.cumsum(counts)])[text[first]]
+    return g[place].view(np.int64), text[first], first - start, last - start
 
 
 class SuffixAutomaton:
@@ -129,28 +147,16 @@ def _occurrences(rows: DataFrame, params: SubstringParams) -> DataFrame:
     """a, key, s0, s1: the segments of all texts."""
 
     def run(batches):
-        hasher = WordHasher()
         for b in batches:
-            keys, parts, which = b.column(0).to_numpy(), [], []
-
-            def out():
-                a, s0, s1 = (np.concatenate(x) for x in zip(*parts, strict=True))
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(np.repeat(keys[which], [len(p[0]) for p in parts])), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32))], ["a", "key", "s0", "s1"]
-                )
-
-            size = 0
-            for i in range(len(b)):
-                words = words_of(b.column(1)[i].as_py())
-                if len(words) >= params.window:
-                    parts.append(anchors(hasher(words), params))
-                    which.append(i)
-                    size += len(parts[-1][0])
-                    if size > 1 << 16:
-                        yield out()
-                        parts, which, size = [], [], 0
-            if parts:
-                yield out()
+            keys, texts, at, size = b.column(0).to_numpy(), b.column(1).to_pylist(), 0, 0
+            for i, t in enumerate(texts):
+                size += len(t or "")
+                if size > PIECE_BYTES or i + 1 == len(texts):
+                    a, which, s0, s1 = anchors(*many_hashes(texts[at : i + 1]), params)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(a), pa.array(keys[at + which]), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32))], ["a", "key", "s0", "s1"]
+                    )
+                    at, size = i + 1, 0
 
     return rows.select("key", "text").transform(arrow_map, run, "a bigint, key bigint, s0 int, s1 int")
 
