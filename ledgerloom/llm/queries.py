@@ -57,4 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.oracle_sql(), "op7_url_filters": url_filter.ORACLE_SQL}
+    return {
+        "op2_substring_dedup": substring.ORACLE_SQL, "op3_quality_rules": quality.oracle_sql(),
+        "op7_url_filters": url_filter.ORACLE_SQL, "op10_ngram_jaccard_join": ngram_join.ORACLE_SQL,
+    }

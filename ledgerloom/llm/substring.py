@@ -306,3 +306,18 @@ def dedup_substrings(docs: DataFrame, params: SubstringParams = SubstringParams(
 
     schema = f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
     return rows.join(marks, "key", "left").select("doc_id", "text", "marks").transform(arrow_map, run, schema)
+
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+#: DuckDB SQL for the query's rows: every window spelled out, counted, and its words marked.
+ORACLE_SQL = f"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT r, i, w[i] AS word, CASE WHEN i + 34 <= len(w) THEN array_to_string(w[i : i + 34], ' ') END AS g FROM p),
+f AS (SELECT r, i, word, g IS NOT NULL AND count(*) OVER (PARTITION BY g) > 1 AS again FROM g),
+m AS (SELECT r, i, word, max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM f),
+k AS (SELECT r, sum(gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM m GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (r)
+"""
