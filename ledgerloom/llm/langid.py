@@ -62,7 +62,8 @@ class LangParams:
     smoothing: float = 0.5
     switch_penalty: float = 12.0
     least_script_share: float = 0.002
-    piece_letters: int = 1 << 20
+    piece_letters: int = 1 << 22  #: letters times languages that are scored at once
+    labelled_letters: int = 1 << 26  #: letters times languages whose words are labelled at once
 
 
 @cache
@@ -190,19 +191,29 @@ class LangModel:
         """Language, share of letters and spans (language, first and end code point) of each text."""
         if not self.languages:
             return [(UNKNOWN, 0.0, [])] * len(texts)
-        x = Letters(texts, self.params)
-        sizes = np.bincount(x.word_doc, minlength=len(texts))
-        labels = self.label(self.words(x), sizes)
+        most = max(1 << 14, self.params.labelled_letters // len(self.languages))
+        return [x for _, some in pieces(texts, most) for x in self._predict(some)]
+
+    def _predict(self, texts: list[str]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
+        # Letters are taken in pieces; words, far fewer, are labelled for all texts at once.
+        parts = []
+        for at, some in pieces(texts, max(1 << 12, self.params.piece_letters // len(self.languages))):
+            x = Letters(some, self.params)
+            parts.append((self.words(x), x.word_doc + at, x.word_letters, x.word_start))
+        if not parts:
+            return []
+        scores, doc, letters, start = (np.concatenate(p) for p in zip(*parts, strict=True))
+        labels = self.label(scores, np.bincount(doc, minlength=len(texts)))
         k = len(self.languages)
-        share = np.bincount(x.word_doc * k + labels, weights=x.word_letters, minlength=len(texts) * k).reshape(len(texts), k)
+        share = np.bincount(doc * k + labels, weights=letters, minlength=len(texts) * k).reshape(len(texts), k)
         total, best = share.sum(1), share.argmax(1)
         cut = np.ones(len(labels), bool)
-        cut[1:] = (labels[1:] != labels[:-1]) | (x.word_doc[1:] != x.word_doc[:-1])
+        cut[1:] = (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])
         at = np.flatnonzero(cut)
         last = np.append(at[1:], len(labels)) - 1
         spans: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        for i, j in zip(at.tolist(), last.tolist(), strict=True):
-            spans[x.word_doc[i]].append((self.languages[labels[i]], int(x.word_start[i]), int(x.word_start[j] + x.word_letters[j])))
+        for d, c, i, j in zip(doc[at].tolist(), labels[at].tolist(), start[at].tolist(), (start[last] + letters[last]).tolist(), strict=True):
+            spans[d].append((self.languages[c], i, j))
         return [
             (self.languages[best[i]], float(share[i, best[i]] / total[i]), spans[i]) if total[i] else (UNKNOWN, 0.0, [])
             for i in range(len(texts))
@@ -243,7 +254,7 @@ def train(docs: DataFrame, params: LangParams = LangParams(), key: str = "doc_id
             for la, t in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True):
                 by.setdefault(la, []).append(t)
             for la, texts in by.items():
-                for _, some in pieces(texts, params.piece_letters):
+                for _, some in pieces(texts, params.piece_letters // 4):
                     x = Letters(some, params)
                     n = np.bincount(np.concatenate(x.buckets), minlength=params.buckets) if x.buckets else np.zeros(params.buckets, int)
                     s = np.bincount(x.script, minlength=len(SCRIPTS) + 1)
@@ -279,15 +290,12 @@ def identify(docs: DataFrame, model: LangModel | None = None, params: LangParams
 
     def run(batches):
         for b in batches:
-            texts = [t or "" for t in b.column(2).to_pylist()]
-            for at, some in pieces(texts, model.params.piece_letters):
-                found = model.predict(some)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(some)), b.column(1).slice(at, len(some)),
-                     pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()),
-                     pa.array([[{"lang": s[0], "start": s[1], "end": s[2]} for s in x[2]] for x in found], span)],
-                    ["doc_id", "held_out", "lang_pred", "score", "spans"],
-                )
+            found = model.predict([t or "" for t in b.column(2).to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()),
+                 pa.array([[{"lang": s[0], "start": s[1], "end": s[2]} for s in x[2]] for x in found], span)],
+                ["doc_id", "held_out", "lang_pred", "score", "spans"],
+            )
 
     return docs.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text")).transform(
         arrow_map, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>"
@@ -299,7 +307,7 @@ def label_rows(docs: DataFrame, model: LangModel, text: str = "text", language:
 
     def make():
         def each(texts):
-            found = [x for _, some in pieces([t or "" for t in texts], model.params.piece_letters) for x in model.predict(some)]
+            found = model.predict([t or "" for t in texts])
             return [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
 
         return each
