@@ -1,15 +1,15 @@
 """Op 10: n-gram Jaccard self-join by a MinHash LSH forest.
 
 Equal texts are one node. A node's signature of ``trees * depth`` minima over its
-shingles (five words) is cut into labels, one for each tree of the forest. All
-labels are sorted as one table, tree first: the sorted order is the prefix trie.
-In it every node meets the nodes that share its longest prefix, and then, as the
-prefix is shortened, those of the wider trie nodes. How far prefixes are shortened
-follows from the target recall: the depth falls until a pair at the threshold meets
-in some tree with that probability.
-
-Inside a trie node a node is linked to the one before it and to the first of each
-depth, not to all, and only if 4-bit sketches of the signatures agree well enough.
+shingles (five words) is cut into labels, one for each tree of the forest; nodes
+whose labels in a tree begin alike share a trie node of it.
+How far prefixes are shortened follows from the target recall: the depth falls until
+a pair at the threshold meets in some tree with that probability.
+
+Inside a bucket, a trie node of that depth, each node is compared with all others and
+linked to those whose 4-bit sketches of the signatures agree well enough; a large
+bucket is cut into blocks whose pairs are tasks of their own. What is connected
+already is not compared again, and only a spanning forest leaves a task.
 The components of these links hold all candidate pairs. Each component is then
 verified exactly and whole: its shingle sets are compared all against all in
 blocks of bounded size, so that a large group becomes many tasks and no pair is
@@ -49,6 +49,7 @@ class JoinParams:
     recall: float = 0.9995  #: at the threshold
     sketch_floor: float = 0.55  #: estimated similarity from which two nodes are linked for verification
     block: int = 256  #: nodes of a component that are compared in one task
+    bucket_block: int = 8192  #: rows of a bucket whose sketches are compared in one task
 
     def least_depth(self) -> int:
         d = self.depth
@@ -97,7 +98,7 @@ def has_words(text: Column) -> Column:
 
 
 def _nodes(docs: DataFrame, params: JoinParams) -> DataFrame:
-    """k, sig, least (doc_id), n_copies: one row for each different text with words. docs: doc_id, k, text."""
+    """k, sig, sketch, least (doc_id), n_copies: one row for each different text with words. docs: doc_id, k, text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -107,9 +108,12 @@ def _nodes(docs: DataFrame, params: JoinParams) -> DataFrame:
 
             def out():
                 sig = signer(sets)
+                low = (sig & 15).astype(np.uint8)
+                sketch = low[:, ::2] | (low[:, 1::2] << 4)
                 rows = pa.array(at)
                 return pa.RecordBatch.from_arrays(
-                    [b.column(0).take(rows), b.column(1).take(rows), pa.array([s.tobytes() for s in sig], pa.binary())], ["doc_id", "k", "sig"]
+                    [b.column(0).take(rows), b.column(1).take(rows), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array([s.tobytes() for s in sketch], pa.binary())],
+                    ["doc_id", "k", "sig", "sketch"],
                 )
 
             for i, t in enumerate(texts):
@@ -124,104 +128,119 @@ def _nodes(docs: DataFrame, params: JoinParams) -> DataFrame:
             if at:
                 yield out()
 
-    signed = docs.transform(arrow_map, run, f"doc_id {kind}, k bigint, sig binary")
-    return signed.groupBy("k").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.first("sig").alias("sig"))
+    signed = docs.transform(arrow_map, run, f"doc_id {kind}, k bigint, sig binary, sketch binary")
+    return signed.groupBy("k").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
 
 
 def _labels(nodes: DataFrame, params: JoinParams) -> DataFrame:
-    """key (tree, label, node) and sketch: a row for each node and tree."""
-    trees, depth = params.trees, params.depth
+    """k, sketch, bucket: a row for each node and tree; a bucket is a trie node of the least depth."""
+    prefix = lambda t: F.substring("sig", 1 + 4 * params.depth * t, 4 * params.least_depth())
+    return nodes.select("k", "sketch", F.explode(F.array(*[F.xxhash64(F.lit(t), prefix(t)) for t in range(params.trees)])).alias("bucket"))
 
-    def run(batches):
-        for b in batches:
-            n = len(b)
-            if not n:
-                continue
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(n, trees * depth)
-            low = (sig & 15).astype(np.uint8)
-            sketch = low[:, ::2] | (low[:, 1::2] << 4)
-            k = b.column(0).to_numpy()
-            for t in range(trees):
-                key = np.empty((n, 1 + 4 * depth + 8), np.uint8)
-                key[:, 0] = t
-                key[:, 1 : 1 + 4 * depth] = sig[:, t * depth : (t + 1) * depth].astype(">u4").view(np.uint8)
-                key[:, -8:] = k.astype(">i8").view(np.uint8).reshape(n, 8)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r.tobytes() for r in key], pa.binary()), pa.array([r.tobytes() for r in sketch], pa.binary())], ["key", "sketch"]
-                )
 
-    return nodes.select("k", "sig").transform(arrow_map, run, "key binary, sketch binary")
+def _planes(sketches: pa.Array) -> np.ndarray:
+    """The sketches' 4-bit values as bit planes: sketches x 4 x words of 64 values."""
+    raw = np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(len(sketches), -1)
+    values = np.concatenate([raw & 15, raw >> 4], 1)
+    bits = np.packbits((values[:, None, :] >> np.arange(4, dtype=np.uint8)[None, :, None]) & 1, axis=2)
+    return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, 0), (0, -bits.shape[2] % 8)))).view(U64)
 
 
-def _alike(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Estimated similarities from 4-bit sketches; one in 16 values agrees by chance."""
-    x = np.frombuffer(b"".join(a), np.uint8) ^ np.frombuffer(b"".join(b), np.uint8)
-    x = x.reshape(len(a), -1)
-    same = ((x & 15) == 0).sum(1) + ((x >> 4) == 0).sum(1)
-    return (same / (2 * x.shape[1]) - 1 / 16) * (16 / 15)
+def _alike(a: np.ndarray, b: np.ndarray, params: JoinParams) -> np.ndarray:
+    """Which sketches reach the floor of the estimated similarity; one in 16 values agrees by chance."""
+    x = a ^ b
+    differ = np.bitwise_count(x[:, 0] | x[:, 1] | x[:, 2] | x[:, 3]).sum(1, dtype=np.int64)
+    return (1 - differ / (params.trees * params.depth) - 1 / 16) * (16 / 15) >= params.sketch_floor
 
 
-def _trie_links(labels: DataFrame, params: JoinParams) -> DataFrame:
-    """u, v: links inside the sorted tries."""
-    least, depth, floor = params.least_depth(), params.depth, params.sketch_floor
-    names = ["u", "v", "prefix"]
+def _link_many(planes: np.ndarray, here: np.ndarray, params: JoinParams) -> np.ndarray:
+    """For each row a row of its component under all links of a large bucket (only those across if it has two blocks).
+
+    Each row is compared with all that its component does not hold yet.
+    """
+    root = np.arange(len(planes))
+    across = here.any()
+    right = np.flatnonzero(here == 1) if across else root.copy()
+    for x in np.flatnonzero(here == 0):
+        y = right[root[right] != root[x]] if across else right[x + 1 :][root[x + 1 :] != root[x]]
+        if len(y) and len(y := y[_alike(planes[y], planes[x][None], params)]):
+            root[np.isin(root, root[y])] = root[x]
+    return root
+
+
+def _bucket_links(labels: DataFrame, params: JoinParams) -> DataFrame:
+    """u, v: links that connect what all pairs of rows in each bucket connect."""
+    sizes = labels.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    # At most one bucket for bucket_block rows of the labels.
+    big = checkpoint(sizes.where(F.col("n") > params.bucket_block).select("bucket", F.ceil(F.col("n") / params.bucket_block).cast("int").alias("nb")))
+    zero = F.lit(0)
+    if big.isEmpty():
+        tasks = labels.select("bucket", zero.alias("i"), zero.alias("j"), zero.alias("here"), "k", "sketch")
+    else:
+        placed = labels.join(F.broadcast(big), "bucket", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+        mine = placed.withColumn("mine", F.pmod(F.xxhash64("k", F.lit("bucket")), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(zero, F.col("nb") - 1)))
+        tasks = mine.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("here"), "k", "sketch")
+    dealt = tasks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    few = 64  # rows up to which buckets are compared together
+
+    def compare(t: pa.Table) -> pa.RecordBatch | None:
+        group = np.stack([t.column(c).to_numpy() for c in range(3)], 1)
+        here, k = t.column(3).to_numpy(), t.column(4).to_numpy()
+        new = np.ones(len(k), bool)
+        new[1:] = (group[1:] != group[:-1]).any(1)
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(k)))
+        own = np.repeat(size, size)
+        rows = np.flatnonzero(own > 1)
+        if not len(rows):
+            return None
+        planes = _planes(t.column(5).combine_chunks().take(pa.array(rows)))
+        here, k, number = here[rows], k[rows], np.repeat(np.arange(len(size)), size)[rows]
+        small = np.flatnonzero(own[rows] <= few)
+        two = group[rows, 1] != group[rows, 2]
+        us, vs = [], []
+        for d in range(1, few):
+            x = small[: len(small) - d]
+            y = small[d:]
+            good = (number[x] == number[y]) & (~two[x] | (here[x] != here[y])) if len(x) else np.zeros(0, bool)
+            if not good.any() and not (number[x] == number[y]).any():
+                break
+            x, y = x[good], y[good]
+            alike = _alike(planes[x], planes[y], params)
+            us.append(k[x[alike]])
+            vs.append(k[y[alike]])
+        begin = np.searchsorted(number, np.flatnonzero(size > few))
+        for a, n in zip(begin.tolist(), size[size > few].tolist(), strict=True):
+            if two[a] and here[a : a + n].all():
+                continue
+            root = _link_many(planes[a : a + n], here[a : a + n], params)
+            at = np.flatnonzero(root != np.arange(n))
+            us.append(k[a + at])
+            vs.append(k[a + root[at]])
+        u, v = contract(np.concatenate(us), np.concatenate(vs))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     def run(batches):
-        last = None  # label (with tree), node, sketch of the row before
-        hubs: list[tuple[int, bytes]] = []  # of each depth from least to depth
-        first_prefix = True
-        cut = 1 + 4 * least
-        for batch in batches:
-            keys, sketches = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if not keys:
+        held: list[pa.RecordBatch] = []  # the bucket that the last batch ends in, maybe not whole
+        for b in batches:
+            if not len(b):
                 continue
-            raw = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1)
-            node = raw[:, -8:].copy().view(">i8").ravel().astype(np.int64).tolist()
-            lab = np.ascontiguousarray(raw[:, 1 : 1 + 4 * depth]).view(">u4")
-            tree = raw[:, 0]
-            same = np.ones((len(keys), depth), bool)
-            same[1:] = (lab[1:] == lab[:-1]) & (tree[1:] == tree[:-1])[:, None]
-            if last is not None:
-                before = np.frombuffer(last[0], np.uint8)
-                same[0] = (lab[0] == np.ascontiguousarray(before[1 : 1 + 4 * depth]).view(">u4")) & (tree[0] == before[0])
-            else:
-                same[0] = False
-            common = np.cumprod(same, 1).sum(1).tolist()
-            us, vs, sa, sb, ends = [], [], [], [], []
-            for i, c in enumerate(common):
-                k, s = node[i], sketches[i]
-                if c < least:
-                    if last is not None and first_prefix:  # the bucket that the partition begins with ends here
-                        ends.append((hubs[0][0], last[0][:cut]))
-                        first_prefix = False
-                    hubs = [(k, s)] * (depth - least + 1)
-                else:
-                    seen = set()
-                    for h, hs in [(last[1], last[2]), *hubs[: c - least + 1]]:
-                        if h != k and h not in seen:
-                            seen.add(h)
-                            us.append(k)
-                            vs.append(h)
-                            sa.append(s)
-                            sb.append(hs)
-                    hubs[c - least + 1 :] = [(k, s)] * (depth - c)
-                last = (keys[i], k, s)
-            if ends:
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in ends]), pa.array([e[0] for e in ends]), pa.array([e[1] for e in ends], pa.binary())], names)
-            if us:
-                good = np.flatnonzero(_alike(sa, sb) >= floor)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(us)[good]), pa.array(np.array(vs)[good]), pa.nulls(len(good), pa.binary())], names)
-        if last is not None:  # what the partition ends with may go on in the next
-            yield pa.RecordBatch.from_arrays([pa.array([hubs[0][0], last[1]]), pa.array([hubs[0][0], last[1]]), pa.array([last[0][:cut]] * 2, pa.binary())], names)
-
-    parts = max(2, int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = checkpoint(
-        labels.repartitionByRange(parts, "key").sortWithinPartitions("key").transform(arrow_map, run, "u bigint, v bigint, prefix binary").distinct()
-    )
-    # Buckets that go over a partition's border: two or three rows for each partition.
-    ends = found.where(F.col("prefix").isNotNull())
-    joined = ends.join(ends.groupBy("prefix").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1"), "prefix").where("u <> m").select("u", F.col("m").alias("v"))
-    return found.where(F.col("prefix").isNull()).select("u", "v").unionByName(joined)
+            last = [b.column(c)[len(b) - 1] for c in range(3)]
+            same = np.ones(len(b), bool)
+            for c in range(3):
+                same &= b.column(c).to_numpy() == last[c].as_py()
+            cut = int(np.argmax(same))
+            if held and (cut or any(held[-1].column(c)[0] != last[c] for c in range(3))):
+                if (out := compare(pa.Table.from_batches([*held, b.slice(0, cut)]))) is not None:
+                    yield out
+                held = []
+            elif cut and (out := compare(pa.Table.from_batches([b.slice(0, cut)]))) is not None:
+                yield out
+            held.append(b.slice(cut))
+        if held and (out := compare(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    return dealt.transform(arrow_map, run, "u bigint, v bigint").distinct()
 
 
 def _count_links(sets: list[np.ndarray], here: np.ndarray, params: JoinParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,7 +346,7 @@ def _join(docs: DataFrame, params: JoinParams, key: str, text: str) -> DataFrame
     rows = docs.select(F.col(key).alias("doc_id"), text_key(F.col(text)).alias("k"), F.col(text).alias("text"))
     full = rows.where(has_words(F.col("text")))
     nodes = checkpoint(_nodes(full, params))
-    member = components(_trie_links(_labels(nodes, params), params))
+    member = components(_bucket_links(_labels(nodes, params), params))
     # One text for each node: the document with the least id; repeated rows of it fall to the verifier's check.
     texts = full.select("k", "text")
     single = member.join(nodes.select(F.col("k").alias("node"), "least"), "node")

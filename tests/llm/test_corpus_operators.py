@@ -392,6 +392,34 @@ def test_similar(spark, edge, docs, empty):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 7, 8, 9, 10, 11]
 
 
+def test_similar_among_shared_passages(spark):
+    """Texts of common passages fill the forest's buckets with strangers; every planted pair is found there."""
+    rnd = random.Random(8)
+    passages = [" ".join(f"p{rnd.randrange(5000)}" for _ in range(12)) for _ in range(80)]
+    rows = []
+    for i in range(1500):
+        mine = [p for p in passages if rnd.random() < 0.33]
+        rows.append((i, " ".join(mine), None, None, None))
+        if i % 10 == 0:  # a copy that lacks 16 % of the words
+            words = " ".join(mine).split()
+            rows.append((10_000 + i, " ".join(words[: len(words) * 84 // 100]), None, None, None))
+    df = spark.createDataFrame(rows, DOC).repartition(4)
+    got = {r["doc_id"]: r for r in ngram_join.join_similar(df, ngram_join.JoinParams(trees=128, depth=1)).collect()}
+    assert len(got) == len(rows)
+    assert [i for i in range(0, 1500, 10) if not got[i]["n_links"] or got[10_000 + i]["class_id"] != got[i]["class_id"]] == []
+
+
+def test_blocks_of_a_bucket(spark):
+    """Links of a bucket cut into blocks connect the same rows as links of the whole one."""
+    rnd = random.Random(9)
+    rows = [(k * 7, bytes(rnd.randrange(256) for _ in range(64))) for k in range(300)]
+    rows += [(k * 7 + 1, s[:56] + bytes(8)) for k, s in ((r[0] // 7, r[1]) for r in rows[:100])]
+    labels = spark.createDataFrame([(k, bytearray(s), 5) for k, s in rows], "k bigint, sketch binary, bucket bigint")
+    for block in (8192, 40, 150):
+        links = ngram_join._bucket_links(labels, ngram_join.JoinParams(bucket_block=block)).collect()
+        assert {tuple(sorted(r)) for r in links} == {(k * 7, k * 7 + 1) for k in range(100)}
+
+
 def test_components(spark):
     rnd = random.Random(6)
     edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1200)]
