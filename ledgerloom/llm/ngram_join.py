@@ -339,7 +339,7 @@ def _verify(texts: DataFrame, member: DataFrame, params: JoinParams) -> DataFram
 
 def join_similar(docs: DataFrame, params: JoinParams = JoinParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id, n_links and n_copies for every row."""
-    return _join(docs, params, key, text).drop("k")
+    return _join(docs, params, key, text).drop("k", "lead")
 
 
 def _join(docs: DataFrame, params: JoinParams, key: str, text: str) -> DataFrame:
@@ -347,10 +347,12 @@ def _join(docs: DataFrame, params: JoinParams, key: str, text: str) -> DataFrame
     full = rows.where(has_words(F.col("text")))
     nodes = checkpoint(_nodes(full, params))
     member = components(_bucket_links(_labels(nodes, params), params))
-    # One text for each node: the document with the least id; repeated rows of it fall to the verifier's check.
-    texts = full.select("k", "text")
-    single = member.join(nodes.select(F.col("k").alias("node"), "least"), "node")
-    texts = full.join(single.select(F.col("node").alias("k"), F.col("least").alias("doc_id")), ["k", "doc_id"], "left_semi").select("k", "text")
+    # One text for each node: the document with the least id, or any where no row has an id; repeated rows of it fall to the verifier's check.
+    single = member.join(nodes.select(F.col("k").alias("node"), "least"), "node").select(F.col("node").alias("k"), F.col("least").alias("doc_id"))
+    unnamed = full.where("doc_id IS NULL").select("k", "text").dropDuplicates(["k"])
+    texts = full.join(single, ["k", "doc_id"], "left_semi").select("k", "text").unionByName(
+        unnamed.join(single.where("doc_id IS NULL"), "k", "left_semi").select("k", "text")
+    )
     found = checkpoint(_verify(texts, member, params))
     links = found.groupBy("k").agg(F.sum("n").alias("n_links"))
     sure = found.where(~F.col("split")).select(F.col("k").alias("node"), "root")
@@ -361,10 +363,10 @@ def _join(docs: DataFrame, params: JoinParams, key: str, text: str) -> DataFrame
         .join(links, "k", "left").join(classes.select(F.col("node").alias("k"), "root"), "k", "left")
         .select("k", "least", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", F.col("k")).alias("root"))
     )
-    per_class = per_node.groupBy("root").agg(F.min("least").alias("class_id"))
-    info = per_node.join(per_class, "root").select("k", "class_id", "n_links", "n_copies")
+    per_class = per_node.groupBy("root").agg(F.min("least").alias("class_id"), F.min("k").alias("lead"))
+    info = per_node.join(per_class, "root").select("k", "class_id", "lead", "n_links", "n_copies")
     return rows.select("doc_id", has_words(F.col("text")).alias("w"), "k").join(info, "k", "left").select(
-        "doc_id", "k",
+        "doc_id", "k", "lead",
         F.when(F.col("w"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.when(F.col("w"), F.coalesce("n_copies", F.lit(1))).otherwise(F.lit(1)).cast("bigint").alias("n_copies"),
@@ -372,8 +374,10 @@ def _join(docs: DataFrame, params: JoinParams, key: str, text: str) -> DataFrame
 
 
 def keep_one(docs: DataFrame, params: JoinParams = JoinParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of one document of each class, the one with the least id; all columns as they are. Of repeated rows one stays."""
-    best = _join(docs, params, key, text).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    """The row of one document of each class, the one with the least id, or any if none has an id; all columns as they are. Of repeated rows one stays."""
+    # Where a class has no id at all, the text with the least key stands for it.
+    one = F.col("doc_id").isNotNull() | F.col("lead").isNull() | (F.col("k") == F.col("lead"))
+    best = _join(docs, params, key, text).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & one)
     best = checkpoint(best.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n")))
     found = lambda w: best.where(w).select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"))
     kept = lambda w: docs.join(found(w), F.col(key).eqNullSafe(F.col("__id")) & (text_key(F.col(text)) == F.col("__k")), "left_semi")

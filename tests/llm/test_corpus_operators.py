@@ -419,6 +419,17 @@ def test_blocks_of_a_bucket(spark):
         links = ngram_join._bucket_links(labels, ngram_join.JoinParams(bucket_block=block)).collect()
         assert {tuple(sorted(r)) for r in links} == {(k * 7, k * 7 + 1) for k in range(100)}
 
+def test_similar_without_ids(spark):
+    words = [f"n{i}" for i in range(100)]
+    near = [" ".join([*words[:i], "edit", *words[i + 1 :]]) for i in (98, 99)] + [" ".join(words)]
+    far = [" ".join(f"{x}{w}" for w in words[:j]) for x in "ab" for j in (100, 98)]
+    rows = [(None, t, None, None, None) for t in [*near, near[0], far[0], far[1], far[2]]] + [(4, far[3], None, None, None)]
+    df = spark.createDataFrame(rows, DOC).repartition(3)
+    got = sorted((tuple(r) for r in ngram_join.join_similar(df).collect()), key=str)
+    assert got == brute_links([(r[0], r[1]) for r in rows])
+    kept = [r["text"] for r in ngram_join.keep_one(df).collect()]
+    assert len(kept) == 3 and len(set(kept) & set(near)) == 1 and len(set(kept) & set(far[:2])) == 1 and far[3] in kept
+
 
 def test_components(spark):
     rnd = random.Random(6)
