@@ -15,8 +15,8 @@ hits are reduced to (document, item, diagonal) before texts are fetched.
 
 Words are compared in lower case without punctuation at their ends.
 
-Defined cases: null or wordless texts on either side match nothing; items shorter
-than the shortest seed are found by their whole word run, and those
+Defined cases: null or wordless texts on either side match nothing; items
+of up to ``least_overlap`` words match whole, any of their words may differ; those
 of fewer than ``least_item`` words are not sought; repeated rows give
 repeated results; empty tables give an empty result; only ids and texts are read.
 """
@@ -38,7 +38,9 @@ from ..runtime import arrow_map
 from .common import MIX, SPACES, U64, extend, mix64, row_key, words_of
 
 # Masks; 1 compares the word, 0 ignores it.
-MASKS = ("11111111", "1110110111", "110101110011", "1100111000110011")
+# With a fifth of the words substituted, a stretch of 6 words or more has 4 equal ones
+# in a row, or two runs of 2 or more beside a single substituted word.
+MASKS = ("1111", "11011")
 
 _TRIM = re.compile(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
 
@@ -90,19 +92,26 @@ def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
 
 
 def item_seeds(h: np.ndarray, params: SeedParams) -> Iterator[tuple[int, np.ndarray]]:
-    """(width, hashes) by mask; a short item is one solid seed of its own width."""
+    """(width, hashes) by mask; an item of up to 5 words has solid seeds of 3 words, or of its own width, too."""
     if len(h) < params.least_item:
         return
-    if len(h) < min(map(len, params.masks)):
-        yield len(h), seed_hashes(h, "1" * len(h))
+    if len(h) <= 5:
+        w = min(3, len(h))
+        yield w, seed_hashes(h, "1" * w)
     for m in params.masks:
         yield len(m), seed_hashes(h, m)
 
 
+def document_masks(params: SeedParams) -> list[str]:
+    """All masks that an item may be seeded with, whatever the items are."""
+    return [*params.masks, *("1" * w for w in range(max(1, min(3, params.least_item)), 4))]
+
+
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, params: SeedParams) -> tuple[int, int, int] | None:
     """The longest tolerated stretch on a diagonal (document place minus item place): start and end in the document, words that differ.
 
-    Among all stretches that begin and end with equal words and whose different
+    An item of up to ``least_overlap`` words is compared whole. Else
+    among all stretches that begin and end with equal words and whose different
     words are within the share, by prefix sums; None if it is too short.
     """
     a, b = max(0, diagonal), min(len(doc), diagonal + len(item))
@@ -110,6 +119,9 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, params: SeedParams
     if b - a < least:
         return None
     same = doc[a:b] == item[a - diagonal : b - diagonal]
+    if len(item) <= params.least_overlap:  # the whole item, whichever of its words differ
+        different = int((~same).sum())
+        return (a, b, different) if different <= params.most_different * len(item) + 1e-9 else None
     at = np.flatnonzero(same)
     if not len(at):
         return None
@@ -133,7 +145,6 @@ class Benchmark:
     def __init__(self, ids: list, words: list[np.ndarray], params: SeedParams):
         self.ids, self.words, self.params = ids, words, params
         seeds = [(w, k, h) for k, x in enumerate(words) for w, h in item_seeds(x, params)]
-        self.widths = sorted({w for w, _, h in seeds if len(h) and w not in set(map(len, params.masks))})
         hashes = np.concatenate([h for _, _, h in seeds]) if seeds else np.empty(0, U64)
         item = np.concatenate([np.full(len(h), k) for _, k, h in seeds]) if seeds else np.empty(0, int)
         place = np.concatenate([np.arange(len(h)) for _, _, h in seeds]) if seeds else np.empty(0, int)
@@ -146,7 +157,7 @@ class Benchmark:
     def hits(self, h: np.ndarray) -> set[tuple[int, int]]:
         """(item, diagonal) of all seed hits of a document."""
         found: set[tuple[int, int]] = set()
-        for mask in [*self.params.masks, *("1" * w for w in self.widths)]:
+        for mask in document_masks(self.params):
             s = seed_hashes(h, mask)
             at = np.flatnonzero(self.bits[(s >> self.shift).astype(np.int64)])
             if not len(at):
@@ -235,7 +246,6 @@ def _find_by_shuffle(docs: DataFrame, items: DataFrame, params: SeedParams, key:
     # Joined by keys of the rows' content, so that null ids and repeated rows keep their matches.
     d = docs.select(row_key(key, text).alias("d"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     u = items.select(row_key("item_id", "text").alias("u"), "item_id", F.col("text").alias("item_text"))
-    widths = {r["n"] for r in items.select(F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACES), "")).alias("n")).where(F.col("n").between(params.least_item, min(map(len, params.masks)) - 1)).distinct().collect()}
 
     def hashes(of_item: bool):
         def run(batches):
@@ -243,7 +253,7 @@ def _find_by_shuffle(docs: DataFrame, items: DataFrame, params: SeedParams, key:
             for b in batches:
                 for i, t in enumerate(b.column(1).to_pylist()):
                     h = hasher(t)
-                    seeds = item_seeds(h, params) if of_item else ((len(m), seed_hashes(h, m)) for m in [*params.masks, *("1" * w for w in sorted(widths))])
+                    seeds = item_seeds(h, params) if of_item else ((len(m), seed_hashes(h, m)) for m in document_masks(params))
                     for _, s in seeds:
                         if len(s):
                             yield pa.RecordBatch.from_arrays(

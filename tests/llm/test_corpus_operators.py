@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -230,6 +231,20 @@ def test_leaks(spark, empty):
     assert decontam.find_leaks(empty, bench).count() == 0 and decontam.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_short_items():
+    """Every pattern of tolerated substitutions in an item of 5 to 16 words is found."""
+    params = decontam.SeedParams()
+    for n in range(5, 17):
+        item = np.arange(1, n + 1, dtype=np.uint64)
+        bench = decontam.Benchmark([n], [item], params)
+        for d in range(n // 5 + 1):
+            inside = range(n) if n <= params.least_overlap else range(1, n - 1)
+            for at in itertools.combinations(inside, d):
+                doc = np.concatenate([np.arange(100, 110, dtype=np.uint64), item, np.arange(200, 210, dtype=np.uint64)])
+                doc[[10 + x for x in at]] = 999
+                assert decontam.matches(doc, bench), (n, at)
+
+
 # 6: language
 
 
