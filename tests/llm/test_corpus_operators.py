@@ -245,6 +245,13 @@ def test_leaks_of_short_items():
                 assert decontam.matches(doc, bench), (n, at)
 
 
+def test_leaks_of_items_with_punctuation(spark):
+    docs = spark.createDataFrame([(1, "so Q what is the capital of France is asked", None, None, None)], DOC)
+    bench = spark.createDataFrame([(1, "Q : what is the capital of France ?")], "item_id bigint, text string")
+    for params in (decontam.SeedParams(), decontam.SeedParams(most_broadcast_words=0)):
+        assert [(r["start"], r["end"], r["n_different"]) for r in decontam.find_leaks(docs, bench, params).collect()] == [(1, 8, 0)]
+
+
 # 6: language
 
 
