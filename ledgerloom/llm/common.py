@@ -16,7 +16,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..runtime import arrow_map
 
@@ -193,18 +192,21 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns])
 
 
-def extend(docs: DataFrame, text: str, make: Callable[[], Callable[[list], list[pa.Array]]], added: list[T.StructField]) -> DataFrame:
-    """All rows and columns of docs, and behind them columns computed from the text; no join, no shuffle.
+def rework(docs: DataFrame, text: str, make: Callable[[], Callable[[list], tuple[list | None, dict[str, pa.Array]]]]) -> DataFrame:
+    """The rows of docs that are kept, with the columns of docs, some of them new; no join, no shuffle.
 
-    ``make()`` gives, once a task, the function from texts to arrays. Names of added
-    columns must not be among docs' own.
+    ``make()`` gives, once a task, the function from texts to which rows to keep (None:
+    all) and new columns by name. Nothing is added, so no column's name can clash.
     """
-    at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, *added])
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = names.index(text)
 
     def run(batches):
         each = make()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, *each(b.column(at).to_pylist())], schema.names)
+            keep, new = each(b.column(at).to_pylist())
+            out = pa.RecordBatch.from_arrays([new.get(n, c) for n, c in zip(names, b.columns, strict=True)], b.schema.names)
+            yield out if keep is None else out.filter(pa.array(keep, pa.bool_()))
 
-    return arrow_map(docs, run, schema)
+    return arrow_map(plain, run, plain.schema).toDF(*names)

@@ -32,10 +32,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..runtime import arrow_map
-from .common import MIX, SPACES, U64, extend, mix64, row_key, words_of
+from .common import MIX, SPACES, U64, mix64, rework, row_key, words_of
 
 # Masks; 1 compares the word, 0 ignores it.
 # With a fifth of the words substituted, a stretch of 6 words or more has 4 equal ones
@@ -203,9 +202,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedP
 
     def make():
         bench, hasher = Benchmark(*packed.value, params), NormalHasher()
-        return lambda texts: [pa.array([bool(matches(hasher(t), bench)) for t in texts], pa.bool_())]
+        return lambda texts: ([not matches(hasher(t), bench) for t in texts], {})
 
-    return extend(docs, text, make, [T.StructField("__leak", T.BooleanType())]).where("NOT __leak").drop("__leak")
+    return rework(docs, text, make)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedParams(), key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -7,19 +7,30 @@ narrows the languages to those that training has seen in that script. Viterbi
 with a penalty for every change of language then labels the words of a text, so a
 mixed text falls into spans; the prediction is the language with most letters.
 
-All of it is arithmetic on whole code-point arrays. The Viterbi recursion steps
-through word positions of many texts at once, texts of like length together, so
-its Python cost is per position and not per word.
+All of it is arithmetic on whole code-point arrays. Viterbi takes texts in chunks
+whose transfers are chained, so its Python cost follows the chunk's length and not
+the text's; letters are scored in slices of bounded size, and what is kept of a
+whole text is some 50 bytes a word.
+
+Letters and marks are those of Unicode, in all planes. Scripts are known by the names of
+their code points, so any script that training saw narrows; words in a script that no
+language was seen in are no evidence for any.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is
-every text if there is nothing to learn from; ties go to the language that sorts
-first; a null doc_id counts as the empty string and is never held out; repeated
-rows give repeated results; an empty table gives an empty one; only doc_id, text
-and, for training, lang are read.
+every text if there is nothing to learn from; a text without evidence gets the
+language that sorts first, with score 0; ties go to the language that sorts first;
+very long texts are read whole, a word longer than a slice counting as several; a
+null doc_id counts as the empty string and is never held out; repeated rows give
+repeated results; an empty table gives an empty one; only doc_id, text and, for
+training, lang are read, so other columns may have any names. More than
+``max_languages`` labels are an error, never cut off.
 """
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 from dataclasses import dataclass
 from functools import cache
 
@@ -27,100 +38,99 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..runtime import arrow_map
-from .common import extend
-
-# Script ranges (first and last code point).
-SCRIPTS = {
-    "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF)),
-    "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
-    "cyrillic": ((0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)),
-    "armenian": ((0x530, 0x58F),),
-    "hebrew": ((0x590, 0x5FF),),
-    "arabic": ((0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)),
-    "devanagari": ((0x900, 0x97F),),
-    "bengali": ((0x980, 0x9FF),),
-    "tamil": ((0xB80, 0xBFF),),
-    "telugu": ((0xC00, 0xC7F),),
-    "thai": ((0xE00, 0xE7F),),
-    "georgian": ((0x10A0, 0x10FF),),
-    "hangul": ((0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)),
-    "kana": ((0x3040, 0x30FF), (0x31F0, 0x31FF)),
-    "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)),
-}
+from .common import rework
+
+# First words of Unicode names that say nothing of a script.
+NO_SCRIPT = frozenset("MODIFIER FEMININE MASCULINE MATHEMATICAL DOUBLE SUPERSCRIPT COMBINING VARIATION INVERTED SCRIPT".split())
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class LangParams:
+    max_languages: int = 256  #: bounds the model; training refuses more labels
     docs_per_language: int = 1500  #: bound of the training sample, in expectation, for each language
-    max_languages: int = 256  #: the most frequent labels; bounds the model
     buckets: int = 1 << 15
     orders: tuple[int, ...] = (1, 2, 3, 4)
     smoothing: float = 0.5
     switch_penalty: float = 12.0
     least_script_share: float = 0.002
-    piece_letters: int = 1 << 22  #: letters times languages that are scored at once
-    labelled_letters: int = 1 << 26  #: letters times languages whose words are labelled at once
+    piece_letters: int = 1 << 20  #: letters times languages that are scored at once
+    labelled_letters: int = 1 << 23  #: letters times languages whose words are labelled at once
+    chunk_words: int = 128  #: words of a text that Viterbi steps through one by one
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For the first 2**16 code points: the lower-case letter (0 if no letter) and the script's number."""
-    low, script = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint8)
-    for c in range(1 << 16):
-        s = chr(c)
-        if s.isalpha():
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """For every code point: its lower case (0 if neither letter nor mark), whether it is a letter, its script's number; and how many scripts there are.
+
+    A script is the ranges of code points whose names begin with one word (LATIN,
+    KANNADA, CJK); number 0 is for those that belong to none.
+    """
+    low, letter, script = np.zeros(sys.maxunicode + 1, np.uint32), np.zeros(sys.maxunicode + 1, bool), np.zeros(sys.maxunicode + 1, np.uint8)
+    numbers: dict[str, int] = {}
+    for c in range(sys.maxunicode + 1):
+        kind = unicodedata.category(s := chr(c))[0]
+        if kind == "L" or kind == "M":
             x = s.lower()
-            low[c] = ord(x) if len(x) == 1 else c
-    for k, ranges in enumerate(SCRIPTS.values(), 1):
-        for a, b in ranges:
-            script[a : b + 1] = k
-    return low, script
+            low[c], letter[c] = ord(x) if len(x) == 1 else c, kind == "L"
+            name = re.split("[ -]", unicodedata.name(s, ""), maxsplit=1)[0]
+            if name and name not in NO_SCRIPT:
+                script[c] = numbers.setdefault(name, len(numbers) + 1)
+    return low, letter, script, len(numbers) + 1
 
 
 class Letters:
-    """The letters of several texts as arrays: n-gram buckets, word starts and scripts."""
+    """The letters of several texts as arrays: n-gram buckets, word starts and scripts. Marks go with the letters before them."""
 
     def __init__(self, texts: list[str], params: LangParams):
-        low, script = _tables()
-        codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-        gap = np.zeros(1, np.uint32)
-        raw = np.concatenate([x for c in codes for x in (c, gap)]) if codes else gap
-        doc = np.repeat(np.arange(len(codes)), [len(c) + 1 for c in codes])
-        c = np.where(raw < (1 << 16), raw, 0)
-        letters = low[c]
-        wide = raw >= (1 << 16)
-        letters = np.where(wide, raw, letters)  # beyond the table: a letter of no known script
-        is_letter = letters > 0
-        at = np.flatnonzero(is_letter)
-        padded = np.concatenate([np.zeros(max(params.orders), np.uint64), letters.astype(np.uint64)])
-        off = max(params.orders)
+        low, letter, script, _ = _tables()
+        raw = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        letters = low[raw]
+        at = np.flatnonzero(letters)
+        doc = (np.searchsorted(starts, at, "right") - 1).astype(np.int32)
+        most = max(params.orders)
+        padded = np.concatenate([np.zeros(most, np.uint32), letters])
+        before = [padded[at + (most - j)] for j in range(most)]
+        for j in range(1, most):  # what lies beyond the word's start does not matter
+            before[j][before[j - 1] == 0] = 0
         self.buckets = []
         with np.errstate(over="ignore"):
             for n in params.orders:
                 h = np.full(len(at), n, np.uint64)
-                alive = np.ones(len(at), bool)
                 for j in range(n):
-                    x = padded[at + (off - j)]
-                    h = h * np.uint64(0x9E3779B97F4A7C15) + np.where(alive, x, np.uint64(0))
-                    alive &= x > 0  # what lies beyond the word's start does not matter
+                    h *= np.uint64(0x9E3779B97F4A7C15)
+                    h += before[j]
                 h ^= h >> np.uint64(29)
                 h *= np.uint64(0xBF58476D1CE4E5B9)
-                self.buckets.append((h >> np.uint64(40)).astype(np.int64) % params.buckets)
+                self.buckets.append(((h >> np.uint64(40)) % np.uint64(params.buckets)).astype(np.int32))
         first = np.ones(len(at), bool)
-        first[1:] = (at[1:] != at[:-1] + 1) | (doc[at[1:]] != doc[at[:-1]])
+        first[1:] = (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])
         self.word_first = np.flatnonzero(first)  # among letters
-        self.word_at = at[self.word_first]
-        self.word_letters = np.diff(np.append(self.word_first, len(at)))
-        self.word_doc = doc[self.word_at]
-        self.script = script[np.where(raw[at] < (1 << 16), raw[at], 0)]
+        word_at = at[self.word_first]
+        self.word_letters = np.diff(np.append(self.word_first, len(at))).astype(np.int32)
+        self.word_doc = doc[self.word_first]
+        self.script = script[raw[at]]
         self.word_script = self.script[self.word_first]
-        starts = np.concatenate([[0], np.cumsum([len(c) + 1 for c in codes])])
-        self.word_start = self.word_at - starts[self.word_doc]
-        self.at = at
+        self.word_start = word_at - starts[self.word_doc]
+        true = np.concatenate([[0], np.cumsum(letter[raw[at]])])
+        self.word_true = np.diff(true[np.append(self.word_first, len(at))]).astype(np.int32)  #: letters without marks
+        self.n = len(at)
+
+
+@dataclass(frozen=True)
+class Found:
+    """Of a text: its language, that language's share of the letters (letters without evidence are nobody's),
+    the best path's mean advantage a letter over the mean of the languages, and spans (language, first and end code point)."""
+
+    language: str
+    share: float = 0.0
+    evidence: float = 0.0
+    spans: tuple[tuple[str, int, int], ...] = ()
+    letters: int = 0  #: and marks
 
 
 @dataclass
@@ -131,10 +141,10 @@ class LangModel:
     params: LangParams
 
     def words(self, x: Letters) -> np.ndarray:
-        """Scores, words x languages."""
+        """Scores, words x languages; 0 for all where no language was seen in the word's script."""
         if not len(x.word_first):
             return np.zeros((0, len(self.languages)), np.float32)
-        per = np.zeros((len(x.at), len(self.languages)), np.float32)
+        per = np.zeros((x.n, len(self.languages)), np.float32)
         for b in x.buckets:
             per += self.table[b]
         out = np.add.reduceat(per, x.word_first, axis=0)
@@ -144,92 +154,142 @@ class LangModel:
         return out
 
     def label(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The best path's language of every word; sizes: words of each text, in order."""
+        """The best path's language of every word; sizes: words of each text, in order.
+
+        Texts are cut into chunks of ``chunk_words``, or as many as there are languages.
+        A chunk's transfer matrix has the best score from each language before it to
+        each at its end; chained along a text they give every chunk its entry, and then
+        all chunks of all texts are stepped through at once, forth and back.
+        """
         n, k = scores.shape
-        out = np.zeros(n, np.int8 if k < 128 else np.int16)
+        out = np.zeros(n, np.int16)
+        sizes = np.asarray(sizes)
         begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        order = np.argsort(-sizes, kind="stable")
-        order = order[sizes[order] > 0]
-        if k == 1 or not len(order):
+        begins, sizes = begins[sizes > 0], sizes[sizes > 0]
+        if k == 1 or not len(sizes):
             return out
+        penalty, width = np.float32(self.params.switch_penalty), max(self.params.chunk_words, k)
+        chunks = -(-sizes // width)
+        first = np.concatenate([[0], np.cumsum(chunks)[:-1]])
+        text = np.repeat(np.arange(len(sizes)), chunks)
+        place = np.arange(len(text)) - first[text]
+        start, length = begins[text] + place * width, np.minimum(sizes[text] - place * width, width)
+        entry = np.zeros((len(text), k), np.float32)
+        inner = np.flatnonzero(place < chunks[text] - 1)  # all but the last of a text: full chunks
+        if len(inner):
+            m = np.where(np.eye(k, dtype=bool), np.float32(0), np.float32(-np.inf))[None].repeat(len(inner), 0)
+            for t in range(width):
+                m = np.maximum(m, m.max(2, keepdims=True) - penalty) + scores[start[inner] + t][:, None, :]
+            number = np.zeros(len(text), np.int64)
+            number[inner] = np.arange(len(inner))
+            longest = np.argsort(-chunks, kind="stable")
+            for j in range(int(chunks.max()) - 1):
+                at = first[longest[: int(np.searchsorted(-chunks[longest], -(j + 1), "left"))]] + j
+                v = (entry[at][:, :, None] + m[number[at]]).max(1)
+                entry[at + 1] = v - v.max(1, keepdims=True)
+            del m
+        order = np.argsort(-length, kind="stable")
+        groups, ends, enters = [], np.zeros(len(text), np.int16), np.zeros((len(text), k), np.int16)
         a = 0
-        while a < len(order):  # texts whose lengths are within a factor of two step together
-            longest = sizes[order[a]]
-            b = a + int(np.searchsorted(-sizes[order[a:]], -(longest // 2), side="right"))
-            b = max(b, a + 1)
+        while a < len(order):  # chunks whose lengths are within a factor of two step together
+            b = a + max(1, int(np.searchsorted(-length[order[a:]], -(length[order[a]] // 2), "right")))
             group = order[a:b]
-            begin, size = begins[group], sizes[group]
-            v = np.zeros((len(group), k), np.float32)
-            back = np.full((longest, len(group)), -1, np.int16)
-            moved = np.zeros((longest, len(group), k), bool)
-            alive = len(group)
-            for t in range(longest):
-                while size[alive - 1] <= t:
-                    alive -= 1
-                w = v[:alive]
-                if t:
-                    best = w.argmax(1)
-                    jump = w[np.arange(alive), best] - self.params.switch_penalty
-                    m = w < jump[:, None]
-                    moved[t, :alive], back[t, :alive] = m, best
-                    w = np.where(m, jump[:, None], w)
-                v[:alive] = w + scores[begin[:alive] + t]
-            now = v.argmax(1)
+            begin, size, v = start[group], length[group], entry[group]
+            steps = int(size[0])
+            alive = np.searchsorted(-size, -np.arange(steps), "left")
+            back, moved = np.zeros((steps, len(group)), np.int16), np.zeros((steps, len(group), k), bool)
             rows = np.arange(len(group))
-            for t in range(longest - 1, -1, -1):
-                alive = int(np.searchsorted(-size, -t, side="left"))
-                if not alive:
-                    continue
-                out[begin[:alive] + t] = now[:alive]
-                if t:
-                    m = moved[t, rows[:alive], now[:alive]]
-                    now[:alive] = np.where(m, back[t, :alive], now[:alive])
+            for t in range(steps):
+                c = alive[t]
+                w = v[:c]
+                best = w.argmax(1)
+                jump = w[rows[:c], best][:, None] - penalty
+                back[t, :c], moved[t, :c] = best, w < jump
+                v[:c] = np.maximum(w, jump) + scores[begin[:c] + t]
+            ends[group] = v.argmax(1)
+            now = np.tile(np.arange(k, dtype=np.int16), (len(group), 1))
+            for t in range(steps - 1, -1, -1):
+                c = alive[t]
+                m = np.take_along_axis(moved[t, :c], now[:c].astype(np.int64), 1)
+                now[:c] = np.where(m, back[t, :c, None], now[:c])
+            enters[group] = now
+            groups.append((group, alive, back, moved))
             a = b
+        longest = np.argsort(-chunks, kind="stable")
+        for j in range(1, int(chunks.max())):  # from each text's last chunk to its first
+            at = (first + chunks)[longest[: int(np.searchsorted(-chunks[longest], -j, "left"))]] - j
+            ends[at - 1] = enters[at, ends[at]]
+        for group, alive, back, moved in groups:
+            now, begin, rows = ends[group], start[group], np.arange(len(group))
+            for t in range(len(alive) - 1, -1, -1):
+                c = alive[t]
+                out[begin[:c] + t] = now[:c]
+                now[:c] = np.where(moved[t, rows[:c], now[:c]], back[t, :c], now[:c])
         return out
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
-        """Language, share of letters and spans (language, first and end code point) of each text."""
+    def predict(self, texts: list[str]) -> list[Found]:
+        """What is found of each text."""
         if not self.languages:
-            return [(UNKNOWN, 0.0, [])] * len(texts)
+            return [Found(UNKNOWN)] * len(texts)
         most = max(1 << 14, self.params.labelled_letters // len(self.languages))
-        return [x for _, some in pieces(texts, most) for x in self._predict(some)]
-
-    def _predict(self, texts: list[str]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
-        # Letters are taken in pieces; words, far fewer, are labelled for all texts at once.
-        parts = []
-        for at, some in pieces(texts, max(1 << 12, self.params.piece_letters // len(self.languages))):
+        return [x for some in pieces(texts, most) for x in self._predict(some)]
+
+    def _predict(self, texts: list[str]) -> list[Found]:
+        # Letters are taken in pieces, long texts in slices; words, far fewer, are labelled for all texts at once.
+        most = max(1 << 12, self.params.piece_letters // len(self.languages))
+        cut = [(i, a, s) for i, t in enumerate(texts) for a, s in slices(t, most)]
+        parts, at = [], 0
+        for some in pieces([s for _, _, s in cut], most):
             x = Letters(some, self.params)
-            parts.append((self.words(x), x.word_doc + at, x.word_letters, x.word_start))
+            doc, offset = (np.array([c[f] for c in cut[at : at + len(some)]], np.int64)[x.word_doc] for f in (0, 1))
+            parts.append((self.words(x), doc, x.word_letters, x.word_true, x.word_start + offset, self.allowed[x.word_script].any(1)))
+            at += len(some)
         if not parts:
             return []
-        scores, doc, letters, start = (np.concatenate(p) for p in zip(*parts, strict=True))
+        scores, doc, letters, true, start, known = (np.concatenate(p) for p in zip(*parts, strict=True))
         labels = self.label(scores, np.bincount(doc, minlength=len(texts)))
-        k = len(self.languages)
-        share = np.bincount(doc * k + labels, weights=letters, minlength=len(texts) * k).reshape(len(texts), k)
-        total, best = share.sum(1), share.argmax(1)
-        cut = np.ones(len(labels), bool)
-        cut[1:] = (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(cut)
+        k, n = len(self.languages), len(texts)
+        share = np.bincount(doc * k + labels, weights=letters * known, minlength=n * k).reshape(n, k)
+        total, found = np.bincount(doc, weights=letters, minlength=n), np.bincount(doc, weights=true, minlength=n) > 0
+        gain = np.bincount(doc, weights=scores[np.arange(len(labels)), labels], minlength=n)
+        best = share.argmax(1)
+        cut_at = np.ones(len(labels), bool)
+        cut_at[1:] = (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])
+        at = np.flatnonzero(cut_at)
         last = np.append(at[1:], len(labels)) - 1
         spans: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         for d, c, i, j in zip(doc[at].tolist(), labels[at].tolist(), start[at].tolist(), (start[last] + letters[last]).tolist(), strict=True):
             spans[d].append((self.languages[c], i, j))
         return [
-            (self.languages[best[i]], float(share[i, best[i]] / total[i]), spans[i]) if total[i] else (UNKNOWN, 0.0, [])
-            for i in range(len(texts))
+            Found(self.languages[best[i]], float(share[i, best[i]] / total[i]), float(gain[i] / total[i]), tuple(spans[i]), int(total[i])) if found[i] else Found(UNKNOWN)
+            for i in range(n)
         ]
 
 
+def slices(text: str, most: int):
+    """A text in slices of at most so many characters, with their places, cut between words; a longer word is cut where it stands."""
+    letter, at = _tables()[0], 0
+    while len(text) - at > most:
+        end = at + most
+        while end > at + most // 2 and letter[ord(text[end - 1])]:
+            end -= 1
+        if letter[ord(text[end - 1])]:
+            end = at + most
+        yield at, text[at:end]
+        at = end
+    yield at, text[at:] if at else text
+
+
 def pieces(texts: list[str], letters: int):
     """Runs of texts of about so many characters together; a longer text is a run by itself."""
     at, size = 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t) > letters:
-            yield at, texts[at:i]
+            yield texts[at:i]
             at, size = i, 0
         size += len(t)
     if at < len(texts):
-        yield at, texts[at:]
+        yield texts[at:]
 
 
 def held_out(key: Column) -> Column:
@@ -241,9 +301,13 @@ def train(docs: DataFrame, params: LangParams = LangParams(), key: str = "doc_id
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & ~held_out(F.col("id"))
     )
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(params.max_languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(params.max_languages + 1).collect()}
+    if len(sizes) > params.max_languages:
+        raise ValueError(f"more than {params.max_languages} languages to learn")
+    n_scripts = _tables()[3]
+    nothing = LangModel([], np.zeros((params.buckets, 0), np.float32), np.zeros((n_scripts, 0), bool), params)
     if not sizes:
-        return LangModel([], np.zeros((params.buckets, 0), np.float32), np.zeros((len(SCRIPTS) + 1, 0), bool), params)
+        return nothing
     scale = 1 << 30
     part = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, params.docs_per_language / n) * scale)))])
     sample = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(scale)) < F.try_element_at(part, F.col("lang")))
@@ -254,62 +318,82 @@ def train(docs: DataFrame, params: LangParams = LangParams(), key: str = "doc_id
             for la, t in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True):
                 by.setdefault(la, []).append(t)
             for la, texts in by.items():
-                for _, some in pieces(texts, params.piece_letters // 4):
+                cut = [s for t in texts for _, s in slices(t, params.piece_letters // 4)]
+                for some in pieces(cut, params.piece_letters // 4):
                     x = Letters(some, params)
                     n = np.bincount(np.concatenate(x.buckets), minlength=params.buckets) if x.buckets else np.zeros(params.buckets, int)
-                    s = np.bincount(x.script, minlength=len(SCRIPTS) + 1)
+                    s = np.bincount(x.script, minlength=n_scripts)
                     at = np.concatenate([np.flatnonzero(n), -1 - np.flatnonzero(s)])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([la] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(np.concatenate([n[n > 0], s[s > 0]]), pa.int64())],
                         ["lang", "bucket", "n"],
                     )
 
-    counts = sample.select("text", "lang").transform(arrow_map, count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(set(counts["lang"]))
+    counts = sample.select("text", "lang").transform(arrow_map, count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    label = counts["lang"].combine_chunks().dictionary_encode()
+    names = label.dictionary.to_pylist()
+    languages = sorted(names)
     if not languages:
-        return LangModel([], np.zeros((params.buckets, 0), np.float32), np.zeros((len(SCRIPTS) + 1, 0), bool), params)
-    grid, scripts = np.zeros((params.buckets, len(languages))), np.zeros((len(SCRIPTS) + 1, len(languages)))
-    at = counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
+        return nothing
+    grid, scripts = np.zeros((params.buckets, len(languages))), np.zeros((n_scripts, len(languages)))
+    at = np.array([languages.index(x) for x in names])[label.indices.to_numpy()]
     bucket, n = counts["bucket"].to_numpy(), counts["n"].to_numpy()
     grid[bucket[bucket >= 0], at[bucket >= 0]] = n[bucket >= 0]
     scripts[-1 - bucket[bucket < 0], at[bucket < 0]] = n[bucket < 0]
     # The orders share one table, so a language's total is that of all its n-grams.
     logs = np.log(grid + params.smoothing) - np.log(grid.sum(0) + params.smoothing * params.buckets)
     logs = (logs - logs.mean(1, keepdims=True)) / len(params.orders)
-    seen = np.zeros(len(SCRIPTS) + 1)
     allowed = scripts > params.least_script_share * np.maximum(scripts.sum(0), 1)
-    allowed[0] = seen[0] > 0
+    allowed[0] = True
     return LangModel(languages, logs.astype(np.float32), allowed, params)
 
 
 def identify(docs: DataFrame, model: LangModel | None = None, params: LangParams = LangParams(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred, score and spans for every row. Prediction reads the text alone."""
-    model = model or train(docs, params, key, text, lang)
+    """doc_id, held_out, lang_pred, score, evidence and spans for every row. Prediction reads the text alone."""
+    model = docs.sparkSession.sparkContext.broadcast(model or train(docs, params, key, text, lang))
     kind = docs.schema[key].dataType.simpleString()
     span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         for b in batches:
-            found = model.predict([t or "" for t in b.column(2).to_pylist()])
+            found = model.value.predict([t or "" for t in b.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()),
-                 pa.array([[{"lang": s[0], "start": s[1], "end": s[2]} for s in x[2]] for x in found], span)],
-                ["doc_id", "held_out", "lang_pred", "score", "spans"],
+                [b.column(0), b.column(1), pa.array([x.language for x in found], pa.string()), pa.array([x.share for x in found], pa.float64()),
+                 pa.array([x.evidence for x in found], pa.float64()), pa.array([[{"lang": s[0], "start": s[1], "end": s[2]} for s in x.spans] for x in found], span)],
+                ["doc_id", "held_out", "lang_pred", "score", "evidence", "spans"],
             )
 
     return docs.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text")).transform(
-        arrow_map, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>"
+        arrow_map, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, evidence double, spans array<struct<lang:string,start:int,end:int>>"
     )
 
 
-def label_rows(docs: DataFrame, model: LangModel, text: str = "text", language: str = "__language", share: str = "__share") -> DataFrame:
-    """All rows and columns of docs with language and share of letters behind them."""
+@dataclass(frozen=True)
+class KeepParams:
+    """When a text counts as written in a language that was learned.
+
+    A text evenly mixed from three languages gives each a third. The evidence of
+    random letters is half of what a known language reaches, but that of a few letters
+    scatters with the root of their number, so short texts get leeway.
+    """
+
+    least_share: float = 0.4
+    least_evidence: float = 1.0
+    leeway: float = 4.0
+
+    def keeps(self, found: Found) -> bool:
+        return found.language != UNKNOWN and found.share >= self.least_share and found.evidence >= self.least_evidence - self.leeway / found.letters**0.5
+
+
+def keep_identified(docs: DataFrame, model: LangModel, keep: KeepParams = KeepParams(), text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows whose text is in a language by ``keep``; lang as predicted, all other columns as they are."""
+    model = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         def each(texts):
-            found = model.predict([t or "" for t in texts])
-            return [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            found = model.value.predict([t or "" for t in texts])
+            return [keep.keeps(x) for x in found], {lang: pa.array([x.language for x in found], pa.string())}
 
         return each
 
-    return extend(docs, text, make, [T.StructField(language, T.StringType()), T.StructField(share, T.DoubleType())])
+    return rework(docs, text, make)

@@ -26,10 +26,9 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..runtime import arrow_map
-from .common import extend
+from .common import rework
 
 # The contract's patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -161,7 +160,6 @@ def mask(docs: DataFrame, mark: str, limits: SecretLimits = SecretLimits(), text
 
     def make():
         scanner = SecretScanner(shared.value, limits)
-        return lambda texts: [pa.array([cover(t, scanner(t)[1], mark) for t in texts], pa.string())]
+        return lambda texts: (None, {text: pa.array([cover(t, scanner(t)[1], mark) for t in texts], pa.string())})
 
-    masked = extend(docs, text, make, [T.StructField("__masked", T.StringType())])
-    return masked.withColumn(text, F.col("__masked")).drop("__masked")
+    return rework(docs, text, make)

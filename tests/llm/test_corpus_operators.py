@@ -272,25 +272,74 @@ def test_language_mixture_and_path(spark):
     sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(sf)
     text = {x: sf.where(f"lang = '{x}' and n_chars between 600 and 900").first()["text"] for x in ("en", "de")}
-    spans = model.predict([text["en"] + " " + text["de"]])[0][2]
+    spans = model.predict([text["en"] + " " + text["de"]])[0].spans
     assert [s[0] for s in spans] == ["en", "de"] and abs(spans[0][2] - len(text["en"])) < 30
     x = langid.Letters([text["en"], "", text["de"][:200]], langid.LangParams())
-    scores, sizes = model.words(x), np.bincount(x.word_doc, minlength=3)
-    got, at = model.label(scores, sizes), 0
-    for n in sizes:  # plain Viterbi, one text at a time
-        v, back = np.zeros(scores.shape[1]), []
+    check_labels(model, model.words(x), np.bincount(x.word_doc, minlength=3))
+    # A text cut into slices, whatever their size, gives what it gives whole.
+    long = " ".join([text["en"], text["de"]] * 40)
+    for params in (langid.LangParams(piece_letters=1 << 14), langid.LangParams(piece_letters=1 << 18, labelled_letters=1 << 18)):
+        other = langid.LangModel(model.languages, model.table, model.allowed, params)
+        assert other.predict([long, text["en"], long]) == model.predict([long, text["en"], long])
+    assert "".join(s for _, s in langid.slices(long, 1000)) == long and max(len(s) for _, s in langid.slices(long, 1000)) <= 1000
+    assert [len(s) for _, s in langid.slices("x" * 2500, 1000)] == [1000, 1000, 500]
+
+
+def check_labels(model, scores, sizes):
+    """Against plain Viterbi, one text at a time; paths of equal value may differ."""
+    got, at, penalty = model.label(scores, sizes), 0, model.params.switch_penalty
+    value = lambda path, s: s[np.arange(len(path)), path].sum() - penalty * (path[1:] != path[:-1]).sum()
+    for n in sizes:
+        s = scores[at : at + n].astype(float)
+        v = np.zeros(scores.shape[1])
         for t in range(n):
-            best = v.argmax()
-            move = v < v[best] - model.params.switch_penalty
-            back.append(np.where(move, best, np.arange(len(v))))
-            v = np.where(move, v[best] - model.params.switch_penalty, v) + scores[at + t]
-        k = v.argmax() if n else 0
-        for t in range(n - 1, -1, -1):
-            assert got[at + t] == k
-            k = back[t][k]
+            v = np.maximum(v, v.max() - penalty) + s[t]
+        assert not n or abs(value(got[at : at + n], s) - v.max()) < 1e-3 * max(1, abs(v.max()))
         at += n
 
 
+@pytest.mark.parametrize("k", [2, 3, 9])
+def test_language_paths_across_chunks(k):
+    rng = np.random.default_rng(k)
+    model = langid.LangModel(list("abcdefghi")[:k], np.zeros((1, k), np.float32), np.ones((1, k), bool), langid.LangParams(chunk_words=8, switch_penalty=3.0))
+    sizes = rng.integers(0, 60, 40)
+    sizes[[3, 7]] = 400, 0
+    check_labels(model, rng.normal(0, 1.5, (sizes.sum(), k)).astype(np.float32), sizes)
+
+
+def test_language_scripts(spark):
+    """Letters are Unicode's, in all planes; any script that was learned narrows, and one that was not is no evidence."""
+    rows = [(i, t, la, "s", 1) for i in range(8) for la, t in (("en", "the river and the bridge"), ("kn", "ಕನ್ನಡ ಭಾಷೆ ಮತ್ತು ಸಾಹಿತ್ಯ"), ("got", "\U00010330\U00010331\U00010332 \U00010333\U00010334"))]
+    model = langid.train(spark.createDataFrame(rows, DOC))
+    assert model.languages == ["en", "got", "kn"]
+    emoji, kannada, gothic, han, mark, mixed = model.predict(["\U0001f600 \U0001f680", "ಭಾಷೆ", "\U00010333\U00010330", "漢字", "\u2764\ufe0f", "the bridge 漢字漢字"])
+    assert emoji == mark == langid.Found("und")
+    assert (kannada.language, kannada.share) == ("kn", 1.0) and (gothic.language, gothic.share) == ("got", 1.0)
+    assert (han.language, han.share, han.evidence) == ("en", 0.0, 0.0)
+    assert mixed.language == "en" and abs(mixed.share - 9 / 13) < 1e-9
+    with pytest.raises(ValueError):
+        langid.train(spark.createDataFrame(rows, DOC), langid.LangParams(max_languages=2))
+
+
+def test_language_stage(spark):
+    """Even mixtures and random letters go; documents with a passage in another language stay, and so do short ones."""
+    sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(sf)
+    rnd = random.Random(2)
+    of = {x: [r["text"] for r in sf.where(f"lang = '{x}' and n_chars between 600 and 900").limit(6).collect()] for x in model.languages}
+    even = [" ".join(of[x][i][:300] for x in model.languages) for i in range(5)]
+    noise = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(800)) for _ in range(5)]
+    foreign = [of["en"][i] + " " + of["de"][i][:250] for i in range(5)]
+    texts = [*even, *noise, None, "", "123 456", "\U0001f600", *foreign, "Re.", foreign[0]]
+    df = spark.createDataFrame([(i, t, "xx", "s", 1) for i, t in enumerate(texts)], DOC).withColumn("Language", F.lit(3)).withColumn("a.b", F.lit(4))
+    kept = langid.keep_identified(df, model)
+    assert kept.columns == df.columns
+    assert {r["doc_id"]: r["lang"] for r in kept.collect()} == {i: "en" for i in range(14, 21)}
+    assert kept.count() == 7 and langid.keep_identified(df.limit(0), model).count() == 0
+    whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert langid.keep_identified(whole, model).count() == whole.where(F.col("text").rlike("[\\p{L}]")).count()
+
+
 # 7: URLs
 
 
