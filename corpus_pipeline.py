@@ -15,16 +15,12 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import decontam, langid, ngram_join, packing, secrets
 from ledgerloom.llm.common import shared_folder, table
 
-#: A document of which no language has this share of the letters is rejected; passages in other languages are no fault.
-LEAST_LANGUAGE_SHARE = 0.25
 MASK = "[secret]"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letters) or without a main one go; the rest get lang as predicted."""
-    labelled = langid.label_rows(docs, langid.train(docs))
-    good = labelled.where((F.col("__language") != langid.UNKNOWN) & (F.col("__share") >= LEAST_LANGUAGE_SHARE))
-    return good.withColumn("lang", F.col("__language")).select(*docs.columns)
+    """Documents that are in no learned language go (letterless, evenly mixed or random ones); the rest get lang as predicted."""
+    return langid.keep_identified(docs, langid.train(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
