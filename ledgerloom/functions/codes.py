@@ -34,6 +34,14 @@ OPERATIONS = (
     "preserve_until", "delete", "mark_longest_chain", "get", "get_spend", "query_old_unmined", "process_expired",
 )
 
+# A node's counters and the groups of its latencies.
+COUNTERS = (
+    "spends_attempted", "spends_succeeded", "spends_idempotent", "spends_failed", "unspends_attempted", "unspends_succeeded",
+    "unspends_noop", "unspends_failed", "spend_multi_batches", "creates_attempted", "creates_succeeded", "set_mined_attempted",
+    "set_mined_succeeded", "gets_attempted", "gets_succeeded", "freezes_attempted", "deletes_attempted",
+)
+LATENCIES = ("spend", "spend_multi", "unspend", "lock_wait")
+
 # Bits of a read's field mask. Metadata come first, then sections of variable size.
 FIELDS = (
     "tx_version", "locktime", "fee", "size_in_bytes", "extended_size", "flags", "spending_height", "created_at", "spent_utxos",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
-from ..functions.scalars import bucket_upper, has_flag, hex_of, log2_bucket, shard_of, size_class
+from ..functions.scalars import bucket_upper, has_flag, hex_of, log2_bucket, outcome_of, shard_of, size_class
 from ..runtime import arrow_map
 from .slots import tx_with_blocks
 from .state import State
@@ -95,15 +95,48 @@ def keys_by_shard(state: State) -> DataFrame:
     return state.tx.groupBy(shard_of("txid").alias("shard")).agg(F.count(F.lit(1)).alias("keys"))
 
 
-def roll_up(nodes: DataFrame, counters: list[str], ready: str = "ready") -> DataFrame:
-    """One row from a row for each node: the latest time, sums, a mean weighted by count (whole numbers, empty nodes left out), the worst percentiles, all ready."""
-    n, total = F.col("latency_count"), F.sum("latency_count")
-    weighted = F.sum(F.when(n > 0, (n * F.col("latency_mean")).cast("decimal(38,0)")))
-    return nodes.agg(
-        F.max("timestamp_ms").alias("timestamp_ms"), *[F.sum(c).cast("long").alias(c) for c in counters], total.cast("long").alias("latency_count"),
-        F.when(total > 0, F.floor(weighted / total)).otherwise(0).cast("long").alias("latency_mean"),
-        F.max("latency_p50").alias("latency_p50"), F.max("latency_p99").alias("latency_p99"), F.bool_and(ready).alias("all_ready"),
+#: What a node says of its index, storage, redo log and connections, all summed up.
+GAUGES = (
+    "index_entries", "index_capacity", "index_memory_bytes", "storage_used_bytes", "storage_total_bytes", "storage_free_regions",
+    "redo_current_sequence", "redo_write_position", "redo_available_space", "connections",
+)
+
+
+def _weighted_mean(group: str) -> Column:
+    """Of the nodes' means by their counts, in whole numbers; nodes without samples are left out."""
+    n = F.col(f"{group}_count")
+    return F.when(F.sum(n) > 0, F.floor(F.sum((n * F.col(f"{group}_mean_ns")).cast("decimal(38,0)")) / F.sum(n))).otherwise(0)
+
+
+def _share(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0)).cast("double")
+
+
+def roll_up(nodes: DataFrame) -> DataFrame:
+    """One row from a row for each node: timestamp_ms, the counters, <group>_count, _mean_ns, _p50_ns, _p95_ns and _p99_ns of each
+    latency group, the gauges, ready. Sums, means weighted by count, the worst percentiles, ratios of sums, all ready."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    latencies = [
+        x for g in C.LATENCIES for x in (
+            total(f"{g}_count"), _weighted_mean(g).cast("long").alias(f"{g}_mean_ns"),
+            *[F.coalesce(F.max(f"{g}_{p}_ns"), F.lit(0)).alias(f"{g}_{p}_ns") for p in ("p50", "p95", "p99")],
+        )
+    ]
+    out = nodes.agg(
+        F.coalesce(F.max("timestamp_ms"), F.lit(0)).alias("timestamp_ms"), F.count(F.lit(1)).alias("node_count"), *[total(c) for c in (*C.COUNTERS, *GAUGES)], *latencies,
+        F.coalesce(F.bool_and(F.coalesce("ready", F.lit(False))), F.lit(True)).alias("all_ready"),
     )
+    return out.withColumns({
+        "index_load_factor": _share(F.col("index_entries"), F.col("index_capacity")), "storage_utilization": _share(F.col("storage_used_bytes"), F.col("storage_total_bytes")),
+        "redo_utilization": _share(F.col("redo_write_position"), F.col("redo_write_position") + F.col("redo_available_space")),
+    })
+
+
+def outcome_matrix(spark, answers: DataFrame) -> DataFrame:
+    """Counts by op and outcome class of answers (op, code, idempotent), with a cell for every pair."""
+    counted = answers.groupBy("op", outcome_of(F.col("code"), F.coalesce("idempotent", F.lit(False))).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    cells = spark.createDataFrame([(o, c) for o in C.OPERATIONS for c in C.OUTCOMES], "op string, outcome string")
+    return F.broadcast(cells).join(counted, ["op", "outcome"], "left").select("op", "outcome", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def latency_histogram(samples: DataFrame, ns: str, *by: str) -> DataFrame:
@@ -156,8 +189,9 @@ def replica_lag(acknowledged: DataFrame, threshold: int) -> DataFrame:
 
 def manifest(state: State) -> DataFrame:
     """A digest for each shard, whatever the order: records and the XOR of their row hashes."""
-    h = F.xxhash64("txid", "generation", "spent_utxos", "flags")
-    return state.tx.groupBy(shard_of("txid").alias("shard")).agg(F.count(F.lit(1)).alias("records"), F.bit_xor(h).alias("digest"))
+    row = F.sha2(F.concat_ws(":", hex_of("txid"), "generation", "spent_utxos", "flags"), 256)
+    h = F.conv(F.substring(row, 1, 15), 16, 10).cast("long")
+    return state.tx.groupBy(shard_of("txid").alias("shard")).agg(F.count(F.lit(1)).alias("records"), F.lpad(F.lower(F.hex(F.bit_xor(h))), 16, "0").alias("digest"))
 
 
 def manifest_difference(a: State, b: State) -> DataFrame:
@@ -167,7 +201,9 @@ def manifest_difference(a: State, b: State) -> DataFrame:
     return left.join(right, "txid", "full_outer").where("NOT (a <=> b)").select("txid", kind.alias("kind"))
 
 
-def inspect(state: State, txid: bytes) -> DataFrame:
-    """One record as a JSON line with hexadecimal ids; the filter is pushed to the scan."""
-    row = tx_with_blocks(state).where(F.col("txid") == F.lit(txid))
+def inspect(state: State, txid: bytes | None = None) -> DataFrame:
+    """Records as JSON lines with hexadecimal ids; for one, the filter is pushed to the scans."""
+    if txid is not None:
+        state = state.but(**{n: getattr(state, n).where(F.col("txid") == F.lit(txid)) for n in ("tx", "block")})
+    row = tx_with_blocks(state)
     return row.select(hex_of("txid").alias("txid"), F.to_json(F.struct(hex_of("txid").alias("txid"), *[c for c in state.tx.columns if c != "txid"], "n_blocks")).alias("json"))

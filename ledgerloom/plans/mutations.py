@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import OPERATIONS, OUTCOMES
-from ..functions.scalars import hex_of, outcome_of
-from ..operators import records, slots
+from ..functions.scalars import hex_of
+from ..operators import inventory, pruner, reads, records, slots
 from ..operators.state import Heights, Result
 from ..sources import projection as P
 
@@ -230,8 +230,8 @@ def append_children(s, d):
 
 
 def create_items(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Create requests: each order with custkey % 4 = 1 again (exists), and a copy under a new id, twice; orders without lines have no hashes."""
-    o = P.read(s, d, "orders").where("o_custkey % 4 = 1").withColumn("h", P._height())
+    """Create requests: each order again (exists), and a copy under a new id, twice; orders without lines have no hashes."""
+    o = P.read(s, d, "orders").withColumn("h", P._height())
     both = o.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("copy"))
     name = F.when(F.col("copy") == 0, F.col("o_orderkey").cast("string")).otherwise(F.concat(F.lit("n"), "o_orderkey"))
     zero = F.lit(0).cast("long")
@@ -242,7 +242,7 @@ def create_items(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("o_orderstatus") == "F", F.lit(100)).cast("long").alias("mined_block"), F.lit(1).cast("long").alias("tx_version"), zero.alias("locktime"),
         F.lit(500).cast("long").alias("fee"), F.lit(250).cast("long").alias("size_in_bytes"), zero.alias("spending_height"), F.lit(1710000000000).alias("created_at"), "copy",
     )
-    li = P.lines(s, d).where("o_custkey % 4 = 1").select("l_orderkey", "vout")
+    li = P.lines(s, d).select("l_orderkey", "vout")
     hashes = li.join(items.select(F.col("k").alias("l_orderkey"), "txid", "seq"), "l_orderkey").select("txid", "seq", "vout", P._sha(F.concat_ws(":", "l_orderkey", "vout")).alias("hash"))
     return items, hashes
 
@@ -262,22 +262,41 @@ asked AS (
   SELECT o_orderkey AS k, sha256(CASE WHEN copy = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE 'n' || o_orderkey END) AS txid, o_orderkey * 3 + copy AS seq,
     o_orderkey % 2 = 0 AS frozen, o_orderkey % 3 = 0 AS external, o_orderkey % 5 = 0 AS both_flags, o_orderkey % 10 = 0 AS coinbase, o_custkey % 2 = 0 AS has_blob,
     h, o_orderstatus = 'F' AS mined, coalesce(n, 0) AS n
-  FROM o CROSS JOIN (VALUES (0), (1), (2)) v(copy) LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
-  WHERE o_custkey % 4 = 1),
+  FROM o CROSS JOIN (VALUES (0), (1), (2)) v(copy) LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
 own AS (SELECT a.*, CASE WHEN t.txid IS NOT NULL THEN 12 WHEN a.n = 0 THEN 28 WHEN external AND NOT has_blob THEN 17 ELSE 0 END AS own FROM asked a LEFT JOIN tx t ON t.txid = a.txid),
 made AS (SELECT *, CASE WHEN min(CASE WHEN own = 0 THEN seq END) OVER (PARTITION BY txid) < seq THEN 12 ELSE own END AS code FROM own)"""
 
 
+#: Operations on whole records that answer alike: an unknown record is an error, all else succeeds.
+RECORD_OPERATIONS = ("set_mined", "set_conflicting", "set_locked", "preserve_until", "delete", "mark_longest_chain")
+
+
+def answers(s, d) -> DataFrame:
+    """op, code and idempotent of the items of one batch of every operation that answers by item."""
+    st, named = P.state(s, d), P.tx_items(s, d)
+    told = {
+        "spend": _spend(s, d).items, "unspend": slots.unspend(st, _owned(s, d), HEIGHTS).items, "freeze": slots.freeze(st, P.items(s, d, "N")).items,
+        "unfreeze": slots.unfreeze(st, P.items(s, d, "N")).items, "reassign": _reassign(s, d).items, "create": records.create(st, *create_items(s, d)).items,
+        "set_mined": records.set_mined(st, named, BLOCK_ID, BLOCK_HEIGHT, HEIGHTS).items, "set_conflicting": records.set_conflicting(st, named, True, HEIGHTS).items,
+        "set_locked": records.set_locked(st, named, True).items, "preserve_until": records.preserve_until(st, named, 2600).items, "delete": _delete(s, d).items,
+        "mark_longest_chain": records.mark_longest_chain(st, named, True, HEIGHTS).items,
+        "get": reads.get(st, named, 1).withColumnRenamed("status", "code"), "get_spend": reads.get_spend(st, P.items(s, d, "A")), "process_expired": pruner.sweep(st, 2200).items,
+    }
+    out = None
+    for op, items in told.items():
+        one = items.select(F.lit(op).alias("op"), F.col("code").cast("long").alias("code"), (F.col("idempotent") if "idempotent" in items.columns else F.lit(False)).alias("idempotent"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def spend_outcome_matrix(s, d):
-    """Counts by operation and outcome class, with a cell for every pair."""
-    r = _spend(s, d).items.select(F.lit("spend").alias("op"), outcome_of(F.col("code"), F.col("idempotent")).alias("outcome"))
-    f = slots.freeze(P.state(s, d), P.items(s, d, "N")).items.select(F.lit("freeze").alias("op"), outcome_of(F.col("code"), F.lit(False)).alias("outcome"))
-    counted = r.unionByName(f).groupBy("op", "outcome").agg(F.count(F.lit(1)).alias("n"))
-    cells = s.createDataFrame([(o, c) for o in OPERATIONS for c in OUTCOMES], "op string, outcome string")
-    return F.broadcast(cells).join(counted, ["op", "outcome"], "left").select("op", "outcome", F.coalesce("n", F.lit(0)).alias("n"))
+    """Counts by operation and outcome class of two batches, with a cell for every pair."""
+    r = _spend(s, d).items.select(F.lit("spend").alias("op"), "code", "idempotent")
+    f = slots.freeze(P.state(s, d), P.items(s, d, "N")).items.select(F.lit("freeze").alias("op"), "code", "idempotent")
+    return inventory.outcome_matrix(s, r.unionByName(f))
 
 
-_CLASS = """CASE WHEN code = 0 THEN CASE WHEN idem THEN 'idempotent' ELSE 'ok' END WHEN code = 1 THEN 'err_not_found' WHEN code IN (3, 8, 6, 12, 35) THEN 'err_conflicting'
+CLASS_SQL = """CASE WHEN code = 0 THEN CASE WHEN idem THEN 'idempotent' ELSE 'ok' END WHEN code = 1 THEN 'err_not_found' WHEN code IN (3, 8, 6, 12, 35) THEN 'err_conflicting'
   WHEN code IN (4, 7, 9, 13) THEN 'err_frozen' WHEN code = 30 THEN 'err_storage' WHEN code = 14 THEN 'redirect' ELSE 'other' END"""
 _FREEZE_JUDGED = """, judged_f AS (SELECT *, CASE WHEN gate <> 0 THEN gate WHEN w_seq = seq THEN 0 ELSE 4 END AS code FROM won_f)"""
 
@@ -288,7 +307,7 @@ def _matrix_sql() -> str:
         freeze = freeze.replace(f"{n} AS (", f"{n}_f AS (").replace(f"FROM {n})", f"FROM {n}_f)").replace(f"FROM {n} ", f"FROM {n}_f ").replace(f"FROM {n}\n", f"FROM {n}_f\n")
     freeze = freeze.replace("FROM gated)", "FROM gated_f)")
     return _with(_spend_sql(False) + "," + freeze + _FREEZE_JUDGED, f"""
-, counted AS (SELECT op, {_CLASS} AS outcome, count(*) AS n FROM (
+, counted AS (SELECT op, {CLASS_SQL} AS outcome, count(*) AS n FROM (
     SELECT 'spend' AS op, code, code = 0 AND NOT changed AS idem FROM judged UNION ALL SELECT 'freeze', code, false FROM judged_f) GROUP BY 1, 2)
 SELECT op, outcome, CAST(coalesce(n, 0) AS BIGINT) AS n
 FROM (SELECT unnest({list(OPERATIONS)}) AS op) CROSS JOIN (SELECT unnest({list(OUTCOMES)}) AS outcome) LEFT JOIN counted USING (op, outcome)""")

@@ -39,8 +39,8 @@ def get_spend_batch(s, d):
 
 def response_budget(s, d):
     items = P.tx_items(s, d).join(P.state(s, d).tx.select("txid", "utxo_count"), "txid", "left").withColumns({
-        "batch": F.col("k") % 50, "bytes": (F.coalesce("utxo_count", F.lit(0)) * F.col("utxo_count") * 73 + 320).cast("long")})
-    return reads.within_budget(items, "batch", "seq", "bytes", 60_000).select("k", "fits")
+        "batch": F.floor(F.col("k") / 4000), "bytes": (F.coalesce("utxo_count", F.lit(0)) * F.col("utxo_count") * 73 + 320).cast("long")})
+    return reads.within_budget(items, "batch", "seq", "bytes", 2_000_000).select("k", "fits")
 
 
 def query_old_unmined(s, d):
@@ -57,8 +57,10 @@ def cluster_union(s, d):
 
 
 def inspect_records(s, d):
-    st = P.state(s, d)
-    return st.tx.where(shard_of("txid") == 77).select(hex_of("txid").alias("txid"), F.get_json_object(F.to_json(F.struct("flags", "utxo_count")), "$.utxo_count").cast("long").alias("utxo_count"))
+    """Every record as its JSON line, and the fields read back from it."""
+    shown = I.inspect(P.state(s, d))
+    return shown.select("txid", *[F.get_json_object("json", f"$.{c}").cast("long").alias(c) for c in ("flags", "utxo_count", "spent_utxos", "unmined_since", "n_blocks")],
+                        F.get_json_object("json", "$.txid").alias("json_txid"))
 
 
 def dah_range(s, d):
@@ -90,8 +92,8 @@ def pruner_pipeline(s, d):
 
 
 def _blobs(s, d):
-    """A blob for each order with custkey % 3 < 2, some without a record."""
-    return P.read(s, d, "orders").where("o_custkey % 3 < 2").select(
+    """A blob for each order, some without a record."""
+    return P.read(s, d, "orders").select(
         P._sha(F.when(F.col("o_orderkey") % 13 == 0, F.concat(F.lit("b"), "o_orderkey")).otherwise(F.col("o_orderkey").cast("string"))).alias("txid"),
         (F.col("o_orderkey") % 1000 * 100).cast("long").alias("mtime_ms"), (F.col("o_orderkey") % 17 == 0).alias("pinned"),
     )
@@ -165,18 +167,24 @@ def keys_by_shard(s, d):
     return I.keys_by_shard(P.state(s, d))
 
 
+def _node_columns() -> list[tuple[str, str]]:
+    """A name and an aggregate for every column of a pretended node, the same text in both engines."""
+    out = [("timestamp_ms", "max(c_custkey)"), ("ready", "bool_and(c_custkey > 0)")]
+    out += [(c, f"count(CASE WHEN c_custkey % {i + 2} <> 0 THEN 1 END)") for i, c in enumerate((*C.COUNTERS, *I.GAUGES))]
+    for i, g in enumerate(C.LATENCIES, 1):
+        ns = f"c_custkey * {37 * i} % 100000"
+        out += [(f"{g}_count", f"count(CASE WHEN c_nationkey % 4 <> 1 AND c_custkey % {i + 1} = 0 THEN 1 END)"), (f"{g}_mean_ns", f"CAST(floor(avg({ns})) AS BIGINT)")]
+        out += [(f"{g}_{p}_ns", f"max({ns} // {k})".replace("//", "DIV")) for p, k in (("p50", 3), ("p95", 2), ("p99", 1))]
+    return out
+
+
 def _nodes(s, d):
     """A row for each node of a pretended cluster: nations are nodes."""
-    c = P.read(s, d, "customer").withColumn("ns", (F.abs(F.col("c_custkey")) * 37 % 100000).cast("long"))
-    return c.groupBy(F.col("c_nationkey").alias("node")).agg(
-        F.max("c_custkey").alias("timestamp_ms"), F.count(F.lit(1)).alias("spends_attempted"), F.count_if(F.col("c_custkey") % 3 != 0).alias("spends_succeeded"),
-        F.count_if(F.col("c_custkey") % 2 == 0).alias("latency_count"), F.floor(F.avg("ns")).alias("latency_mean"), F.max("ns").alias("latency_p99"), F.min("ns").alias("latency_p50"),
-        F.bool_and(F.col("c_custkey") > 0).alias("ready"),
-    )
+    return P.read(s, d, "customer").groupBy(F.col("c_nationkey").alias("node")).agg(*[F.expr(x).alias(n) for n, x in _node_columns()])
 
 
 def cluster_roll_up(s, d):
-    return I.roll_up(_nodes(s, d), ["spends_attempted", "spends_succeeded"])
+    return I.roll_up(_nodes(s, d))
 
 
 def _samples(s, d):
@@ -201,9 +209,10 @@ def prometheus_text(s, d):
 
 
 def outcome_counters(s, d):
-    """Operations and outcomes counted from a log of events."""
-    e = P.read(s, d, "events").select("event_type", F.when(F.col("event_id") % 7 == 0, "err_conflicting").when(F.col("event_id") % 11 == 0, "idempotent").otherwise("ok").alias("outcome"))
-    return e.groupBy("event_type", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    """Operations and outcome classes counted over real batches, a cell for every pair of the 16 operations and 8 classes."""
+    from . import mutations as M
+
+    return I.outcome_matrix(s, M.answers(s, d))
 
 
 def throughput_rate(s, d):
@@ -228,7 +237,7 @@ def manifest_difference(s, d):
 
 
 def manifest_counts(s, d):
-    return I.manifest(P.state(s, d)).select("shard", "records")
+    return I.manifest(P.state(s, d)).select("shard", "records", "digest")
 
 
 def scalar_functions(s, d):
@@ -268,7 +277,7 @@ h AS (SELECT event_type, bucket, CASE WHEN bucket = 0 THEN 128 WHEN bucket >= 24
   sum(n) OVER (PARTITION BY event_type ORDER BY bucket) AS cumulative FROM b)"""
 _TOMB = "tomb AS (SELECT txid, k % 5 AS generation, k % 700 AS deletion_height, k % 3 AS cause FROM tx_items)"
 _BLOBS = """blobs AS (SELECT sha256(CASE WHEN o_orderkey % 13 = 0 THEN 'b' || o_orderkey ELSE CAST(o_orderkey AS VARCHAR) END) AS txid,
-  o_orderkey % 1000 * 100 AS mtime, o_orderkey % 17 = 0 AS pinned FROM o WHERE o_custkey % 3 < 2)"""
+  o_orderkey % 1000 * 100 AS mtime, o_orderkey % 17 = 0 AS pinned FROM o)"""
 _SWEPT = """
 due AS (SELECT *, {ok} AS ok FROM tx WHERE delete_at_height BETWEEN 1 AND 2200),
 dead AS (SELECT txid FROM due WHERE ok),
@@ -329,7 +338,7 @@ ORACLES = {
     "query_old_unmined": _with(P.SQL, "SELECT txid, count(*) OVER () > 500 AS truncated FROM (SELECT txid FROM tx WHERE unmined_since BETWEEN 1 AND 1800 AND txid > '40' ORDER BY txid LIMIT 501) QUALIFY row_number() OVER (ORDER BY txid) <= 500"),
     "query_conflicting": _with(P.SQL, "SELECT txid, count(*) OVER () > 1000 AS truncated FROM (SELECT txid FROM tx WHERE flags & 2 <> 0 ORDER BY txid LIMIT 1001) QUALIFY row_number() OVER (ORDER BY txid) <= 1000"),
     "cluster_union": _with(P.SQL, "SELECT txid FROM tx WHERE unmined_since BETWEEN 1 AND 2500 OR flags & 2 <> 0"),
-    "inspect_records": _with(P.SQL, f"SELECT txid, utxo_count FROM tx WHERE {_SHARD} = 77"),
+    "inspect_records": _with(P.SQL, "SELECT txid, " + ", ".join(_B(c, c) for c in ("flags", "utxo_count", "spent_utxos", "unmined_since", "n_blocks")) + ", txid AS json_txid FROM tx"),
     "dah_range": _with(P.SQL, "SELECT txid, CAST(delete_at_height AS BIGINT) AS delete_at_height FROM tx WHERE delete_at_height BETWEEN 1 AND 2000 ORDER BY delete_at_height, txid LIMIT 300"),
     "dah_sweep": _with(P.SQL + "," + _SWEPT, "SELECT txid, CAST(CASE WHEN ok THEN 0 ELSE 36 END AS BIGINT) AS code FROM due"),
     "dah_sweep_state": _with(P.SQL + "," + _SWEPT, f"SELECT txid, {_B('spent_utxos - coalesce(p, 0)', 'spent_utxos')}, {_B('pruned_utxos + coalesce(p, 0)', 'pruned_utxos')}, {_B('coalesce(p, 0)', 'generation')} FROM tx LEFT JOIN hit USING (txid) WHERE txid NOT IN (SELECT txid FROM dead)"),
@@ -351,15 +360,10 @@ ORACLES = {
     "shards_by_node": f"SELECT CAST(node AS BIGINT) AS node, count(*) FILTER (rank = 0) AS masters, count(*) FILTER (rank > 0) AS replicas FROM (SELECT unnest(range(4096)) AS shard) CROSS JOIN (SELECT unnest(range(3)) AS rank) JOIN {_NODE_ROWS} ON n.i = (shard + rank) % 5 GROUP BY 1",
     "migration_plan": _with(_weights(_NODE_ROWS) + ", b AS (SELECT shard, first(node ORDER BY w DESC, node) AS target, first(node ORDER BY w DESC, node) FILTER (node <> 55) AS source FROM w GROUP BY 1)", "SELECT shard, CAST(source AS BIGINT) AS source, CAST(target AS BIGINT) AS target FROM b WHERE source <> target"),
     "keys_by_shard": _with(P.SQL, f"SELECT {_SHARD} AS shard, count(*) AS keys FROM tx GROUP BY 1"),
-    "cluster_roll_up": """WITH n AS (SELECT c_nationkey, max(c_custkey) AS ts, count(*) AS a, count(*) FILTER (c_custkey % 3 <> 0) AS ok, count(*) FILTER (c_custkey % 2 = 0) AS lc,
-        CAST(floor(avg(abs(c_custkey) * 37 % 100000)) AS BIGINT) AS mean, max(abs(c_custkey) * 37 % 100000) AS p99, min(abs(c_custkey) * 37 % 100000) AS p50, bool_and(c_custkey > 0) AS ready FROM customer GROUP BY 1)
-      SELECT max(ts) AS timestamp_ms, CAST(sum(a) AS BIGINT) AS spends_attempted, CAST(sum(ok) AS BIGINT) AS spends_succeeded, CAST(sum(lc) AS BIGINT) AS latency_count,
-        CAST(sum(lc * mean) FILTER (lc > 0) // sum(lc) AS BIGINT) AS latency_mean, max(p50) AS latency_p50, max(p99) AS latency_p99, bool_and(ready) AS all_ready FROM n""",
     "latency_histogram": _with(_SAMPLES, "SELECT event_type, CAST(bucket AS BIGINT) AS bucket, upper_ns, n, CAST(cumulative AS BIGINT) AS cumulative FROM h"),
     "latency_percentile": _with(_SAMPLES, "SELECT event_type, min(upper_ns) AS percentile_ns FROM (SELECT *, max(cumulative) OVER (PARTITION BY event_type) AS total FROM h) WHERE cumulative >= ceil(total * 99 / 100) GROUP BY 1"),
     "latency_nearest_rank": _with(_SAMPLES, "SELECT event_type, quantile_disc(ns, 0.95) AS value FROM samples GROUP BY 1"),
     "prometheus_text": _with(_SAMPLES, """SELECT 'op_latency_ns_bucket{event_type="' || event_type || '",le="' || CASE WHEN bucket >= 24 THEN '+Inf' ELSE CAST(upper_ns AS VARCHAR) END || '"} ' || CAST(cumulative AS BIGINT) AS line FROM h"""),
-    "outcome_counters": "SELECT event_type, CASE WHEN event_id % 7 = 0 THEN 'err_conflicting' WHEN event_id % 11 = 0 THEN 'idempotent' ELSE 'ok' END AS outcome, count(*) AS n FROM events GROUP BY 1, 2",
     "throughput_rate": """WITH w AS (SELECT event_type, unnest(range(CAST(floor(epoch(ts)) AS BIGINT) - 9, CAST(floor(epoch(ts)) AS BIGINT) + 1)) AS start_s FROM events),
       c AS (SELECT event_type, start_s, count(*) AS n FROM w GROUP BY 1, 2) SELECT event_type, count(*) AS windows, CAST(sum(n) AS BIGINT) AS n, max(n) AS most FROM c GROUP BY 1""",
     "counter_faults": _with(P.SQL, "SELECT txid, CASE WHEN flags = 1 THEN 'no_record' ELSE 'spent' END AS fault FROM tx WHERE flags IN (1, 8)"),
@@ -367,10 +371,38 @@ ORACLES = {
     "manifest_difference": _with(P.SQL, "SELECT CASE WHEN flags = 8 THEN 'only_a' ELSE 'generation' END AS kind, count(*) AS n FROM tx WHERE flags IN (8, 2) GROUP BY 1"),
     "scalar_functions": _with(P.SQL, f"""SELECT txid, {_SHARD} AS shard, {_FP} AS fingerprint, printf('%02x000000', utxo_count) AS count_le, CAST(utxo_count * 65537 AS BIGINT) AS back,
       ({_FP} - 4294967000 + 4294967296) % 4294967296 BETWEEN 1 AND 2147483647 AS ahead, sha256(from_hex(txid)) AS digest FROM tx"""),
-    "manifest_counts": _with(P.SQL, f"SELECT {_SHARD} AS shard, count(*) AS records FROM tx GROUP BY 1"),
+    "manifest_counts": _with(P.SQL, f"""SELECT {_SHARD} AS shard, count(*) AS records,
+      lower(printf('%016x', bit_xor(CAST('0x' || sha256(txid || ':' || generation || ':' || spent_utxos || ':' || flags)[1:15] AS BIGINT)))) AS digest FROM tx GROUP BY 1"""),
 }
-ORACLES["response_budget"] = _with(P.SQL, """, sized AS (SELECT i.k, i.k % 50 AS batch, i.seq, coalesce(t.utxo_count * t.utxo_count * 73 + 320, 0) AS bytes FROM tx_items i LEFT JOIN tx t ON t.txid = i.txid),
+def _outcomes_sql() -> str:
+    from . import mutations as M
+
+    told = {op: (M.ORACLES[name], idempotent) for op, name, idempotent in (
+        ("spend", "spend_batch_outcomes", "idempotent"), ("unspend", "unspend_batch_outcomes", "idempotent"), ("freeze", "freeze_batch_outcomes", "false"),
+        ("unfreeze", "unfreeze_batch_outcomes", "false"), ("reassign", "reassign_batch_outcomes", "false"), ("create", "create_batch_outcomes", "false"))}
+    told |= {op: (M.ORACLES["tx_batch_outcomes"], "false") for op in M.RECORD_OPERATIONS}
+    told |= {"get": (ORACLES["get_batch"].replace(" AS status", " AS code"), "false"), "get_spend": (ORACLES["get_spend_batch"], "false"), "process_expired": (ORACLES["dah_sweep"], "false")}
+    rows = " UNION ALL ".join(f"SELECT '{op}' AS op, code, {idem} AS idem FROM ({sql})" for op, (sql, idem) in told.items())
+    return f"""WITH counted AS (SELECT op, {M.CLASS_SQL} AS outcome, count(*) AS n FROM ({rows}) GROUP BY 1, 2)
+      SELECT op, outcome, CAST(coalesce(n, 0) AS BIGINT) AS n
+      FROM (SELECT unnest({list(C.OPERATIONS)}) AS op) CROSS JOIN (SELECT unnest({list(C.OUTCOMES)}) AS outcome) LEFT JOIN counted USING (op, outcome)"""
+
+
+def _roll_up_sql() -> str:
+    nodes = ", ".join(f"{x.replace('DIV', '//')} AS {n}" for n, x in _node_columns())
+    total = [f"CAST(sum({c}) AS BIGINT) AS {c}" for c in (*C.COUNTERS, *I.GAUGES, *[f"{g}_count" for g in C.LATENCIES])]
+    means = [f"CAST(CASE WHEN sum({g}_count) > 0 THEN sum({g}_count * {g}_mean_ns) // sum({g}_count) ELSE 0 END AS BIGINT) AS {g}_mean_ns" for g in C.LATENCIES]
+    worst = [f"max({g}_{p}_ns) AS {g}_{p}_ns" for g in C.LATENCIES for p in ("p50", "p95", "p99")]
+    return f"""WITH n AS (SELECT {nodes} FROM customer GROUP BY c_nationkey)
+      SELECT max(timestamp_ms) AS timestamp_ms, count(*) AS node_count, {", ".join([*total, *means, *worst])}, bool_and(ready) AS all_ready,
+        sum(index_entries) / sum(index_capacity) AS index_load_factor, sum(storage_used_bytes) / sum(storage_total_bytes) AS storage_utilization,
+        sum(redo_write_position) / (sum(redo_write_position) + sum(redo_available_space)) AS redo_utilization FROM n"""
+
+
+ORACLES["cluster_roll_up"] = _roll_up_sql()
+ORACLES["outcome_counters"] = _outcomes_sql()
+ORACLES["response_budget"] = _with(P.SQL, """, sized AS (SELECT i.k, i.k // 4000 AS batch, i.seq, coalesce(t.utxo_count * t.utxo_count * 73 + 320, 0) AS bytes FROM tx_items i LEFT JOIN tx t ON t.txid = i.txid),
   lists AS (SELECT batch, list({'k': k, 'bytes': CAST(bytes AS BIGINT)} ORDER BY seq) AS l FROM sized GROUP BY 1),
-  folded AS (SELECT list_reduce(l, lambda a, x: {'used': a.used + CASE WHEN a.used + x.bytes + 5 <= 60000 THEN x.bytes + 5 ELSE 5 END, 'told': list_append(a.told, {'k': x.k, 'fits': a.used + x.bytes + 5 <= 60000})},
+  folded AS (SELECT list_reduce(l, lambda a, x: {'used': a.used + CASE WHEN a.used + x.bytes + 5 <= 2000000 THEN x.bytes + 5 ELSE 5 END, 'told': list_append(a.told, {'k': x.k, 'fits': a.used + x.bytes + 5 <= 2000000})},
     {'used': CAST(13 AS BIGINT), 'told': CAST([] AS STRUCT(k BIGINT, fits BOOLEAN)[])}) AS f FROM lists)
   SELECT t.k, t.fits FROM (SELECT unnest(f.told) AS t FROM folded)""")

@@ -93,10 +93,11 @@ def items(spark: SparkSession, sf_dir: str, returnflag: str) -> DataFrame:
     )
 
 
-def tx_items(spark: SparkSession, sf_dir: str, modulus: int = 3) -> DataFrame:
-    """A batch of record items: k, txid, seq; each third order, some unknown."""
-    return read(spark, sf_dir, "orders").where(F.col("o_custkey") % modulus == 1).select(
-        F.col("o_orderkey").alias("k"), _sha(F.when(F.col("o_orderkey") % 97 == 0, F.concat(F.lit("u"), "o_orderkey")).otherwise(F.col("o_orderkey").cast("string"))).alias("txid"),
+def tx_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of record items, one for each order: k, txid, seq; the txid is unknown unless custkey % 3 = 1."""
+    unknown = (F.col("o_custkey") % 3 != 1) | (F.col("o_orderkey") % 97 == 0)
+    return read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("k"), _sha(F.when(unknown, F.concat(F.lit("u"), "o_orderkey")).otherwise(F.col("o_orderkey").cast("string"))).alias("txid"),
         F.col("o_orderkey").cast("long").alias("seq"),
     )
 
@@ -138,8 +139,8 @@ items AS (
     l_linenumber = 4 AND l_discount < 0.005 AS reserved
   FROM li),
 tx_items AS (
-  SELECT o_orderkey AS k, sha256(CASE WHEN o_orderkey % 97 = 0 THEN 'u' || o_orderkey ELSE CAST(o_orderkey AS VARCHAR) END) AS txid, o_orderkey AS seq
-  FROM o WHERE o_custkey % 3 = 1)"""
+  SELECT o_orderkey AS k, sha256(CASE WHEN o_custkey % 3 <> 1 OR o_orderkey % 97 = 0 THEN 'u' || o_orderkey ELSE CAST(o_orderkey AS VARCHAR) END) AS txid, o_orderkey AS seq
+  FROM o)"""
 
 
 def dah_sql(source: str, height: int, retention: int, touched: str, has_blocks: str, extra: str = "") -> str:
