@@ -35,6 +35,23 @@ def le_bytes(x: Column, width: int) -> Column:
     return F.unhex(F.concat(*[F.substring(h, 2 * (width - i) - 1, 2) for i in range(width)]))
 
 
+def _power(n: int) -> Column:
+    """2**n as a decimal: an unsigned 64-bit number is beyond BIGINT."""
+    return F.lit(str(1 << n)).cast("decimal(20,0)")
+
+
+def le_uint64(x: Column | str, at: int) -> Column:
+    """The little-endian unsigned number of 8 bytes at an offset, as decimal(20,0)."""
+    return (byte_at(x, at + 7).cast("decimal(20,0)") * _power(56) + le_uint(x, at, 7).cast("decimal(20,0)")).cast("decimal(20,0)")
+
+
+def le_bytes64(x: Column) -> Column:
+    """An unsigned 64-bit number (any integer type or decimal(20,0)) as 8 little-endian bytes."""
+    x = x.cast("decimal(20,0)")
+    high = F.floor(x / _power(32)).cast("decimal(20,0)")
+    return F.concat(le_bytes((x - high * _power(32)).cast("long"), 4), le_bytes(high.cast("long"), 4))
+
+
 def shard_of(txid: Column | str) -> Column:
     """The low 12 bits of the first two bytes, little-endian."""
     return le_uint(txid, 0, 2) % F.lit(SHARDS)
@@ -53,10 +70,6 @@ def next_generation(x: Column) -> Column:
     return F.pmod(x + 1, F.lit(U32_MAX + 1))
 
 
-def fits_u32(x: Column) -> Column:
-    return x.between(0, U32_MAX)
-
-
 def has_flag(flags: Column | str, bit: int) -> Column:
     return F.col(flags).bitwiseAND(F.lit(bit)) != 0 if isinstance(flags, str) else flags.bitwiseAND(F.lit(bit)) != 0
 
@@ -70,9 +83,17 @@ def is_reserved(data: Column) -> Column:
     return data == lit_hex("FF" * 36)
 
 
-def frozen_cooldown(raw: Column) -> Column:
+def frozen_cooldown(data: Column) -> Column:
     """What a frozen slot's 36 bytes keep of its cooldown; an old slot of FF bytes alone keeps none."""
-    return F.when(is_reserved(raw), F.lit(0)).otherwise(le_uint(raw, 0, 4))
+    return F.when(is_reserved(data), F.lit(0)).otherwise(le_uint(data, 0, 4)).cast("long")
+
+
+def fits_u32(x: Column) -> Column:
+    return x.between(0, U32_MAX)
+
+
+def is_frozen(status: Column) -> Column:
+    return status == FROZEN
 
 
 def effectively_locked(flags: Column, n_blocks: Column) -> Column:
@@ -116,7 +137,3 @@ def bucket_upper(bucket: Column) -> Column:
 
 def size_class(n: Column) -> Column:
     return F.when(n <= 1, "1").when(n <= 4, "2-4").when(n <= 16, "5-16").otherwise("17+")
-
-
-def is_frozen(status: Column) -> Column:
-    return status == FROZEN

@@ -12,7 +12,7 @@ from ..functions.scalars import all_spent, has_flag, next_generation
 from . import records
 from .reads import old_unmined
 from .slots import tx_with_blocks
-from .state import Result, State
+from .state import Result, State, stamp
 
 
 def due_in_order(state: State, height: int, limit: int | None = None) -> DataFrame:
@@ -27,14 +27,14 @@ def is_due(height: int) -> Column:
     return (F.col("preserve_until") == 0) & F.col("delete_at_height").between(1, height) & (has_flag("flags", C.CONFLICTING) | finished)
 
 
-def sweep(state: State, height: int) -> Result:
+def sweep(state: State, height: int, now_ms: int | None = None) -> Result:
     """Deletes what is due; answers are the candidates with code 0 or NOT_DUE."""
     seen = tx_with_blocks(state).where(F.col("delete_at_height").between(1, height)).select("txid", F.when(is_due(height), 0).otherwise(C.ERRORS["NOT_DUE"]).cast("long").alias("code"))
-    done = records.delete(state, seen.where("code = 0").select("txid"), height, cause=0)
+    done = records.delete(state, seen.where("code = 0").select("txid"), height, cause=0, now_ms=now_ms)
     return Result(done.state, seen, done.audit)
 
 
-def expire_preservations(state: State, height: int, retention: int = C.RETENTION) -> State:
+def expire_preservations(state: State, height: int, retention: int = C.RETENTION, now_ms: int | None = None) -> State:
     """Preservations that have run out end; a record that is finished gets a height of deletion, others none."""
     tx = tx_with_blocks(state)
     over = F.col("preserve_until").between(1, height)
@@ -44,24 +44,24 @@ def expire_preservations(state: State, height: int, retention: int = C.RETENTION
         "delete_at_height": F.when(F.col("__over"), at).otherwise(F.col("delete_at_height")),
         "preserve_until": F.when(F.col("__over"), 0).otherwise(F.col("preserve_until")).cast("long"),
         "generation": F.when(F.col("__over"), next_generation(F.col("generation"))).otherwise(F.col("generation")),
+        "updated_at": F.when(F.col("__over"), stamp(now_ms)).otherwise(F.col("updated_at")),
     })
     return state.but(tx=tx.select(*state.tx.columns))
 
 
-def process_expired(state: State, height: int, retention: int | None = C.RETENTION) -> Result:
+def process_expired(state: State, height: int, retention: int | None = C.RETENTION, now_ms: int | None = None) -> Result:
     """Expires preservations (unless an old client gives no retention), then sweeps."""
-    return sweep(state if retention is None else expire_preservations(state, height, retention), height)
+    return sweep(state if retention is None else expire_preservations(state, height, retention, now_ms), height, now_ms)
 
 
 def parents_of(state: State, children: DataFrame) -> DataFrame:
     """The records that have a slot spent by one of the children."""
-    named = children.select(F.col("txid").alias("spender")).distinct()
-    return state.utxo.where(F.col("status") == C.SPENT).join(named, "spender", "left_semi").select("txid").distinct()
+    return records.spent_slots(state, children).select("txid").distinct()
 
 
-def preserve_parents(state: State, cutoff: int, until: int) -> Result:
+def preserve_parents(state: State, cutoff: int, until: int, now_ms: int | None = None) -> Result:
     """Parents of old unmined records are kept until a height."""
-    return records.preserve_until(state, parents_of(state, old_unmined(state, cutoff)), until)
+    return records.preserve_until(state, parents_of(state, old_unmined(state, cutoff)), until, now_ms)
 
 
 @dataclass(frozen=True)
@@ -72,10 +72,10 @@ class Pruned:
     tombstones: DataFrame
 
 
-def prune(state: State, height: int, retention: int = C.RETENTION, unmined: int = C.UNMINED_RETENTION, parents: int = C.PARENT_RETENTION) -> Pruned:
+def prune(state: State, height: int, retention: int = C.RETENTION, unmined: int = C.UNMINED_RETENTION, parents: int = C.PARENT_RETENTION, now_ms: int | None = None) -> Pruned:
     """The phases in order: preserve parents, expire preservations, sweep."""
-    first = preserve_parents(state, height - unmined, height + parents)
-    last = process_expired(first.state.but(tx=first.state.tx.drop("signal")), height, retention)
+    first = preserve_parents(state, height - unmined, height + parents, now_ms)
+    last = process_expired(first.state.but(tx=first.state.tx.drop("signal")), height, retention, now_ms)
     return Pruned(last.state, first.items, last.items, last.audit)
 
 

@@ -64,22 +64,23 @@ def within_budget(items: DataFrame, batch: str, seq: str, size: str, budget: int
     """Which answers of a response fit: in order, an item that does not fit is refused and costs its header only, smaller ones after it may fit.
 
     The decision for an item depends on all decisions before it, so each response
-    (at most 8192 items) is folded in order. Adds ``fits``.
+    (at most 8192 items, more are an error) is folded in order to the refused ones. Adds ``fits``.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"))))
-    start = F.struct(F.lit(C.FRAME_OVERHEAD).cast("long").alias("used"), F.array().cast("array<struct<seq:bigint,fits:boolean>>").alias("told"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).cast("long").alias("seq"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"))))
+    start = F.struct(F.lit(C.FRAME_OVERHEAD).cast("long").alias("used"), F.array().cast("array<bigint>").alias("refused"))
 
     def step(a: Column, x: Column) -> Column:
         cost = x["size"] + C.ITEM_OVERHEAD
         fits = a["used"] + cost <= budget
         return F.struct(
             (a["used"] + F.when(fits, cost).otherwise(C.ITEM_OVERHEAD)).cast("long").alias("used"),
-            F.concat(a["told"], F.array(F.struct(x["seq"].cast("long").alias("seq"), fits.alias("fits")))).alias("told"),
+            F.when(fits, a["refused"]).otherwise(F.array_append(a["refused"], x["seq"])).alias("refused"),
         )
 
-    folded = items.groupBy(batch).agg(F.aggregate(ordered, start, step, lambda a: a["told"]).alias("told"))
-    told = folded.select(batch, F.explode("told").alias("t")).select(batch, F.col("t.seq").alias(seq), F.col("t.fits").alias("fits"))
-    return items.join(told, [batch, seq])
+    bounded = F.when(F.size("l") > C.MAX_BATCH, F.raise_error(F.lit(f"a batch has more than {C.MAX_BATCH} items")).cast("array<struct<seq:bigint,size:bigint>>")).otherwise(F.col("l"))
+    folded = items.groupBy(batch).agg(ordered.alias("l")).select(batch, F.aggregate(bounded, start, step, lambda a: a["refused"]).alias("refused"))
+    refused = folded.select(batch, F.explode("refused").alias(seq), F.lit(False).alias("fits"))
+    return items.join(refused, [batch, seq], "left").withColumn("fits", F.coalesce("fits", F.lit(True)))
 
 
 def keyset_page(found: DataFrame, cursor: bytes | None, page: int) -> DataFrame:

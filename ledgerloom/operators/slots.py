@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
-from ..functions.scalars import effectively_locked, has_flag, next_generation, set_flag
+from ..functions.scalars import effectively_locked, has_flag, is_reserved, le_bytes, next_generation, set_flag
 from .lifecycle import with_evaluation
-from .state import Heights, Result, State
+from .state import Heights, Result, State, stamp
 
 E = C.ERRORS
 
@@ -42,8 +42,11 @@ def tx_with_blocks(state: State) -> DataFrame:
 
 def _looked_up(state: State, items: DataFrame) -> DataFrame:
     """Items with their record (t_*) and slot (s_*), null where there is none."""
-    tx = tx_with_blocks(state).select("txid", *[F.col(c).alias(f"t_{c}") for c in ("flags", "spending_height", "utxo_count", "n_blocks")])
-    slot = state.utxo.select("txid", "vout", *[F.col(c).alias(f"s_{c}") for c in ("hash", "status", "spender", "vin", "cooldown")])
+    # Only what the batch names is read on: where the batch is small its ids are broadcast and the tables are not shuffled.
+    ids = items.select("txid").distinct()
+    near = state.but(**{n: getattr(state, n).join(ids, "txid", "left_semi") for n in ("tx", "utxo", "block")})
+    tx = tx_with_blocks(near).select("txid", *[F.col(c).alias(f"t_{c}") for c in ("flags", "spending_height", "utxo_count", "n_blocks")])
+    slot = near.utxo.select("txid", "vout", *[F.col(c).alias(f"s_{c}") for c in ("hash", "status", "spender", "vin", "cooldown")])
     return items.join(tx, "txid", "left").join(slot, ["txid", "vout"], "left")
 
 
@@ -76,7 +79,7 @@ def _same(spender: str, vin: str) -> Column:
     return (F.col("spender") == F.col(spender)) & (F.col("vin") == F.col(vin))
 
 
-def _settle(state: State, judged: DataFrame, slot_changes: DataFrame, spent_change: int, heights: Heights | None) -> State:
+def _settle(state: State, judged: DataFrame, slot_changes: DataFrame, spent_change: int, heights: Heights | None, now_ms: int | None) -> State:
     """Puts the changed slots in place and brings the records' counters, generation and lifecycle up to date.
 
     slot_changes: txid, vout and the new values n_* of changed slots, a row a slot.
@@ -91,15 +94,19 @@ def _settle(state: State, judged: DataFrame, slot_changes: DataFrame, spent_chan
     tx = tx.withColumns({
         "spent_utxos": F.col("spent_utxos") + F.col("n_changed") * spent_change,
         "generation": F.when(hit, next_generation(F.col("generation"))).otherwise(F.col("generation")),
+        "updated_at": F.when(hit, stamp(now_ms)).otherwise(F.col("updated_at")),
     })
     if heights:
         tx = with_evaluation(tx, heights, hit, F.col("n_blocks") > 0)
     return state.but(tx=tx.select(*state.tx.columns, *[c for c in ("signal", "overflow") if c in tx.columns]), utxo=utxo)
 
 
-def spend(state: State, items: DataFrame, heights: Heights, ignore_conflicting: bool = False, ignore_locked: bool = False) -> Result:
+def spend(state: State, items: DataFrame, heights: Heights, ignore_conflicting: bool = False, ignore_locked: bool = False, now_ms: int | None = None) -> Result:
     """Spends slots; the answer of a failed item carries what the slot holds (by_spender, by_vin)."""
-    reserved = F.coalesce(F.col("reserved"), F.lit(False)) if "reserved" in items.columns else F.lit(False)
+    # Spending data of FF bytes alone mark a frozen slot and cannot be a spender's.
+    reserved = F.coalesce(is_reserved(F.concat("spender", le_bytes(F.col("vin"), 4))), F.lit(False))
+    if "reserved" in items.columns:
+        reserved |= F.coalesce(F.col("reserved"), F.lit(False))
     gates = Gates(not ignore_conflicting, not ignore_locked, True)
     df = _looked_up(state, items)
     gate = _gate(gates, heights.current, F.when(reserved, E["INVALID_SPEND"]))
@@ -128,10 +135,10 @@ def spend(state: State, items: DataFrame, heights: Heights, ignore_conflicting:
         "by_vin": F.when(told, F.when(open_, F.col("w_vin")).otherwise(F.col("s_vin"))),
     })
     slots = df.where("changed").select("txid", "vout", F.col("s_hash").alias("n_hash"), F.lit(C.SPENT).cast("long").alias("n_status"), F.col("spender").alias("n_spender"), F.col("vin").alias("n_vin"), F.lit(0).cast("long").alias("n_cooldown"))
-    return Result(_settle(state, df, slots, 1, heights), df.select(*items.columns, "code", "idempotent", "by_spender", "by_vin"))
+    return Result(_settle(state, df, slots, 1, heights, now_ms), df.select(*items.columns, "code", "idempotent", "by_spender", "by_vin"))
 
 
-def unspend(state: State, items: DataFrame, heights: Heights) -> Result:
+def unspend(state: State, items: DataFrame, heights: Heights, now_ms: int | None = None) -> Result:
     """Clears slots that the named spender holds; anything else than a wrong hash or a pruned slot is no error."""
     df = _looked_up(state, items)
     gate = _gate(Gates(), heights.current)
@@ -143,10 +150,10 @@ def unspend(state: State, items: DataFrame, heights: Heights) -> Result:
     df = df.withColumn("idempotent", (F.col("code") == 0) & ~F.col("changed"))
     nothing = F.lit(None)
     slots = df.where("changed").select("txid", "vout", F.col("s_hash").alias("n_hash"), F.lit(C.UNSPENT).cast("long").alias("n_status"), nothing.cast("binary").alias("n_spender"), nothing.cast("long").alias("n_vin"), F.lit(0).cast("long").alias("n_cooldown"))
-    return Result(_settle(state, df, slots, -1, heights), df.select(*items.columns, "code", "idempotent"))
+    return Result(_settle(state, df, slots, -1, heights, now_ms), df.select(*items.columns, "code", "idempotent"))
 
 
-def _freezing(state: State, items: DataFrame, on: bool) -> Result:
+def _freezing(state: State, items: DataFrame, on: bool, now_ms: int | None) -> Result:
     df = _looked_up(state, items)
     gate = _gate(Gates(), 0)
     gate = F.when(gate != 0, gate).when(F.col("hash") != F.col("s_hash"), E["UTXO_HASH_MISMATCH"])
@@ -161,21 +168,21 @@ def _freezing(state: State, items: DataFrame, on: bool) -> Result:
     told = F.col("code") == E["ALREADY_SPENT"]
     df = df.withColumns({"by_spender": F.when(told, F.col("s_spender")), "by_vin": F.when(told, F.col("s_vin"))})
     slots = df.where("changed").select("txid", "vout", F.col("s_hash").alias("n_hash"), F.lit(C.FROZEN if on else C.UNSPENT).cast("long").alias("n_status"), F.col("s_spender").alias("n_spender"), F.col("s_vin").alias("n_vin"), F.col("s_cooldown").alias("n_cooldown"))
-    out = _settle(state, df, slots, 0, None)
+    out = _settle(state, df, slots, 0, None, now_ms)
     return Result(out, df.select(*items.columns, "code", F.lit(False).alias("idempotent"), *(["by_spender", "by_vin"] if on else [])))
 
 
-def freeze(state: State, items: DataFrame) -> Result:
+def freeze(state: State, items: DataFrame, now_ms: int | None = None) -> Result:
     """Freezes unspent slots; the cooldown is kept."""
-    return _freezing(state, items, True)
+    return _freezing(state, items, True, now_ms)
 
 
-def unfreeze(state: State, items: DataFrame) -> Result:
+def unfreeze(state: State, items: DataFrame, now_ms: int | None = None) -> Result:
     """Frozen slots become unspent again with the cooldown they had."""
-    return _freezing(state, items, False)
+    return _freezing(state, items, False, now_ms)
 
 
-def reassign(state: State, items: DataFrame, block_height: int, spendable_after: int) -> Result:
+def reassign(state: State, items: DataFrame, block_height: int, spendable_after: int, now_ms: int | None = None) -> Result:
     """Gives frozen slots a new hash and a cooldown; the record is never all spent again.
 
     A later item on the same slot meets the new hash and a slot that is no longer
@@ -206,7 +213,7 @@ def reassign(state: State, items: DataFrame, block_height: int, spendable_after:
     df = df.withColumn("code", code.cast("long"))
     nothing = F.lit(None)
     slots = df.where("changed").select("txid", "vout", F.col("new_hash").alias("n_hash"), F.lit(C.UNSPENT).cast("long").alias("n_status"), nothing.cast("binary").alias("n_spender"), nothing.cast("long").alias("n_vin"), F.lit(until).cast("long").alias("n_cooldown"))
-    out = _settle(state, df, slots, 0, None)
+    out = _settle(state, df, slots, 0, None, now_ms)
     touched = df.where("changed").groupBy("txid").agg(F.count(F.lit(1)).alias("n_new"))
     tx = out.tx.join(touched, "txid", "left").withColumns({
         "flags": F.when(F.col("n_new") > 0, set_flag(F.col("flags"), C.REASSIGNED, F.lit(True))).otherwise(F.col("flags")),

@@ -15,7 +15,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TX = (
     "txid binary, tx_version bigint, locktime bigint, fee bigint, size_in_bytes bigint, flags bigint, spending_height bigint, "
@@ -50,6 +51,11 @@ class Heights:
     retention: int = 288
 
 
+def stamp(now_ms: int | None) -> Column:
+    """The time that effective mutations leave in updated_at: what the caller says, else the clock."""
+    return F.unix_millis(F.current_timestamp()) if now_ms is None else F.lit(now_ms).cast("long")
+
+
 @dataclass(frozen=True)
 class Result:
     """The state after a batch, a row for each item (with code and idempotent), and rows for the audit if any."""

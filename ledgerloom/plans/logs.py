@@ -68,9 +68,11 @@ def slot_codec(s, d):
 
 
 def frame_codec(s, d):
-    raw = binary.frame(F.col("o_orderkey"), F.lit(1), F.lit(0), F.encode("o_orderpriority", "UTF-8"))
+    """Frames written and read again; half of the request ids are beyond BIGINT."""
+    big = F.when(F.col("o_orderkey") % 2 == 1, F.lit(str(1 << 63))).otherwise("0").cast("decimal(20,0)")
+    raw = binary.frame((F.col("o_orderkey").cast("decimal(19,0)") + big).cast("decimal(20,0)"), F.lit(1), F.lit(0), F.encode("o_orderpriority", "UTF-8"))
     p = P.read(s, d, "orders").select(raw.alias("raw")).withColumn("p", binary.parse_frame(F.col("raw")))
-    return p.select("p.request_id", "p.op", F.decode("p.payload", "UTF-8").alias("payload"), "p.whole", F.length("raw").cast("long").alias("n_bytes"))
+    return p.select(F.col("p.request_id").cast("string").alias("request_id"), "p.op", F.decode("p.payload", "UTF-8").alias("payload"), "p.whole", F.length("raw").cast("long").alias("n_bytes"))
 
 
 def blob_assembly(s, d):
@@ -105,6 +107,6 @@ ORACLES = {
     "snapshot_round_trip": f"WITH {P.SQL} SELECT count(*) AS total, count(*) FILTER (status = 1) AS spent, count(*) FILTER (status = 2) AS pruned, count(*) FILTER (status = 255) AS frozen, count(*) FILTER (status = 0) AS unspent FROM utxo",
     "rebuild_counters": f"WITH {P.SQL} SELECT txid, utxo_count, spent_utxos, pruned_utxos FROM tx",
     "slot_codec": f"WITH {P.SQL} SELECT hash, vout, CAST(status AS BIGINT) AS status, coalesce(spender, '') AS spender, CAST(coalesce(vin, -1) AS BIGINT) AS vin, CAST(cooldown AS BIGINT) AS cooldown, true AS intact, CAST(73 AS BIGINT) AS n_bytes FROM utxo",
-    "frame_codec": "SELECT o_orderkey AS request_id, CAST(1 AS BIGINT) AS op, o_orderpriority AS payload, true AS whole, CAST(16 + strlen(o_orderpriority) AS BIGINT) AS n_bytes FROM orders",
+    "frame_codec": "SELECT CAST(CAST(o_orderkey AS HUGEINT) + CASE WHEN o_orderkey % 2 = 1 THEN 9223372036854775808::HUGEINT ELSE 0::HUGEINT END AS VARCHAR) AS request_id, CAST(1 AS BIGINT) AS op, o_orderpriority AS payload, true AS whole, CAST(16 + strlen(o_orderpriority) AS BIGINT) AS n_bytes FROM orders",
     "blob_assembly": "SELECT c_custkey AS key, CAST(CASE WHEN c_custkey % 7 = 0 THEN 18 ELSE 0 END AS BIGINT) AS code, CAST(CASE WHEN c_custkey % 7 = 0 THEN -1 ELSE strlen(c_name) END AS BIGINT) AS size, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE sha256(c_name) END AS sha256 FROM customer WHERE c_custkey % 7 <> 0 OR strlen(c_name) > 5",
 }

@@ -14,6 +14,7 @@ from ..sources import projection as P
 HEIGHTS = Heights(2000)
 BLOCK_ID, BLOCK_HEIGHT = 103, 2000
 REASSIGN_HEIGHT, REASSIGN_AFTER = 2000, 1000
+NOW = 1720000000000
 
 
 def _told(df: DataFrame, *more: str) -> DataFrame:
@@ -29,11 +30,11 @@ def _state(r: Result, *columns: str) -> DataFrame:
     return r.state.tx.select(hex_of("txid").alias("txid"), *[F.col(c).cast("long").alias(c) for c in columns])
 
 
-_AFTER = ("spent_utxos", "generation", "flags", "delete_at_height", "signal")
+_AFTER = ("updated_at", "spent_utxos", "generation", "flags", "delete_at_height", "signal")
 
 
 def _spend(s: SparkSession, d: str) -> Result:
-    return slots.spend(P.state(s, d), P.items(s, d, "A"), HEIGHTS)
+    return slots.spend(P.state(s, d), P.items(s, d, "A"), HEIGHTS, now_ms=NOW)
 
 
 def spend_batch_outcomes(s, d):
@@ -96,8 +97,12 @@ after AS (SELECT tx.* REPLACE (spent_utxos + coalesce(c, 0) * {change} AS spent_
   FROM tx LEFT JOIN hits USING (txid))"""
 
 
+#: Every effective mutation leaves its time; the projection's records start with generation 0.
+_UPDATED = f"CAST(CASE WHEN generation > 0 THEN {NOW} ELSE 1710000000000 END AS BIGINT) AS updated_at"
+
+
 def _after_sql(columns: tuple[str, ...], source: str) -> str:
-    return "SELECT txid, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in columns) + f" FROM ({source})"
+    return "SELECT txid, " + ", ".join(_UPDATED if c == "updated_at" else f"CAST({c} AS BIGINT) AS {c}" for c in columns) + f" FROM ({source})"
 
 
 def _with(sql: str, out: str) -> str:
@@ -105,11 +110,11 @@ def _with(sql: str, out: str) -> str:
 
 
 def unspend_batch_outcomes(s, d):
-    return _told(slots.unspend(P.state(s, d), _owned(s, d), HEIGHTS).items, "idempotent")
+    return _told(slots.unspend(P.state(s, d), _owned(s, d), HEIGHTS, NOW).items, "idempotent")
 
 
 def unspend_batch_state(s, d):
-    return _state(slots.unspend(P.state(s, d), _owned(s, d), HEIGHTS), *_AFTER)
+    return _state(slots.unspend(P.state(s, d), _owned(s, d), HEIGHTS, NOW), *_AFTER)
 
 
 def _owned(s, d):
@@ -136,7 +141,7 @@ def unfreeze_batch_outcomes(s, d):
 
 
 def _reassign(s, d):
-    return slots.reassign(P.state(s, d), P.items(s, d, "N"), REASSIGN_HEIGHT, REASSIGN_AFTER)
+    return slots.reassign(P.state(s, d), P.items(s, d, "N"), REASSIGN_HEIGHT, REASSIGN_AFTER, NOW)
 
 
 def reassign_batch_outcomes(s, d):
@@ -148,7 +153,7 @@ def reassign_audit(s, d):
 
 
 def reassign_state(s, d):
-    return _state(_reassign(s, d), "generation", "flags", "reassignment_count")
+    return _state(_reassign(s, d), "updated_at", "generation", "flags", "reassignment_count")
 
 
 _FREEZE = P.SQL + "," + _look_sql("N", slot="WHEN s_status = 255 THEN 4 WHEN s_status = 1 THEN 3 WHEN s_status = 2 THEN 6")
@@ -159,37 +164,53 @@ judged AS (SELECT *, gate = 0 AND w_seq = seq AS changed,
 
 
 def set_mined_state(s, d):
-    return _state(records.set_mined(P.state(s, d), P.tx_items(s, d), BLOCK_ID, BLOCK_HEIGHT, HEIGHTS), "unmined_since", *_AFTER)
+    return _state(records.set_mined(P.state(s, d), P.tx_items(s, d), BLOCK_ID, BLOCK_HEIGHT, HEIGHTS, now_ms=NOW), "unmined_since", *_AFTER)
 
 
 def set_mined_blocks(s, d):
-    r = records.set_mined(P.state(s, d), P.tx_items(s, d), BLOCK_ID, BLOCK_HEIGHT, HEIGHTS)
+    r = records.set_mined(P.state(s, d), P.tx_items(s, d), BLOCK_ID, BLOCK_HEIGHT, HEIGHTS, now_ms=NOW)
     return r.state.block.select(hex_of("txid").alias("txid"), "block_id", "block_height")
 
 
 def unset_mined_state(s, d):
-    return _state(records.unset_mined(P.state(s, d), P.tx_items(s, d), BLOCK_ID, HEIGHTS), "unmined_since", *_AFTER)
+    return _state(records.unset_mined(P.state(s, d), P.tx_items(s, d), BLOCK_ID, HEIGHTS, NOW), "unmined_since", *_AFTER)
 
 
 def set_conflicting_state(s, d):
-    return _state(records.set_conflicting(P.state(s, d), P.tx_items(s, d), True, HEIGHTS), *_AFTER)
+    return _state(records.set_conflicting(P.state(s, d), P.tx_items(s, d), True, HEIGHTS, NOW), *_AFTER)
+
+
+def _children(r: Result) -> DataFrame:
+    return r.state.children.select(hex_of("parent").alias("parent"), hex_of("child").alias("child"), "kind")
+
+
+def set_conflicting_children(s, d):
+    """The lists of the parents of records that become conflicting."""
+    return _children(records.set_conflicting(P.state(s, d), P.tx_items(s, d), True, HEIGHTS, NOW))
+
+
+def create_conflicting_children(s, d):
+    """The lists of the parents that create requests name; each request names the record of its customer's number."""
+    items, hashes = create_items(s, d)
+    parents = P.read(s, d, "orders").select(F.col("o_orderkey").alias("k"), P._sha(F.col("o_custkey")).alias("parent"))
+    return _children(records.create(P.state(s, d), items, hashes, items.select("k", "txid", "seq").join(parents, "k").select("txid", "seq", "parent")))
 
 
 def set_locked_state(s, d):
-    return _state(records.set_locked(P.state(s, d), P.tx_items(s, d), True), "generation", "flags", "delete_at_height")
+    return _state(records.set_locked(P.state(s, d), P.tx_items(s, d), True, NOW), "updated_at", "generation", "flags", "delete_at_height")
 
 
 def preserve_until_state(s, d):
-    return _state(records.preserve_until(P.state(s, d), P.tx_items(s, d), 2600), "generation", "preserve_until", "delete_at_height", "signal")
+    return _state(records.preserve_until(P.state(s, d), P.tx_items(s, d), 2600, NOW), "updated_at", "generation", "preserve_until", "delete_at_height", "signal")
 
 
 def mark_longest_chain_state(s, d):
-    return _state(records.mark_longest_chain(P.state(s, d), P.tx_items(s, d), True, HEIGHTS), "unmined_since", *_AFTER)
+    return _state(records.mark_longest_chain(P.state(s, d), P.tx_items(s, d), True, HEIGHTS, NOW), "unmined_since", *_AFTER)
 
 
 def tx_batch_outcomes(s, d):
     """The answers of a batch that names records, some of them unknown."""
-    return _told(records.set_locked(P.state(s, d), P.tx_items(s, d), True).items, "was_locked")
+    return _told(records.set_locked(P.state(s, d), P.tx_items(s, d), True, NOW).items, "was_locked")
 
 
 def increment_spent_extra(s, d):
@@ -197,11 +218,11 @@ def increment_spent_extra(s, d):
 
 
 def _delete(s, d):
-    return records.delete(P.state(s, d), P.tx_items(s, d), height=2000)
+    return records.delete(P.state(s, d), P.tx_items(s, d), height=2000, now_ms=NOW)
 
 
 def delete_batch_state(s, d):
-    return _state(_delete(s, d), "spent_utxos", "pruned_utxos", "generation")
+    return _state(_delete(s, d), "updated_at", "spent_utxos", "pruned_utxos", "generation")
 
 
 def delete_batch_slots(s, d):
@@ -214,21 +235,29 @@ def delete_batch_tombstones(s, d):
 
 
 def delete_batch_children(s, d):
-    return _delete(s, d).state.children.select(hex_of("parent").alias("parent"), hex_of("child").alias("child"), "kind")
+    return _children(_delete(s, d))
 
 
 def remove_conflicting_child(s, d):
     st = P.state(s, d)
     pairs = P.items(s, d, "A").select("k", "seq", F.col("txid").alias("parent"), F.col("spender").alias("child"))
-    return records.remove_children(st, pairs).state.children.select(hex_of("parent").alias("parent"), hex_of("child").alias("child"), "kind")
+    return _children(records.remove_children(st, pairs))
 
 
 def append_children(s, d):
     st = P.state(s, d)
-    pairs = P.items(s, d, "A").select(F.col("txid").alias("parent"), F.col("spender").alias("child"))
+    pairs = P.items(s, d, "A").select(F.col("txid").alias("parent"), F.col("spender").alias("child"), "seq")
     return records.add_children(st, pairs, "conflicting").children.groupBy(hex_of("parent").alias("parent"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def append_children_full(s, d):
+    """What full lists take and refuse: every line's part is a child of its supplier's record, in the order of lines."""
+    pairs = P.lines(s, d).select(P._sha(F.col("l_suppkey") % 10).alias("parent"), P._sha(F.concat_ws("-", "l_orderkey", "vout")).alias("child"), (F.col("l_orderkey") * 1000 + F.col("vout")).alias("seq"))
+    r = records.append_children(P.state(s, d), pairs, "conflicting")
+    last = r.state.children.where("kind = 'conflicting'").groupBy("parent").agg(F.bit_xor(F.conv(F.substring(F.hex("child"), 1, 15), 16, 10).cast("long")).alias("x"))
+    return r.items.join(last, "parent").select(hex_of("parent").alias("parent"), "n_added", "n_dropped", "x")
+
+
 def create_items(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Create requests: each order again (exists), and a copy under a new id, twice; orders without lines have no hashes."""
     o = P.read(s, d, "orders").withColumn("h", P._height())
@@ -275,9 +304,9 @@ def answers(s, d) -> DataFrame:
     """op, code and idempotent of the items of one batch of every operation that answers by item."""
     st, named = P.state(s, d), P.tx_items(s, d)
     told = {
-        "spend": _spend(s, d).items, "unspend": slots.unspend(st, _owned(s, d), HEIGHTS).items, "freeze": slots.freeze(st, P.items(s, d, "N")).items,
+        "spend": _spend(s, d).items, "unspend": slots.unspend(st, _owned(s, d), HEIGHTS, NOW).items, "freeze": slots.freeze(st, P.items(s, d, "N")).items,
         "unfreeze": slots.unfreeze(st, P.items(s, d, "N")).items, "reassign": _reassign(s, d).items, "create": records.create(st, *create_items(s, d)).items,
-        "set_mined": records.set_mined(st, named, BLOCK_ID, BLOCK_HEIGHT, HEIGHTS).items, "set_conflicting": records.set_conflicting(st, named, True, HEIGHTS).items,
+        "set_mined": records.set_mined(st, named, BLOCK_ID, BLOCK_HEIGHT, HEIGHTS, now_ms=NOW).items, "set_conflicting": records.set_conflicting(st, named, True, HEIGHTS).items,
         "set_locked": records.set_locked(st, named, True).items, "preserve_until": records.preserve_until(st, named, 2600).items, "delete": _delete(s, d).items,
         "mark_longest_chain": records.mark_longest_chain(st, named, True, HEIGHTS).items,
         "get": reads.get(st, named, 1).withColumnRenamed("status", "code"), "get_spend": reads.get_spend(st, P.items(s, d, "A")), "process_expired": pruner.sweep(st, 2200).items,
@@ -336,7 +365,7 @@ QUERIES = {
     for k in (
         "spend_batch_outcomes", "spend_batch_state", "spend_ignoring_gates", "unspend_batch_outcomes", "unspend_batch_state", "freeze_batch_outcomes",
         "unfreeze_batch_outcomes", "reassign_batch_outcomes", "reassign_audit", "reassign_state", "set_mined_state", "set_mined_blocks", "unset_mined_state",
-        "set_conflicting_state", "set_locked_state", "preserve_until_state", "mark_longest_chain_state", "tx_batch_outcomes", "increment_spent_extra",
+        "set_conflicting_state", "set_conflicting_children", "create_conflicting_children", "append_children_full", "set_locked_state", "preserve_until_state", "mark_longest_chain_state", "tx_batch_outcomes", "increment_spent_extra",
         "delete_batch_state", "delete_batch_slots", "delete_batch_tombstones", "delete_batch_children", "remove_conflicting_child", "append_children",
         "create_batch_outcomes", "create_batch_state", "spend_outcome_matrix",
     )
@@ -355,20 +384,33 @@ ORACLES = {
     "reassign_batch_outcomes": _with(_REASSIGN, "SELECT k, seq, CAST(code AS BIGINT) AS code FROM judged"),
     "reassign_audit": _with(_REASSIGN, "SELECT txid, hash AS old_hash, new_hash, CAST(vout AS BIGINT) AS vout, CAST(2000 AS BIGINT) AS block_height FROM judged WHERE changed"),
     "reassign_state": _with(_REASSIGN, """
-      SELECT txid, CAST(CASE WHEN coalesce(c, 0) > 0 THEN 1 ELSE 0 END AS BIGINT) AS generation, CAST(CASE WHEN coalesce(c, 0) > 0 THEN flags | 64 ELSE flags END AS BIGINT) AS flags,
+      SELECT txid, CAST(CASE WHEN coalesce(c, 0) > 0 THEN 1720000000000 ELSE 1710000000000 END AS BIGINT) AS updated_at, CAST(CASE WHEN coalesce(c, 0) > 0 THEN 1 ELSE 0 END AS BIGINT) AS generation, CAST(CASE WHEN coalesce(c, 0) > 0 THEN flags | 64 ELSE flags END AS BIGINT) AS flags,
         CAST(coalesce(c, 0) AS BIGINT) AS reassignment_count
       FROM tx LEFT JOIN (SELECT txid, count(*) FILTER (changed) AS c FROM judged GROUP BY txid) USING (txid)"""),
     "set_mined_state": _tx_sql("CASE WHEN hit THEN 0 ELSE unmined_since END AS unmined_since", "hit AND (NOT has OR unmined_since <> 0)", "(n_blocks > 0 OR hit)", ("unmined_since", *_AFTER)),
     "set_mined_blocks": _with(P.SQL + _HIT, "SELECT txid, CAST(block_id AS BIGINT) AS block_id, CAST(block_height AS BIGINT) AS block_height FROM block UNION ALL SELECT txid, 103, 2000 FROM hit WHERE hit AND NOT has"),
     "unset_mined_state": _tx_sql("CASE WHEN hit AND has THEN 2000 ELSE unmined_since END AS unmined_since", "hit AND has", "(n_blocks > 0 AND NOT has)", ("unmined_since", *_AFTER)),
     "set_conflicting_state": _tx_sql("CASE WHEN hit THEN flags | 2 ELSE flags END AS flags", "hit AND flags & 2 = 0", "(n_blocks > 0)", _AFTER),
-    "set_locked_state": _tx_sql("CASE WHEN hit THEN flags | 4 ELSE flags END AS flags, CASE WHEN hit THEN 0 ELSE delete_at_height END AS delete_at_height", "hit", "", ("generation", "flags", "delete_at_height"), False),
-    "preserve_until_state": _tx_sql("CASE WHEN hit THEN 2600 ELSE preserve_until END AS preserve_until, CASE WHEN hit THEN 0 ELSE delete_at_height END AS delete_at_height", "hit", "", ("generation", "preserve_until", "delete_at_height", "signal"), False, ", CASE WHEN hit AND flags & 8 <> 0 THEN 5 ELSE 0 END AS signal"),
+    "set_conflicting_children": _with(P.SQL, """
+      SELECT * FROM children UNION SELECT txid, spender, 'conflicting' FROM utxo WHERE status = 1 AND spender IN (SELECT i.txid FROM tx_items i JOIN tx ON tx.txid = i.txid)"""),
+    "create_conflicting_children": _with(_CREATE, """
+      SELECT * FROM children UNION SELECT sha256(CAST(o_custkey AS VARCHAR)), m.txid, 'conflicting' FROM made m JOIN o ON o.o_orderkey = m.k
+      WHERE code = 0 AND both_flags AND sha256(CAST(o_custkey AS VARCHAR)) IN (SELECT txid FROM tx UNION ALL SELECT txid FROM made WHERE code = 0)"""),
+    "append_children_full": _with(P.SQL, """, offered AS (
+        SELECT sha256(CAST(l_suppkey % 10 AS VARCHAR)) AS parent, sha256(l_orderkey || '-' || vout) AS child, min(l_orderkey * 1000 + vout) AS seq FROM li GROUP BY 1, 2),
+      fresh AS (SELECT * FROM offered WHERE parent IN (SELECT txid FROM tx) AND NOT EXISTS (SELECT 1 FROM children c WHERE c.parent = offered.parent AND c.child = offered.child AND kind = 'conflicting')),
+      had AS (SELECT parent, count(*) AS have FROM children WHERE kind = 'conflicting' GROUP BY 1),
+      placed AS (SELECT f.*, row_number() OVER (PARTITION BY f.parent ORDER BY seq, child) + coalesce(have, 0) <= 255 AS fits FROM fresh f LEFT JOIN had USING (parent)),
+      lists AS (SELECT parent, child FROM children WHERE kind = 'conflicting' UNION ALL SELECT parent, child FROM placed WHERE fits)
+      SELECT parent, n_added, n_dropped, x FROM (SELECT parent, count(*) FILTER (fits) AS n_added, count(*) FILTER (NOT fits) AS n_dropped FROM placed GROUP BY 1)
+        JOIN (SELECT parent, bit_xor(CAST('0x' || child[1:15] AS BIGINT)) AS x FROM lists GROUP BY 1) USING (parent)"""),
+    "set_locked_state": _tx_sql("CASE WHEN hit THEN flags | 4 ELSE flags END AS flags, CASE WHEN hit THEN 0 ELSE delete_at_height END AS delete_at_height", "hit", "", ("updated_at", "generation", "flags", "delete_at_height"), False),
+    "preserve_until_state": _tx_sql("CASE WHEN hit THEN 2600 ELSE preserve_until END AS preserve_until, CASE WHEN hit THEN 0 ELSE delete_at_height END AS delete_at_height", "hit", "", ("updated_at", "generation", "preserve_until", "delete_at_height", "signal"), False, ", CASE WHEN hit AND flags & 8 <> 0 THEN 5 ELSE 0 END AS signal"),
     "mark_longest_chain_state": _tx_sql("CASE WHEN hit THEN 0 ELSE unmined_since END AS unmined_since", "hit", "(n_blocks > 0)", ("unmined_since", *_AFTER)),
     "tx_batch_outcomes": _with(P.SQL, "SELECT i.k, i.seq, CAST(CASE WHEN t.txid IS NULL THEN 1 ELSE 0 END AS BIGINT) AS code, coalesce(t.flags & 4 <> 0, false) AS was_locked FROM tx_items i LEFT JOIN tx t ON t.txid = i.txid"),
     "increment_spent_extra": _with(P.SQL, "SELECT k, seq, CAST(0 AS BIGINT) AS code FROM tx_items"),
     "delete_batch_state": _with(_DELETED, """
-      SELECT txid, CAST(spent_utxos - coalesce(p, 0) AS BIGINT) AS spent_utxos, CAST(pruned_utxos + coalesce(p, 0) AS BIGINT) AS pruned_utxos, CAST(coalesce(p, 0) AS BIGINT) AS generation
+      SELECT txid, CAST(CASE WHEN coalesce(p, 0) > 0 THEN 1720000000000 ELSE 1710000000000 END AS BIGINT) AS updated_at, CAST(spent_utxos - coalesce(p, 0) AS BIGINT) AS spent_utxos, CAST(pruned_utxos + coalesce(p, 0) AS BIGINT) AS pruned_utxos, CAST(coalesce(p, 0) AS BIGINT) AS generation
       FROM tx LEFT JOIN pruned USING (txid) WHERE txid NOT IN (SELECT txid FROM dead)"""),
     "delete_batch_slots": _with(_DELETED, "SELECT CAST(CASE WHEN hit THEN 2 ELSE status END AS BIGINT) AS status, count(*) AS n FROM kept GROUP BY 1"),
     "delete_batch_tombstones": _with(_DELETED, "SELECT txid, CAST(0 AS BIGINT) AS generation, CAST(2000 AS BIGINT) AS deletion_height, CAST(1 AS BIGINT) AS cause FROM dead"),

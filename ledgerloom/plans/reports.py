@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
-from ..functions.scalars import fingerprint, generation_ahead, hex_of, le_bytes, le_uint, shard_of
+from ..functions.scalars import error_name, fingerprint, fits_u32, frozen_cooldown, generation_ahead, hex_of, is_frozen, le_bytes, le_uint, lit_hex, shard_of
 from ..operators import inventory as I
 from ..operators import pruner, reads
 from ..operators.lifecycle import evaluate
@@ -249,6 +249,16 @@ def scalar_functions(s, d):
     )
 
 
+def slot_scalars(s, d):
+    """Frozen slots' stored cooldowns (old ones are FF bytes alone), 32-bit checks and error names."""
+    u = P.state(s, d).utxo.withColumn("kept", F.col("vout") * 70000)
+    data = F.when(F.col("vout") == 0, lit_hex("FF" * 36)).otherwise(F.concat(le_bytes(F.col("kept"), 4), lit_hex("FF" * 32)))
+    return u.select(
+        hex_of("txid").alias("txid"), "vout", is_frozen(F.col("status")).alias("frozen"), F.when(is_frozen(F.col("status")), frozen_cooldown(data)).otherwise(-1).alias("cooldown"),
+        fits_u32(F.col("vout") * 1500000000 - 1).alias("fits"), error_name((F.col("vout") % 40).cast("int")).alias("error"),
+    )
+
+
 _SHARD = "(CAST('0x' || txid[3:4] AS BIGINT) * 256 + CAST('0x' || txid[1:2] AS BIGINT)) % 4096"
 _FP = "(CAST('0x' || txid[7:8] || txid[5:6] || txid[3:4] || txid[1:2] AS BIGINT))"
 _FINISHED = "(spent_utxos = utxo_count AND flags & 64 = 0 AND n_blocks > 0 AND unmined_since = 0)"
@@ -322,7 +332,7 @@ QUERIES = {
         "tombstone_collection", "tombstone_reconcile", "dah_grid", "record_inventory", "slot_inventory", "records_by_class", "status_report", "shard_placement_v1",
         "shard_placement_v2", "shards_by_node", "migration_plan", "keys_by_shard", "cluster_roll_up", "latency_histogram", "latency_percentile",
         "latency_nearest_rank", "prometheus_text", "outcome_counters", "throughput_rate", "counter_faults", "replica_lag", "manifest_difference",
-        "manifest_counts", "scalar_functions",
+        "manifest_counts", "scalar_functions", "slot_scalars",
     )
 }
 
@@ -371,6 +381,8 @@ ORACLES = {
     "manifest_difference": _with(P.SQL, "SELECT CASE WHEN flags = 8 THEN 'only_a' ELSE 'generation' END AS kind, count(*) AS n FROM tx WHERE flags IN (8, 2) GROUP BY 1"),
     "scalar_functions": _with(P.SQL, f"""SELECT txid, {_SHARD} AS shard, {_FP} AS fingerprint, printf('%02x000000', utxo_count) AS count_le, CAST(utxo_count * 65537 AS BIGINT) AS back,
       ({_FP} - 4294967000 + 4294967296) % 4294967296 BETWEEN 1 AND 2147483647 AS ahead, sha256(from_hex(txid)) AS digest FROM tx"""),
+    "slot_scalars": _with(P.SQL, f"""SELECT txid, vout, status = 255 AS frozen, CAST(CASE WHEN status = 255 THEN vout * 70000 ELSE -1 END AS BIGINT) AS cooldown,
+      vout * 1500000000 - 1 BETWEEN 0 AND 4294967295 AS fits, list_extract({list(C.ERRORS)}, CAST(vout % 40 AS INTEGER) + 1) AS error FROM utxo"""),
     "manifest_counts": _with(P.SQL, f"""SELECT {_SHARD} AS shard, count(*) AS records,
       lower(printf('%016x', bit_xor(CAST('0x' || sha256(txid || ':' || generation || ':' || spent_utxos || ':' || flags)[1:15] AS BIGINT)))) AS digest FROM tx GROUP BY 1"""),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
-from ..functions.scalars import le_bytes, le_uint, lit_hex
+from ..functions.scalars import is_reserved, le_bytes, le_bytes64, le_uint, le_uint64, lit_hex
 
 
 def slot_bytes(hash_: Column, status: Column, spender: Column, vin: Column, cooldown: Column) -> Column:
@@ -21,7 +21,7 @@ def parse_slot(raw: Column) -> Column:
     """struct(hash, status, spender, vin, cooldown, intact)."""
     status, data = le_uint(raw, 32, 1), F.substring(raw, 34, 36)
     held = status.isin(C.SPENT, C.PRUNED)
-    legacy = data == lit_hex("FF" * 36)
+    legacy = is_reserved(data)
     return F.struct(
         F.substring(raw, 1, 32).alias("hash"), status.alias("status"), F.when(held, F.substring(data, 1, 32)).alias("spender"),
         F.when(held, le_uint(data, 32, 4)).alias("vin"), F.when(held | legacy, 0).otherwise(le_uint(data, 0, 4)).cast("long").alias("cooldown"),
@@ -31,7 +31,7 @@ def parse_slot(raw: Column) -> Column:
 
 def frame(request_id: Column, op: Column, flags: Column, payload: Column) -> Column:
     """Length (4), request (8), operation (2), flags (2), payload; all little-endian, the length being of what follows."""
-    body = F.concat(le_bytes(request_id, 8), le_bytes(op, 2), le_bytes(flags, 2), payload)
+    body = F.concat(le_bytes64(request_id), le_bytes(op, 2), le_bytes(flags, 2), payload)
     return F.concat(le_bytes(F.length(body), 4), body)
 
 
@@ -39,7 +39,7 @@ def parse_frame(raw: Column) -> Column:
     """struct(request_id, op, flags, payload, whole); whole: the length is right and within the bound."""
     n = le_uint(raw, 0, 4)
     return F.struct(
-        le_uint(raw, 4, 7).alias("request_id"), le_uint(raw, 12, 2).alias("op"), le_uint(raw, 14, 2).alias("flags"), F.substring(raw, 17, 1 << 30).alias("payload"),
+        le_uint64(raw, 4).alias("request_id"), le_uint(raw, 12, 2).alias("op"), le_uint(raw, 14, 2).alias("flags"), F.substring(raw, 17, 1 << 30).alias("payload"),
         ((n == F.length(raw) - 4) & (n <= C.MAX_FRAME_BYTES)).alias("whole"),
     )
 
