@@ -8,23 +8,27 @@ and compared word by word; a match is a stretch of at least ``least_overlap``
 words (or the whole item, if shorter) of which at most the tolerated share
 differs.
 
-The benchmark side is broadcast only if its words number at most
-``most_broadcast_words``, which a count of the benchmark checks first. Beyond
-that the same hashes are joined by a shuffle, whose hot hashes Spark may split, and
-hits are reduced to (document, item, diagonal) before texts are fetched.
+The benchmark side is broadcast only if its texts have at most
+``most_broadcast_bytes``, which a sum over the benchmark checks first; a task's tables
+then take at most some 20 bytes for each of them. Beyond that the same hashes are
+joined by a shuffle, whose hot hashes Spark may split, and hits are reduced to
+(document, item, diagonal) before texts are fetched. Both ways give the same rows.
 
-Words are compared in lower case without punctuation at their ends.
+Words are compared in lower case without punctuation at their ends; words of
+punctuation only are left out.
 
 Defined cases: null or wordless texts on either side match nothing; items
-of up to ``least_overlap`` words match whole, any of their words may differ; those
-of fewer than ``least_item`` words are not sought; repeated rows give
-repeated results; empty tables give an empty result; only ids and texts are read.
+of up to ``least_overlap`` words match whole, any of their words may differ within the
+tolerated share (none of four words or fewer); of an item's overlaps with a document the
+longest counts, of equally long ones the first; very long texts are read whole, in
+memory of some 30 bytes a word; repeated rows give repeated results; empty tables give an
+empty result; only ids and texts are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,13 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import arrow_map
-from .common import MIX, SPACES, U64, mix64, rework, row_key, words_of
+from .common import MIX, U64, mix64, rework, row_key, words_of
 
 # Masks; 1 compares the word, 0 ignores it.
 # With a fifth of the words substituted, a stretch of 6 words or more has 4 equal ones
 # in a row, or two runs of 2 or more beside a single substituted word.
 MASKS = ("1111", "11011")
 
+#: Words of documents that are looked up together.
+GROUP_WORDS = 1 << 18
+
 _TRIM = re.compile(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
 
 
@@ -49,9 +56,8 @@ class SeedParams:
     masks: tuple[str, ...] = MASKS
     least_overlap: int = 13  #: words of a match, or the whole item
     most_different: float = 0.2  #: share of them that may be substituted
-    least_item: int = 5  #: items of fewer words say nothing and are not sought
-    most_broadcast_words: int = 2_000_000
-    filter_bits: int = 24  #: of the fixed-size filter
+    most_broadcast_bytes: int = 8 << 20
+    most_filter_bits: int = 24  #: the lookup filter has 2**bits places, 64 for each seed up to that
 
 
 def normal(word: bytes) -> bytes:
@@ -90,20 +96,22 @@ def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
         return mix64(out)
 
 
+def solid_width(n: int) -> int:
+    """The width of the solid seeds that an item of n words has besides the masks; 0 for none. Only short items need them."""
+    return min(3, n) if n <= 5 else 0
+
+
 def item_seeds(h: np.ndarray, params: SeedParams) -> Iterator[tuple[int, np.ndarray]]:
-    """(width, hashes) by mask; an item of up to 5 words has solid seeds of 3 words, or of its own width, too."""
-    if len(h) < params.least_item:
-        return
-    if len(h) <= 5:
-        w = min(3, len(h))
+    """(width, hashes) by mask."""
+    if w := solid_width(len(h)):
         yield w, seed_hashes(h, "1" * w)
     for m in params.masks:
         yield len(m), seed_hashes(h, m)
 
 
-def document_masks(params: SeedParams) -> list[str]:
-    """All masks that an item may be seeded with, whatever the items are."""
-    return [*params.masks, *("1" * w for w in range(max(1, min(3, params.least_item)), 4))]
+def document_masks(widths: Iterable[int], params: SeedParams) -> list[str]:
+    """The masks to lay on documents; widths: of the items' solid seeds."""
+    return [*params.masks, *("1" * w for w in sorted(set(widths) - {0}))]
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, params: SeedParams) -> tuple[int, int, int] | None:
@@ -139,51 +147,72 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, params: SeedParams
 
 
 class Benchmark:
-    """Hashes of all items, sorted for lookup, behind a bit filter of fixed size."""
+    """Hashes of all items, sorted for lookup, behind a filter of single places."""
 
     def __init__(self, ids: list, words: list[np.ndarray], params: SeedParams):
         self.ids, self.words, self.params = ids, words, params
-        seeds = [(w, k, h) for k, x in enumerate(words) for w, h in item_seeds(x, params)]
-        hashes = np.concatenate([h for _, _, h in seeds]) if seeds else np.empty(0, U64)
-        item = np.concatenate([np.full(len(h), k) for _, k, h in seeds]) if seeds else np.empty(0, int)
-        place = np.concatenate([np.arange(len(h)) for _, _, h in seeds]) if seeds else np.empty(0, int)
+        self.masks = document_masks((solid_width(len(x)) for x in words), params)
+        seeds = [(k, h) for k, x in enumerate(words) for _, h in item_seeds(x, params)]
+        join = lambda parts, kind: np.concatenate([*parts, np.empty(0, kind)]).astype(kind)
+        hashes = join([h for _, h in seeds], U64)
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.item, self.place = hashes[order], item[order], place[order]
-        self.shift = U64(64 - params.filter_bits)
-        self.bits = np.zeros(1 << params.filter_bits, bool)
-        self.bits[(self.hashes >> self.shift).astype(np.int64)] = True
-
-    def hits(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(item, diagonal) of all seed hits of a document."""
-        found: set[tuple[int, int]] = set()
-        for mask in document_masks(self.params):
+        self.hashes = hashes[order]
+        self.item = join([np.full(len(h), k) for k, h in seeds], np.int32)[order]
+        self.place = join([np.arange(len(h)) for _, h in seeds], np.int32)[order]
+        bits = min(params.most_filter_bits, max(16, (64 * len(hashes)).bit_length()))
+        self.shift = U64(64 - bits)
+        self.known = np.zeros(1 << bits, bool)
+        self.known[(self.hashes >> self.shift).astype(np.int64)] = True
+
+    def hits(self, texts: list[np.ndarray]) -> dict[int, set[tuple[int, int]]]:
+        """(item, diagonal) of all seed hits by text; the texts' words share each pass."""
+        found: dict[int, set[tuple[int, int]]] = {}
+        ends = np.cumsum([len(x) for x in texts])
+        h = np.concatenate([*texts, np.empty(0, U64)])
+        for mask in self.masks:
             s = seed_hashes(h, mask)
-            at = np.flatnonzero(self.bits[(s >> self.shift).astype(np.int64)])
-            if not len(at):
-                continue
+            at = np.flatnonzero(self.known[(s >> self.shift).astype(np.int64)])
             lo = np.searchsorted(self.hashes, s[at], "left")
             n = np.searchsorted(self.hashes, s[at], "right") - lo
-            for p, a, k in zip(at[n > 0].tolist(), lo[n > 0].tolist(), n[n > 0].tolist(), strict=True):
-                found.update((int(self.item[i]), p - int(self.place[i])) for i in range(a, a + k))
+            text = np.searchsorted(ends, at, "right")
+            real = np.flatnonzero((n > 0) & (at + len(mask) <= ends[np.minimum(text, len(ends) - 1)])) if len(ends) else at
+            begin = at - np.where(text > 0, ends[text - 1], 0) if len(ends) else at
+            for p, t, a, k in zip(begin[real].tolist(), text[real].tolist(), lo[real].tolist(), n[real].tolist(), strict=True):
+                found.setdefault(t, set()).update((i, p - q) for i, q in zip(self.item[a : a + k].tolist(), self.place[a : a + k].tolist(), strict=True))
         return found
 
 
-def matches(h: np.ndarray, bench: Benchmark) -> list[tuple]:
-    """(item id, start, end, words that differ), the best of each item."""
-    best: dict[int, tuple[int, int, int]] = {}
-    for item, diagonal in bench.hits(h):
-        o = overlap(h, bench.words[item], diagonal, bench.params)
-        if o and (item not in best or (o[0] - o[1], o) < (best[item][0] - best[item][1], best[item])):
-            best[item] = o
-    return [(bench.ids[k], *o) for k, o in sorted(best.items())]
+def matches(texts: list[np.ndarray], bench: Benchmark) -> dict[int, list[tuple]]:
+    """By text (item id, start, end, words that differ), the best of each item; texts without a match are not there."""
+    out = {}
+    for t, hits in bench.hits(texts).items():
+        best: dict[int, tuple[int, int, int]] = {}
+        for item, diagonal in hits:
+            o = overlap(texts[t], bench.words[item], diagonal, bench.params)
+            if o and (item not in best or (o[0] - o[1], o) < (best[item][0] - best[item][1], best[item])):
+                best[item] = o
+        if best:
+            out[t] = [(bench.ids[k], *o) for k, o in sorted(best.items())]
+    return out
+
+
+def matches_of(texts: list[str | None], bench: Benchmark, hasher: NormalHasher) -> Iterator[tuple[int, list[tuple]]]:
+    """(place among the texts, matches), texts taken in groups of bounded size."""
+    at, held, size = 0, [], 0
+    for i, t in enumerate(texts):
+        held.append(hasher(t))
+        size += len(held[-1])
+        if size > GROUP_WORDS or i + 1 == len(texts):
+            for k, found in sorted(matches(held, bench).items()):
+                yield at + k, found
+            at, held, size = i + 1, [], 0
 
 
 def _items(benchmark: DataFrame, params: SeedParams, item_key: str, item_text: str) -> tuple[DataFrame, list | None]:
     """The items, and their rows if they are within the bound for a broadcast."""
     items = benchmark.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text"))
-    n = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACES), ""))
-    total = items.agg(F.sum(n)).first()[0] or 0
-    return items, items.collect() if total <= params.most_broadcast_words else None
+    total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    return items, items.collect() if total <= params.most_broadcast_bytes else None
 
 
 def _hashed(rows: list) -> tuple[list, list[np.ndarray]]:
@@ -195,14 +224,21 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedP
     """The rows of docs, all columns as they are, that overlap with no item."""
     items, rows = _items(benchmark, params, item_key, item_text)
     if rows is None:
-        keyed = docs.withColumn("__key", row_key(text))
-        leaks = _find_by_shuffle(keyed.dropDuplicates(["__key"]), items, params, "__key", text).select(F.col("doc_id").alias("__key")).distinct()
-        return keyed.join(leaks, "__key", "left_anti").drop("__key")
+        keyed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+        keyed = keyed.withColumn("key", row_key(f"c{docs.columns.index(text)}"))
+        found = _find_by_shuffle(keyed.dropDuplicates(["key"]), items, params, "key", f"c{docs.columns.index(text)}")
+        return keyed.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").drop("key").toDF(*docs.columns)
     packed = docs.sparkSession.sparkContext.broadcast(_hashed(rows))
 
     def make():
         bench, hasher = Benchmark(*packed.value, params), NormalHasher()
-        return lambda texts: ([not matches(hasher(t), bench) for t in texts], {})
+
+        def each(texts):
+            keep = np.ones(len(texts), bool)
+            keep[[i for i, _ in matches_of(texts, bench, hasher)]] = False
+            return keep, {}
+
+        return each
 
     return rework(docs, text, make)
 
@@ -219,10 +255,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedP
         bench, hasher = Benchmark(*packed.value, params), NormalHasher()
         for b in batches:
             at, out = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                for m in matches(hasher(t), bench):
-                    at.append(i)
-                    out.append(m)
+            for i, found in matches_of(b.column(1).to_pylist(), bench, hasher):
+                at += [i] * len(found)
+                out += found
             if at:
                 c = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -246,13 +281,20 @@ def _find_by_shuffle(docs: DataFrame, items: DataFrame, params: SeedParams, key:
     d = docs.select(row_key(key, text).alias("d"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     u = items.select(row_key("item_id", "text").alias("u"), "item_id", F.col("text").alias("item_text"))
 
+    def lengths(batches):
+        hasher = NormalHasher()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([solid_width(len(hasher(t))) for t in b.column(0).to_pylist()], pa.int32())], ["width"])
+
+    masks = document_masks([r["width"] for r in u.select("item_text").transform(arrow_map, lengths, "width int").distinct().collect()], params)
+
     def hashes(of_item: bool):
         def run(batches):
             hasher = NormalHasher()
             for b in batches:
                 for i, t in enumerate(b.column(1).to_pylist()):
                     h = hasher(t)
-                    seeds = item_seeds(h, params) if of_item else ((len(m), seed_hashes(h, m)) for m in document_masks(params))
+                    seeds = item_seeds(h, params) if of_item else ((len(m), seed_hashes(h, m)) for m in masks)
                     for _, s in seeds:
                         if len(s):
                             yield pa.RecordBatch.from_arrays(
