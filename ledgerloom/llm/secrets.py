@@ -1,18 +1,22 @@
 """Op 8: secret scan by token efficiency.
 
-A byte-pair vocabulary spells ordinary strings with few tokens and random ones
-with many. Long unbroken strings that mix digits and letters and yield few
-characters per token are reported, unless they are known digests or identifiers
-(plain hex of a digest's length, UUIDs, dates, numbers) or lie in a span that the
-three fixed patterns have found. The patterns' own spans always stay.
-
-Only the candidate strings are tokenised, not the text. The vocabulary file is
-read once on the driver and broadcast: its size is that of a fixed published
-file, checked against ``most_vocabulary_bytes``.
+A byte-pair vocabulary spells ordinary strings with few tokens and random ones with
+many. Unbroken strings are cut at known digests and identifiers (hex of a digest's
+length, UUIDs, dates, numbers) and at spans that the three fixed patterns have found.
+What remains is tokenised, and its stretches of few characters a token are reported:
+the maximal segments of the sum of (limit - characters) over tokens, so that neither a
+path before a key nor a word behind it hides the key. Letters without a digit must be
+spelt less efficiently still. The patterns' own spans always stay.
+
+Only the candidate strings are tokenised, not the text, and in pieces of bounded size.
+The vocabulary file is read once on the driver and broadcast: its size is that of a
+fixed published file, checked against ``most_vocabulary_bytes``.
 
 Defined cases: a null or empty text has no spans (digest of the empty string);
-positions are code points; repeated rows give repeated results; an empty table
-gives an empty one; only id and text are read, so other columns cannot clash.
+positions are code points; of equally good stretches the shortest, leftmost counts;
+spans that begin together are in the order of kinds; very long texts are scanned whole;
+repeated rows give repeated results; an empty table gives an empty one; only id and
+text are read, and masking changes the text alone, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import base64
 import hashlib
 import re
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 import tiktoken
@@ -39,9 +44,10 @@ KINDS = ("assign", "access", "hex", "random")
 
 # A word that every ASSIGN match contains, and strings that are identifiers, not secrets.
 HINTS = ("passw", "secret", "token", "api")
-UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-DATED = re.compile(r"(?:19|20)\d\d[-_/]?\d\d[-_/]?\d\d")
-DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
+KNOWN = re.compile(
+    r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|(?:19|20)\d\d[-_/]?\d\d[-_/]?\d\d|\d+|[0-9a-f]+|[0-9A-F]+)(?![0-9A-Za-z])"
+)
+HEXES = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -52,6 +58,8 @@ class SecretLimits:
     most_vocabulary_bytes: int = 16 << 20
     least_length: int = 20
     most_chars_per_token: float = 2.0
+    most_chars_without_digit: float = 1.6
+    piece: int = 4096  #: characters that are tokenised at once
 
 
 _encodings: dict[int, tiktoken.Encoding] = {}
@@ -65,6 +73,31 @@ def _encoding(raw: bytes) -> tiktoken.Encoding:
     return found
 
 
+def maximal_segments(weights: list[float]) -> list[tuple[int, int]]:
+    """The best segment by sum, then the best left and right of it, and so on as long as sums are positive; in order, in linear time.
+
+    A segment keeps the sums before it and at its end. A new positive weight joins the
+    segments back to the last one that begins lower and ends no higher.
+    """
+    kept: list[tuple[float, float, int, int, int]] = []  # sum before, sum at the end, begin, end, the last segment that begins lower
+    total = 0.0
+    for i, w in enumerate(weights):
+        before, total = total, total + w
+        if w <= 0:
+            continue
+        low, begin = before, i
+        while True:
+            k = len(kept) - 1
+            while k >= 0 and kept[k][0] >= low:
+                k = kept[k][4]
+            if k < 0 or kept[k][1] >= total:
+                kept.append((low, total, begin, i + 1, k))
+                break
+            low, begin = kept[k][0], kept[k][2]
+            del kept[k:]
+    return [(a, b) for _, _, a, b, _ in kept]
+
+
 class SecretScanner:
     def __init__(self, raw: bytes, limits: SecretLimits = SecretLimits()):
         self.encoding, self.limits = _encoding(raw), limits
@@ -83,19 +116,39 @@ class SecretScanner:
         out += [(m.start(), 2, m.end()) for m in LONG_HEX.finditer(text)]
         return sorted(out)
 
-    def identifier(self, s: str) -> bool:
-        return bool(UUID.search(s) or DATED.search(s) or DIGEST.match(s) and len(s) in DIGEST_LENGTHS)
+    def holes(self, run: str, at: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+        """What of a run is known, in places of the run, sorted."""
+        out = [(max(0, x - at), min(len(run), y - at)) for x, _, y in base if x < at + len(run) and at < y]
+        for m in KNOWN.finditer(run):
+            s = m[0]
+            if s.isdigit() or not HEXES.fullmatch(s) or len(s) in DIGEST_LENGTHS:
+                out.append(m.span())
+        return sorted(out)
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         out = []
         for m in self.long.finditer(text):
-            s, a, b = m[0], m.start(), m.end()
-            if s.isalpha() or s.isdigit() or not re.search(r"\d", s) or not re.search("[A-Za-z]", s) or self.identifier(s):
-                continue
-            if any(x < b and a < y for x, _, y in base):
-                continue
-            if len(s) <= self.limits.most_chars_per_token * len(self.encoding.encode_ordinary(s)):
-                out.append((a, 3, b))
+            run, at, a = m[0], m.start(), 0
+            for x, y in [*self.holes(run, at, base), (len(run), len(run))]:
+                for p in range(a, x, self.limits.piece):
+                    out += [(at + i, 3, at + j) for i, j in self.stretches(run[p : min(p + self.limits.piece, x)], p)]
+                a = max(a, y)
+        return out
+
+    def stretches(self, s: str, at: int) -> list[tuple[int, int]]:
+        """The inefficient stretches of a string without known parts, in places shifted by at."""
+        limits = self.limits
+        if len(s) < limits.least_length:
+            return []
+        sizes = [len(x) for x in self.encoding.decode_tokens_bytes(self.encoding.encode_ordinary(s))]
+        ends = [0, *accumulate(sizes)]
+        out = []
+        for i, j in maximal_segments([limits.most_chars_per_token - n for n in sizes]):
+            a, b = ends[i], ends[j]
+            found = s[a:b]
+            most = limits.most_chars_per_token if any(map(str.isdigit, found)) else limits.most_chars_without_digit
+            if b - a >= limits.least_length and any(map(str.isalpha, found)) and b - a <= most * (j - i) and len(set(found)) >= limits.least_length // 2:
+                out.append((at + a, at + b))
         return out
 
     def __call__(self, text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
