@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -84,6 +85,58 @@ def test_html_broken(page):
     assert page_text(page) == ""
 
 
+_L = "The river rose for three days before the old bridge gave way, and nobody in the village had slept since the first warning came over the radio."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<article><p>{_L}</p><pre>a b</pre></article>", f"{_L}\na b"),
+    (f"<div><p>{_L}</p><p>The end.</p></div>", f"{_L}\nThe end."),
+    (f'<p title="The hidden valley">{_L}</p>', _L),
+    (f'<article data-hidden="false"><p>{_L}</p></article>', _L),
+    (f"<p hidden>{_L}</p><p>{_L} {_L}</p>", f"{_L} {_L}"),
+    (f"<table><tr><td class=sidebar><table><tr><td>{_L}</td></tr></table></td><td><p>{_L} {_L}</p></td></tr></table>", f"{_L} {_L}"),
+    (f"<div class='post tag-news'><h1>A b</h1><p>{_L}</p></div>", f"A b\n{_L}"),
+    (f"<div class=post-comments-enabled><h1>A b</h1><p>{_L}</p></div>", f"A b\n{_L}"),
+    (f"<article><p>{_L}</p></article><div class=discussion><p>{_L}</p></div>", _L),
+    (f"<article><p>{_L}</p></article><div class=promobox>Buy it now.</div>", _L),
+    (f"<h1>A b</h1><p>{_L}</p><p>{_L}</p><p>All rights reserved.</p>", f"A b\n{_L}\n{_L}"),
+    (f"<body class='has-sidebar'><div id=content><p>{_L}</p><p>{_L}</p></div></body>", f"{_L}\n{_L}"),
+    (f"<article><header><h1>T t</h1><p>By me.</p></header><p>{_L}</p><footer>Tags: x</footer></article>", f"T t\nBy me.\n{_L}"),
+    (f"<article><p>{_L}</p><ul><li>one</li><li>two</li></ul></article>", f"{_L}\none\ntwo"),
+    ("Plain text only here", "Plain text only here"),
+])
+def test_html_cases(page, text):
+    assert page_text(page) == text
+
+
+def test_html_tree_on_unseen_pages():
+    """The tree asks for its neighbours, and judges blocks of pages it has not seen, with and without names."""
+    tree = html_text.default_tree()
+    assert {"words_before", "words_after", "container_words", "container_link_density"} <= html_text.used(tree) and len(html_text.used(tree)) >= 10
+    wrong, total = [0, 0], [0, 0]
+    for i, (page, labels) in enumerate(html_text.labelled_pages(200, seed=99)):
+        keep = tree.predict(html_text.features_of(html_text.blocks_of(page)))
+        wrong[i % 2] += sum(k != (c == "1") for k, c in zip(keep, labels, strict=True))
+        total[i % 2] += len(labels)
+    assert all(w < 0.01 * n for w, n in zip(wrong, total, strict=True)), (wrong, total)
+
+
+def test_html_long_and_deep():
+    """Cost follows a page's length, however deep its elements nest."""
+    began = time.time()
+    for page in ("<b>" * 100_000 + "<p>x" * 30_000, "<div>" * 100_000 + "<p>x" * 30_000, "<ul><li>" * 30_000 + "x", "<a " + "x='" * 100_000, f"<article><p>{_L * 5000}</p></article>"):
+        page_text(page)
+    assert time.time() - began < 30
+
+
+def test_html_edges(spark):
+    schema = "page_id bigint, url string, html string, text string, words int"
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, "u", f"<p>{_L}</p>", "t", 1), (1, "u", f"<p>{_L}</p>", "t", 1), (2, None, None, None, None), (None, "u", "", "t", 1)]
+    got = html_text.extract(spark.createDataFrame(rows, schema).withColumn("a.b", F.lit(1)))
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in spark.createDataFrame([(1, "u", _L, len(_L)), (1, "u", _L, len(_L)), (2, None, "", 0), (None, "u", "", 0)], "page_id bigint, url string, text string, n_chars bigint").collect())
+
+
 def test_html_query(spark):
     got = {r["page_id"]: r for r in queries.op1_html_extraction(spark, SF).collect()}
     import html as h
@@ -163,6 +216,23 @@ def test_quality_rules(spark):
     assert (r[0]["kept"], r[0]["n_lines_removed"]) == (True, 2) and r[1]["kept"] is False and "Home" not in r[0]["clean_text"]
 
 
+def test_quality_under_a_filter(spark):
+    """A filter on the result costs nothing more, and blanks within a line are trimmed in linear time."""
+    rnd = random.Random(1)
+    rows = [(1, " ".join(f"w{rnd.randrange(9000)}" for _ in range(20_000)) + "."), (2, "x" + " " * 400_000 + "y"), (3, "x. " + "| " * 100_000 + "|" * 100_000), (4, None)]
+    df = spark.createDataFrame([(*r, None, None, None) for r in rows], DOC)
+    quality.judge(df).collect()
+    began = time.time()
+    whole = {r["doc_id"]: r["kept"] for r in quality.judge(df).select("doc_id", "kept").collect()}
+    plain = time.time() - began
+    began = time.time()
+    kept = [r["doc_id"] for r in quality.judge(df).where("kept").select("doc_id").collect()]
+    assert whole == {1: True, 2: False, 3: False, 4: False} and kept == [1]
+    assert time.time() - began < 1.5 * plain + 2 and plain < 20
+    plan = quality.judge(df).where("kept")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("Generate")
+
+
 # 4: packing
 
 
@@ -205,6 +275,41 @@ def test_packing_is_best_fit():
     assert sum(caps) - sizes.sum() <= 50 and all(load[i] <= c for i, c in enumerate(caps))
 
 
+def test_packing_is_best_fit():
+    """Every piece goes where the least room takes it; a bin is opened only if none does, at the least cost by definition."""
+    rng = np.random.default_rng(4)
+    for params in (packing.PackParams(), packing.PackParams(capacities=(64, 100, 300), fixed_cost=5.0), packing.PackParams(capacities=(50,))):
+        caps = sorted(params.capacities)
+        for n in (0, 1, 2, 700):
+            sizes = np.sort(np.minimum(rng.geometric(0.01, n), caps[-1]))[::-1]
+            opened = packing.opening(sizes, params).tolist()
+            bins, offsets, final = packing.pack_with(sizes, opened, params)
+            used, room = {}, {}
+            for i, (size, b, o) in enumerate(zip(sizes.tolist(), bins.tolist(), offsets.tolist(), strict=True)):
+                fits = [r for r in room.values() if r >= size]
+                if fits:
+                    assert room[b] == min(fits)
+                else:
+                    later, costs = sizes[i + 1 :].tolist(), []
+                    for c in caps:
+                        if c < size:
+                            costs.append(float("inf"))
+                            continue
+                        can = [x for x in later if x <= c - size]
+                        gain = max(0, min(c - size, sum(later)) if c - size >= sizes[-1] else 0)
+                        gain = min(gain, max(c - size - sum(can) / len(can) / 4, 0), sum(can)) if can else 0
+                        costs.append((params.fixed_cost + min(x for x in [*caps, caps[-1]] if x >= size + gain or x == caps[-1])) / (size + gain))
+                    room[b], used[b] = opened[i], 0
+                    assert abs(costs[caps.index(room[b])] - min(costs)) < 1e-9
+                assert o == used[b]
+                used[b] += size
+                room[b] -= size
+            assert [min(c for c in caps if c >= used[b]) for b in sorted(used)] == final.tolist()
+    sizes = np.sort(rng.integers(1, 3000, 4000))[::-1]
+    joint, alone = packing.PackParams(), packing.PackParams(capacities=(4096,))
+    assert packing.cost(packing.pack(sizes, joint)[2], joint) <= packing.cost(packing.pack(sizes, alone)[2], alone)
+
+
 # 5: decontamination
 
 
@@ -222,19 +327,19 @@ def test_leaks(spark, empty):
             w[20:20] = p
         rows.append((i, " ".join(w), None, None, None))
     rows += [(100, "before alpha BETA, gamma delta epsilon zeta after", None, None, None), (101, None, None, None, None), (None, items[0][1], None, None, None), (102, "two words", None, None, None)]
-    docs, bench = spark.createDataFrame(rows, DOC), spark.createDataFrame(items, "item_id bigint, text string")
-    want = {(i, i % 6) for i in range(0, 60, 3)} | {(100, 93), (None, 0)}
-    for params in (decontam.SeedParams(), decontam.SeedParams(most_broadcast_words=0)):
+    docs, bench = spark.createDataFrame(rows, DOC).withColumn("key", F.lit(1)).withColumn("__leak", F.lit(2)).withColumn("a.b", F.lit(3)), spark.createDataFrame(items, "item_id bigint, text string")
+    want = {(i, i % 6) for i in range(0, 60, 3)} | {(100, 93), (None, 0), (102, 92)}
+    for params in (decontam.SeedParams(), decontam.SeedParams(most_broadcast_bytes=0)):
         assert {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench, params).collect()} == want
         kept = {r["doc_id"] for r in decontam.drop_leaks(docs, bench, params).collect()}
-        assert kept == {r[0] for r in rows} - {d for d, _ in want}
+        assert kept == {r[0] for r in rows} - {d for d, _ in want} and decontam.drop_leaks(docs, bench, params).columns == docs.columns
     assert decontam.find_leaks(empty, bench).count() == 0 and decontam.find_leaks(docs, bench.limit(0)).count() == 0
 
 
 def test_leaks_of_short_items():
-    """Every pattern of tolerated substitutions in an item of 5 to 16 words is found."""
+    """Every pattern of tolerated substitutions in an item of 1 to 16 words is found."""
     params = decontam.SeedParams()
-    for n in range(5, 17):
+    for n in range(1, 17):
         item = np.arange(1, n + 1, dtype=np.uint64)
         bench = decontam.Benchmark([n], [item], params)
         for d in range(n // 5 + 1):
@@ -242,16 +347,57 @@ def test_leaks_of_short_items():
             for at in itertools.combinations(inside, d):
                 doc = np.concatenate([np.arange(100, 110, dtype=np.uint64), item, np.arange(200, 210, dtype=np.uint64)])
                 doc[[10 + x for x in at]] = 999
-                assert decontam.matches(doc, bench), (n, at)
+                assert decontam.matches([doc[:3], doc], bench).get(1), (n, at)
 
 
 def test_leaks_of_items_with_punctuation(spark):
     docs = spark.createDataFrame([(1, "so Q what is the capital of France is asked", None, None, None)], DOC)
     bench = spark.createDataFrame([(1, "Q : what is the capital of France ?")], "item_id bigint, text string")
-    for params in (decontam.SeedParams(), decontam.SeedParams(most_broadcast_words=0)):
+    for params in (decontam.SeedParams(), decontam.SeedParams(most_broadcast_bytes=0)):
         assert [(r["start"], r["end"], r["n_different"]) for r in decontam.find_leaks(docs, bench, params).collect()] == [(1, 8, 0)]
 
 
+def brute_leaks(docs, items, params=decontam.SeedParams()):
+    """(doc, item) of all overlaps, trying every pair, every diagonal and every stretch."""
+    hasher, out = decontam.NormalHasher(), set()
+    items = [(i, hasher(t)) for i, t in items]
+    for d, text in docs:
+        h = hasher(text)
+        for i, item in items:
+            place, at = np.nonzero(h[:, None] == item[None, :]) if len(h) and len(item) else (np.empty(0, int),) * 2
+            least = min(params.least_overlap, len(item))
+            for diagonal, n in zip(*np.unique(place - at, return_counts=True), strict=True):
+                if n < 0.8 * least - 1e-9:
+                    continue
+                same = {p: h[p] == item[p - diagonal] for p in range(max(0, diagonal), min(len(h), diagonal + len(item)))}
+                ends = [p for p, s in same.items() if s]
+                if len(item) <= params.least_overlap:
+                    spans = [(diagonal, diagonal + len(item) - 1)] if len(same) == len(item) else []
+                else:
+                    spans = [(a, b) for a in ends for b in ends if b - a + 1 >= least]
+                if any(sum(not same[p] for p in range(a, b + 1)) <= params.most_different * (b - a + 1) + 1e-9 for a, b in spans):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_leaks_against_brute_force(spark, docs):
+    """All pairs of the table, and benchmark passages planted with substituted words, by both ways of the join."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = [(r["item_id"], r["text"]) for r in bench.collect()]
+    rnd, rows = random.Random(11), [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    for k in range(60):
+        w = rnd.choice(items)[1].split()
+        a = rnd.randrange(max(1, len(w) - 18))
+        w = [x if rnd.random() > 0.16 else "other" for x in w[a : a + rnd.randrange(8, 30)]]
+        rows.append((10**6 + k, " ".join([*rnd.choice(rows)[1].split()[:20], *w, "and", "so", "on"])))
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOC).repartition(3)
+    want = brute_leaks(rows, items)
+    assert len(want) > 20
+    for params in (decontam.SeedParams(), decontam.SeedParams(most_broadcast_bytes=0)):
+        assert {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, bench, params).collect()} == want
+
+
 # 6: language
 
 
@@ -381,6 +527,63 @@ def test_secrets_by_tokens(spark):
     assert secrets.mask(df, "[secret]").first()["text"] == "my [secret] ok"
 
 
+def test_secret_stretches():
+    """Maximal segments against their definition: none can be joined or grown to a better one."""
+    rnd = random.Random(3)
+    for _ in range(300):
+        w = [rnd.choice([-3.0, -2.0, -1.0, 0.5, 1.0]) for _ in range(rnd.randrange(1, 14))]
+        got = secrets.maximal_segments(w)
+        want, todo = [], [(0, len(w))]
+        while todo:  # the best segment (the shortest, leftmost of equals), then what is left of it and right of it
+            a, b = todo.pop()
+            best = max(((sum(w[i:j]), -(j - i), -i) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
+            if best[0] > 0:
+                i, n = -best[2], -best[1]
+                want.append((i, i + n))
+                todo += [(a, i), (i + n, b)]
+        assert got == sorted(want), w
+
+
+def test_secrets_found_and_excused():
+    limits = secrets.SecretLimits()
+    scanner = secrets.SecretScanner(secrets.read_vocabulary(limits), limits)
+    rnd = random.Random(5)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rnd.choice(base62) for _ in range(n))
+    kinds = {
+        "plain": lambda: key(32), "behind a path": lambda: "v1/customers/accounts/settings/authorization/" + key(24), "dated path": lambda: "/uploads/2024/01/15/sk_live_" + key(24),
+        "numbers before": lambda: f"xoxb-{rnd.randrange(10**11, 10**12)}-{rnd.randrange(10**12, 10**13)}-{key(24)}", "german path": lambda: "download/documents/international/report/" + key(28),
+    }
+    for name, make in kinds.items():
+        found = sum(any(k == 3 and b - a >= 18 for a, k, b in scanner(f"see {make()} there")[1]) for _ in range(200))
+        assert found >= 180, (name, found)
+    for text in (
+        "123e4567-e89b-12d3-a456-426614174000", "/archive/2024-01-15/2024/02/16/index_of_all_documents", "4111-1111-1111-1111-1111-1111", "D41D8CD98F00B204E9800998ECF8427E",
+        "the_quick_brown_fox_jumps_over_the_lazy_dog_again", "Donaudampfschifffahrtsgesellschaftskapitaen", "a" * 300, "=" * 300, "internationalization/localization/configuration",
+    ):
+        assert [x for x in scanner(f"see {text} there")[1] if x[1] == 3] == [], text
+
+
+def test_secrets_of_the_table(spark, docs):
+    """Base spans by the contract's patterns alone, in Python and in SQL, over every row."""
+    got = {r["doc_id"]: r for r in queries.op8_secret_scans(spark, SF).collect()}
+    for r in docs.collect():
+        t = r["text"] or ""
+        spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 8]
+        spans += [(m.start(), k, m.end()) for k, p, n in ((1, "AKIA[A-Z0-9]+", 16), (2, "[0-9a-f]+", 32)) for m in re.finditer(p, t) if m.end() - m.start() >= n]
+        told = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        assert got[r["doc_id"]]["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        assert [got[r["doc_id"]][c] for c in ("n_assign", "n_access", "n_hex")] == [sum(k == i for _, k, _ in spans) for i in range(3)]
+        every = got[r["doc_id"]]["spans"].split(",")
+        assert set(told.split(",")) <= set(every) and got[r["doc_id"]]["n_random"] == sum(x.startswith("random") for x in every)
+    sql = duckdb.sql(f"""
+        SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 8)) AS n_assign,
+          len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 32)) AS n_hex
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM '/root/testdata/sf0.01/documents.parquet')""").fetchall()
+    there = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"]) for r in queries.op8_secret_scans(spark, "/root/testdata/sf0.01").collect()}
+    assert there == {r[0]: r[1:] for r in sql}
+
+
 # 9: sharding
 
 
@@ -409,6 +612,16 @@ def test_sharding_weights(spark):
     assert abs(n[5] / 20_000 - 0.3) < 0.02 and abs(n[0] / 20_000 - 0.1) < 0.02
 
 
+def test_sharding_of_repeated_rows(spark, monkeypatch):
+    """Copies of one row are counted, numbered and told apart in portions."""
+    monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 7)
+    rows = [(5, "same", None, None, None)] * 50 + [(i, f"t{i % 9}", None, None, None) for i in range(300)] + [(None, None, None, None, None)] * 3
+    got = sharding.assign_shards(spark.createDataFrame(rows, DOC)).collect()
+    assert collections.Counter((r["doc_id"], r["size"]) for r in got) == collections.Counter((r[0], len(r[1] or "") + 16) for r in rows)
+    for shard in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
+
+
 # 10: similar texts
 
 
