@@ -16,18 +16,20 @@ Packing is sequential by nature, so pieces are dealt into groups of about
 ``pieces_per_group`` by a hash and each group is packed by itself; what is lost is
 at most a few partly filled bins a group. Only ids and lengths are shuffled. A hot
 id cannot gather: the group is drawn from id, text and piece, so it is the same
-when a lost executor's work is done again.
+when a lost executor's work is done again. A task packs several groups one after
+the other, so the number of tasks is the session's and not the data's.
 
 Defined cases: a null or wordless text has length 0 and gets bin null and no
 piece number; repeated rows are packed each by itself; equal lengths are taken in
-order of id and piece; an empty table gives an empty result; only id and text are
-read.
+order of id, piece and content, of open bins with equal room the last one; a very long
+text is as many pieces as it fills, and only its length is shuffled; an empty table gives
+an empty result; only id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 import bisect
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +59,9 @@ def opening(sizes: np.ndarray, params: PackParams) -> np.ndarray:
 
     A bin of capacity c opened for piece i will be filled up from pieces i+1 on.
     What those can add is their total, and at best the room left; the least cost
-    for each token placed wins, ties to the larger bin.
+    for each token placed wins, ties to the larger bin. Of the room, a quarter of the mean
+    of the pieces that fit is taken to stay open: best fit leaves gaps between none and
+    the least piece that is left, and the gaps shrink as pieces do.
     """
     caps = np.array(sorted(params.capacities))
     after = np.concatenate([np.cumsum(sizes[::-1])[::-1][1:], [0]])
@@ -65,8 +69,8 @@ def opening(sizes: np.ndarray, params: PackParams) -> np.ndarray:
     room = caps[None, :] - sizes[:, None]
     take = np.minimum(room, after[:, None])
     take = np.where(room < smallest, 0, take)
-    # Pieces no longer than the room are what can fill it; the finer they are the fuller it gets.
-    first = np.searchsorted(-sizes, -np.maximum(room, 0), side="left")
+    # Later pieces no longer than the room are what can fill it; the finer they are the fuller it gets.
+    first = np.maximum(np.searchsorted(-sizes, -np.maximum(room, 0), side="left"), np.arange(1, len(sizes) + 1)[:, None])
     fitting = np.concatenate([np.cumsum(sizes[::-1])[::-1], [0]])[first]
     count = np.maximum(len(sizes) - first, 1)
     mean = fitting / count
@@ -77,10 +81,30 @@ def opening(sizes: np.ndarray, params: PackParams) -> np.ndarray:
     return caps[len(caps) - 1 - cost[:, ::-1].argmin(1)]
 
 
+def cost(capacities: np.ndarray, params: PackParams) -> float:
+    return params.fixed_cost * len(capacities) + float(capacities.sum())
+
+
 def pack(sizes: np.ndarray, params: PackParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin and offset of each piece, and the bins' capacities after downsizing. Sizes are in falling order."""
+    """Bin and offset of each piece, and the bins' capacities after downsizing. Sizes are in falling order.
+
+    The opening rule looks ahead by sums only, so the group is packed with all lengths
+    open, then with the shorter ones left out one by one, and the cheapest stays; the
+    first of equals. Downsizing may use every length each time.
+    """
+    caps = sorted(params.capacities)
+    best = None
+    for k in range(len(caps)):
+        opened = opening(sizes, replace(params, capacities=tuple(caps[k:])))
+        tried = pack_with(sizes, opened.tolist(), params)
+        if best is None or cost(tried[2], params) < cost(best[2], params):
+            best = tried
+    return best
+
+
+def pack_with(sizes: np.ndarray, opened: list[int], params: PackParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best fit, a bin for piece i being opened with capacity opened[i] if none takes it."""
     bin_of, offset = np.zeros(len(sizes), np.int32), np.zeros(len(sizes), np.int32)
-    opened = opening(sizes, params).tolist()
     used: list[int] = []
     cap: list[int] = []
     by_room: dict[int, list[int]] = {}
@@ -127,7 +151,7 @@ def best_fit(docs: DataFrame, params: PackParams = PackParams(), key: str = "doc
     count = rows.agg(F.sum(F.ceil(F.coalesce("n", F.lit(0)) / largest)).alias("n")).first()["n"] or 0
     groups = max(1, -(-int(count) // params.pieces_per_group))
     group = F.pmod(F.xxhash64("h", "piece"), F.lit(groups))
-    dealt = pieces.withColumn("g", group).repartition(groups, "g").sortWithinPartitions("g", F.desc("n"), "doc_id", "piece")
+    dealt = pieces.withColumn("g", group).repartition("g").sortWithinPartitions("g", F.desc("n"), "doc_id", "piece", "h")
 
     def run(batches):
         waiting: list[pa.RecordBatch] = []
