@@ -14,8 +14,9 @@ and partitioning have no part in it.
 
 Defined cases: a null doc_id is one key of its own; a null text counts 0 bytes,
 so its size is the overhead alone and its crc32 is 0; repeated rows share a shard
-and get different slots; an empty table gives an empty result; other columns of
-the input, whatever their names, are not read.
+and get different slots; ties between draws go to the first child; a very long text
+counts with its bytes and is shuffled as its size and checksum; an empty table gives an
+empty result; other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -80,6 +81,8 @@ def assign_shards(docs: DataFrame, tree: Tree | None = None, grown: Tree | None
     Slots count a shard's rows gaplessly from 0. Numbering a whole shard in one
     task would not scale, so rows are numbered inside hashed buckets of a shard
     and shifted by the counts of the buckets before, which are summed map-side.
+    Repeated rows are one row with a count until they are numbered, and told apart
+    again in portions of bounded size.
     """
     tree, grown = tree or Tree.of(40), grown or Tree.of(41)
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
@@ -90,21 +93,25 @@ def assign_shards(docs: DataFrame, tree: Tree | None = None, grown: Tree | None
     )
     own = F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00null"))
     rows = place(place(rows, own, tree), own, grown, "grown_shard")
+    same = [c for c in rows.columns if not c.startswith("__")]
+    rows = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("__copies"))
     per_shard = max(1, len(tree.shards()))
     buckets = max(1, math.ceil(docs.select(F.lit(1).alias("one")).count() / per_shard / ROWS_PER_BUCKET))
     rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(own, "text_crc32", "size", F.lit("bucket")), F.lit(buckets)))
     before = (
-        rows.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("n"))
+        rows.groupBy("shard", "__bucket").agg(F.sum("__copies").alias("n"))
         .withColumn("__before", F.sum("n").over(Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)))
         .select("shard", "__bucket", F.coalesce("__before", F.lit(0)).alias("__before"))
     )
     in_bucket = Window.partitionBy("shard", "__bucket").orderBy("doc_id", "text_crc32", "size")
-    return (
-        rows.withColumn("__n", F.row_number().over(in_bucket))
-        .join(before, ["shard", "__bucket"])
-        .select(
-            "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-            (F.col("__before") + F.col("__n") - 1).cast("long").alias("slot"),
-            "grown_shard", F.col("shard_region").alias("region"), F.col("shard_rack").alias("rack"),
-        )
+    portion = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__copies") - 1) / ROWS_PER_BUCKET)))
+    numbered = (
+        rows.withColumn("__first", F.sum("__copies").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__copies"))
+        .join(before, ["shard", "__bucket"]).withColumn("__portion", portion)
+    )
+    spread = numbered.repartition("doc_id", "text_crc32", "__portion")
+    at = F.col("__portion") * ROWS_PER_BUCKET
+    return spread.withColumn("__i", F.explode(F.sequence(at, F.least(at + ROWS_PER_BUCKET, F.col("__copies")) - 1))).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__before") + F.col("__first") + F.col("__i")).cast("long").alias("slot"),
+        "grown_shard", F.col("shard_region").alias("region"), F.col("shard_rack").alias("rack"),
     )
