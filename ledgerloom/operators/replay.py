@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import FROZEN, SPENT, UNSPENT
+from ..functions.scalars import generation_ahead
 
 START = {"status": UNSPENT, "spender": -1, "n_ok": 0, "n_same": 0, "n_failed": 0}
 
@@ -48,3 +49,39 @@ def fold(log: DataFrame, base: DataFrame | None = None) -> DataFrame:
         first = _struct(**{k: F.coalesce(F.col(k), F.lit(v)) for k, v in START.items()})
     empty = F.array().cast("array<struct<seq:bigint,op:string,spender:bigint>>")
     return ops.select("key", F.aggregate(F.coalesce("ops", empty), first, step).alias("s")).select("key", "s.*")
+
+
+def receive(batches: DataFrame) -> DataFrame:
+    """stream, watermark, n_applied, n_duplicate, n_probe and n_gap after batches (stream, arrival, first, last) in the order of arrival.
+
+    A batch without operations (last below first) is a probe. One that ends at or below the
+    stream's watermark was applied before; one that begins beyond the next number is
+    refused and moves nothing, so that it must be sent again; any other is applied from
+    the watermark on. The fold keeps five numbers for each stream.
+    """
+    start = _struct(watermark=F.lit(0), n_applied=F.lit(0), n_duplicate=F.lit(0), n_probe=F.lit(0), n_gap=F.lit(0))
+
+    def step(a: Column, x: Column) -> Column:
+        probe = x["last"] < x["first"]
+        duplicate = ~probe & (x["last"] <= a["watermark"])
+        gap = ~probe & ~duplicate & (x["first"] > a["watermark"] + 1)
+        applied = ~probe & ~duplicate & ~gap
+        n = lambda name, when: a[name] + when.cast("long")
+        return _struct(
+            watermark=F.when(applied, x["last"]).otherwise(a["watermark"]), n_applied=n("n_applied", applied), n_duplicate=n("n_duplicate", duplicate),
+            n_probe=n("n_probe", probe), n_gap=n("n_gap", gap),
+        )
+
+    ordered = batches.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("arrival", "first", "last")]))).alias("b"))
+    return ordered.select("stream", F.aggregate("b", start, step).alias("s")).select("stream", "s.*")
+
+
+def apply_generations(local: DataFrame, incoming: DataFrame) -> DataFrame:
+    """key, generation, value after replicated writes (key, generation, value): on the 32-bit circle the one furthest ahead of the local
+    generation wins, and what is not ahead of it is stale and dropped. Ties go to the least value."""
+    own = local.select("key", F.col("generation").alias("own"), F.col("value").alias("own_value"))
+    far = F.pmod(F.col("generation") - F.coalesce("own", F.lit(0)), F.lit(1 << 32))
+    ahead = F.col("own").isNull() | generation_ahead(F.col("generation"), F.col("own"))
+    best = incoming.join(own, "key", "left").where(ahead).groupBy("key").agg(F.max_by(F.struct("generation", "value"), F.struct(far, -F.col("value"))).alias("w"))
+    both = own.join(best, "key", "full_outer")
+    return both.select("key", F.coalesce("w.generation", "own").alias("generation"), F.coalesce("w.value", "own_value").alias("value"))

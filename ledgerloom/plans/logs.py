@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hex_of
+from ..functions.scalars import hex_of, le_bytes
 from ..operators import inventory, records, replay
-from ..sources import binary, snapshot
+from ..sources import binary, payloads, snapshot
 from ..sources import projection as P
 from ..streaming import op_stream
 
@@ -83,6 +84,75 @@ def blob_assembly(s, d):
     return binary.assemble(chunks.select("key", (F.col("i") * 5).cast("long").alias("at"), F.expr("substring(b, i * 5 + 1, 5)").alias("data")))
 
 
+# The shared parameters that the encoded batches carry.
+HEADERS = {
+    "spend": {"ignore_conflicting": 0, "ignore_locked": 1, "current_block_height": 2000, "block_height_retention": 288},
+    "unspend": {"current_block_height": 2000, "block_height_retention": 288},
+    "set_mined": {"block_id": 103, "block_height": 2000, "subtree_idx": 3, "on_longest_chain": 1, "unset_mined": 0, "current_block_height": 2000, "block_height_retention": 288},
+    "reassign": {"block_height": 2000, "spendable_after": 1000}, "slots": {}, "get": {"field_mask": 524287},
+}
+
+
+def _batches(s, d, kind):
+    """Batches of consecutive orders as payloads: slot items are the lines that were returned, the others records."""
+    if kind in ("set_mined", "get"):
+        rows = P.tx_items(s, d).withColumn("place", F.col("k"))
+    else:
+        rows = P.items(s, d, "A").withColumns({"place": F.col("k") * 1000 + F.col("seq"), "spending_data": F.concat("spender", le_bytes(F.col("vin"), 4))})
+    rows = rows.withColumn("batch", F.floor(F.col("k") / 4000))
+    return payloads.encode(rows, kind, "batch", "place", {n: F.lit(v) for n, v in HEADERS[kind].items()})
+
+
+def payload_codecs(s, d):
+    """Sizes and digests of every kind of batch, and what a reader makes of it."""
+    out = None
+    for kind in HEADERS:
+        told = _batches(s, d, kind).withColumn("read", payloads.decode(F.col("payload"), kind))
+        one = told.select(F.lit(kind).alias("kind"), "batch", "n_items", F.length("payload").cast("long").alias("n_bytes"), F.sha2("payload", 256).alias("digest"), F.col("read.code").alias("code"), F.size("read.items").cast("long").alias("n_read"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def payload_round_trip(s, d):
+    """The items of spend batches as read from their payloads."""
+    read = _batches(s, d, "spend").select(F.explode(payloads.decode(F.col("payload"), "spend")["items"]).alias("i"))
+    return read.select(hex_of("i.txid").alias("txid"), "i.vout", hex_of("i.hash").alias("hash"), hex_of("i.spending_data").alias("spending_data"))
+
+
+def replica_watermarks(s, d):
+    """Event numbers as replicated batches: every seventh is sent again from further back, others leave gaps or come twice."""
+    w = Window.partitionBy(F.col("user_id") % 5).orderBy("event_id")
+    e = P.read(s, d, "events").select((F.col("user_id") % 5).cast("long").alias("stream"), F.col("event_id").alias("arrival"), F.row_number().over(w).cast("long").alias("n"))
+    again, gap = F.col("n") % 7 == 0, F.col("arrival") % 9 == 0
+    first = F.when(again, F.greatest(F.lit(1), F.col("n") - 30)).otherwise(F.col("n") + F.when(gap, 2).otherwise(0))
+    last = F.when(again, F.col("n")).otherwise(F.col("n") + F.when(gap, 2).otherwise(0) + F.col("arrival") % 4 - 1)
+    return replay.receive(e.select("stream", "arrival", first.alias("first"), last.alias("last")))
+
+
+def replica_generations(s, d):
+    """Records whose generations are near the end of the 32-bit circle, and writes from before and after it."""
+    local = P.read(s, d, "customer").select(F.col("c_custkey").cast("long").alias("key"), F.pmod(F.lit(4294967290) + F.col("c_custkey") % 10, F.lit(1 << 32)).cast("long").alias("generation"), F.lit(-1).cast("long").alias("value"))
+    writes = P.read(s, d, "orders").select(F.col("o_custkey").cast("long").alias("key"), F.pmod(F.lit(4294967288) + F.col("o_orderkey") % 16, F.lit(1 << 32)).cast("long").alias("generation"), F.col("o_orderkey").cast("long").alias("value"))
+    return replay.apply_generations(local, writes)
+
+
+def _le_sql(x: str, width: int) -> str:
+    return "printf('" + "%02x" * width + "', " + ", ".join(f"({x} >> {8 * i}) & 255" for i in range(width)) + ")"
+
+
+def _payloads_sql() -> str:
+    out = []
+    for kind, header in HEADERS.items():
+        shared, fields = payloads.LAYOUTS[kind]
+        records = kind in ("set_mined", "get")
+        source = "SELECT *, k AS place FROM tx_items" if records else f"SELECT *, k * 1000 + seq AS place, spender || {_le_sql('vin', 4)} AS spending_data FROM items WHERE l_returnflag = 'A'"
+        item = " || ".join(n if w >= payloads.RAW else _le_sql(n, w) for n, w in fields)
+        head = " || ".join([_le_sql("count(*)", 4), *[_le_sql(f"CAST({header[n]} AS BIGINT)", w) for n, w in shared]])
+        out.append(f"""SELECT '{kind}' AS kind, batch, n_items, CAST(length(p) // 2 AS BIGINT) AS n_bytes, sha256(from_hex(p)) AS digest, CAST(0 AS BIGINT) AS code, n_items AS n_read
+          FROM (SELECT k // 4000 AS batch, count(*) AS n_items, {head} || string_agg({item}, '' ORDER BY place) AS p FROM ({source}) GROUP BY 1)""")
+    return f"WITH {P.SQL} " + " UNION ALL ".join(out)
+
+
 _FOLD = """WITH log AS (SELECT user_id AS key, epoch_us(ts) * 16 + event_id % 16 AS seq, event_type AS op, event_id % 3 AS spender FROM events),
 lists AS (SELECT key, list({'op': op, 'spender': spender} ORDER BY seq) AS l FROM log GROUP BY 1),
 folded AS (SELECT key, list_reduce(l, lambda a, x: CASE
@@ -97,10 +167,28 @@ SELECT key, s.status, s.spender, s.n_ok, s.n_same, s.n_failed FROM folded"""
 
 QUERIES = {
     k: globals()[k]
-    for k in ("replay_fold", "replay_from_snapshot", "double_spend_stream", "snapshot_round_trip", "rebuild_counters", "slot_codec", "frame_codec", "blob_assembly")
+    for k in ("payload_codecs", "payload_round_trip", "replica_watermarks", "replica_generations", "replay_fold", "replay_from_snapshot", "double_spend_stream", "snapshot_round_trip", "rebuild_counters", "slot_codec", "frame_codec", "blob_assembly")
 }
 
 ORACLES = {
+    "payload_codecs": _payloads_sql(),
+    "payload_round_trip": f"WITH {P.SQL} SELECT txid, vout, hash, spender || {_le_sql('vin', 4)} AS spending_data FROM items WHERE l_returnflag = 'A'",
+    "replica_watermarks": """WITH e AS (SELECT user_id % 5 AS stream, event_id AS arrival, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS n FROM events),
+      b AS (SELECT stream, arrival, CASE WHEN n % 7 = 0 THEN greatest(1, n - 30) ELSE n + CASE WHEN arrival % 9 = 0 THEN 2 ELSE 0 END END AS first,
+        CASE WHEN n % 7 = 0 THEN n ELSE n + CASE WHEN arrival % 9 = 0 THEN 2 ELSE 0 END + arrival % 4 - 1 END AS last FROM e),
+      l AS (SELECT stream, list({'f': CAST(first AS BIGINT), 'l': CAST(last AS BIGINT)} ORDER BY arrival) AS l FROM b GROUP BY 1),
+      f AS (SELECT stream, list_reduce(l, lambda a, x: CASE
+          WHEN x.l < x.f THEN {'w': a.w, 'a': a.a, 'd': a.d, 'p': a.p + 1, 'g': a.g}
+          WHEN x.l <= a.w THEN {'w': a.w, 'a': a.a, 'd': a.d + 1, 'p': a.p, 'g': a.g}
+          WHEN x.f > a.w + 1 THEN {'w': a.w, 'a': a.a, 'd': a.d, 'p': a.p, 'g': a.g + 1}
+          ELSE {'w': x.l, 'a': a.a + 1, 'd': a.d, 'p': a.p, 'g': a.g} END,
+        {'w': 0::BIGINT, 'a': 0::BIGINT, 'd': 0::BIGINT, 'p': 0::BIGINT, 'g': 0::BIGINT}) AS s FROM l)
+      SELECT stream, s.w AS watermark, s.a AS n_applied, s.d AS n_duplicate, s.p AS n_probe, s.g AS n_gap FROM f""",
+    "replica_generations": """WITH local AS (SELECT c_custkey AS key, (4294967290 + c_custkey % 10) % 4294967296 AS own FROM customer),
+      w AS (SELECT o_custkey AS key, (4294967288 + o_orderkey % 16) % 4294967296 AS g, o_orderkey AS v FROM orders),
+      ranked AS (SELECT w.*, row_number() OVER (PARTITION BY w.key ORDER BY (g - coalesce(own, 0) + 4294967296) % 4294967296 DESC, v) AS r
+        FROM w LEFT JOIN local USING (key) WHERE own IS NULL OR (g - own + 4294967296) % 4294967296 BETWEEN 1 AND 2147483647)
+      SELECT coalesce(l.key, r.key) AS key, coalesce(g, own) AS generation, coalesce(v, -1) AS value FROM local l FULL JOIN (SELECT * FROM ranked WHERE r = 1) r ON r.key = l.key""",
     "replay_fold": _FOLD,
     "replay_from_snapshot": _FOLD,
     "double_spend_stream": _FOLD,
