@@ -225,7 +225,30 @@ def rebuild_counters(state: State) -> State:
     return state.but(tx=tx.select(*state.tx.columns))
 
 
+def rebuild(headers: DataFrame, slots: DataFrame, block: DataFrame, children: DataFrame, tombstones: DataFrame) -> tuple[State, DataFrame]:
+    """The state from what a scan finds, and what was skipped (txid, why).
+
+    headers: columns of tx; slots: columns of utxo and intact. A record under a tombstone of
+    its generation or a later one is gone ("tombstone"); one with a damaged slot, or with
+    other slots than its header counts, is malformed ("slots"). Counters come from the slots.
+    """
+    n = slots.groupBy("txid").agg(
+        F.count(F.lit(1)).alias("c"), F.bool_and("intact").alias("ok"), F.max("vout").alias("last"),
+        F.sum((F.col("status") == C.SPENT).cast("long")).alias("s"), F.sum((F.col("status") == C.PRUNED).cast("long")).alias("p"),
+    )
+    dead = tombstones.groupBy("txid").agg(F.max("generation").alias("dead"))
+    seen = headers.join(n, "txid", "left").join(dead, "txid", "left")
+    whole = F.coalesce(F.col("ok") & (F.col("c") == F.col("utxo_count")) & (F.col("last") == F.col("utxo_count") - 1), F.lit(False))
+    why = F.when(F.col("dead") >= F.col("generation"), "tombstone").when(~whole, "slots")
+    seen = seen.withColumn("why", why)
+    tx = seen.where("why IS NULL").withColumns({"spent_utxos": F.col("s"), "pruned_utxos": F.col("p")}).select(*headers.columns)
+    live = tx.select("txid")
+    utxo = slots.select(*[c for c in slots.columns if c != "intact"]).join(live, "txid", "left_semi")
+    kept = State(tx, utxo, block.join(live, "txid", "left_semi"), children.join(live.withColumnRenamed("txid", "parent"), "parent", "left_semi"))
+    return kept, seen.where("why IS NOT NULL").select("txid", "why")
+
+
 __all__ = [
     "add_children", "append_children", "create", "delete", "increment_spent_extra", "mark_longest_chain", "preserve_until", "prune_slots",
-    "rebuild_counters", "remove_children", "set_conflicting", "set_locked", "set_mined", "spent_slots", "unset_mined",
+    "rebuild", "rebuild_counters", "remove_children", "set_conflicting", "set_locked", "set_mined", "spent_slots", "unset_mined",
 ]

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hex_of, le_bytes
+from ..functions.scalars import hex_of, le_bytes, le_uint
 from ..operators import inventory, records, replay
 from ..sources import binary, payloads, snapshot
 from ..sources import projection as P
@@ -53,6 +53,39 @@ def snapshot_round_trip(s, d):
     return inventory.slot_inventory(snapshot.read(s, folder))
 
 
+def backup_verified(s, d):
+    """A backup's tables against its manifest, and the rows of what is restored."""
+    folder = _folder(s)
+    snapshot.write(P.state(s, d), folder)
+    st = snapshot.restore(s, folder)
+    rows = None
+    for name in snapshot.TABLES:
+        one = getattr(st, name).agg(F.count(F.lit(1)).alias("restored")).withColumn("table", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one)
+    return snapshot.verify(s, folder).join(rows, "table")
+
+
+def _scan(s, d):
+    """What a scan of stored bytes finds: spent slots 3 damaged, tombstones over some records."""
+    st = P.state(s, d)
+    raw = binary.slot_bytes(F.col("hash"), F.col("status"), F.col("spender"), F.col("vin"), F.col("cooldown"))
+    hurt = (F.col("vout") == 3) & (F.col("status") == 1)
+    slots = st.utxo.select("txid", "vout", F.when(hurt, F.concat(F.substring(raw, 1, 72), le_bytes((le_uint(raw, 72, 1) + 1) % 256, 1))).otherwise(raw).alias("raw")).withColumn("p", binary.parse_slot(F.col("raw")))
+    slots = slots.select("txid", "vout", *[F.col(f"p.{c}").alias(c) for c in ("hash", "status", "spender", "vin", "cooldown", "intact")])
+    blank = st.tx.withColumns({"spent_utxos": F.lit(-1).cast("long"), "pruned_utxos": F.lit(-1).cast("long")})
+    tombs = P.tx_items(s, d).select("txid", (F.col("k") % 2 - 1).cast("long").alias("generation"))
+    return records.rebuild(blank, slots, st.block, st.children, tombs)
+
+
+def rebuild_scan(s, d):
+    """The records that a scan brings back, with counters from their slots and the height at which they are due."""
+    return _scan(s, d)[0].tx.select(hex_of("txid").alias("txid"), "utxo_count", "spent_utxos", "pruned_utxos", "delete_at_height")
+
+
+def rebuild_skipped(s, d):
+    return _scan(s, d)[1].select(hex_of("txid").alias("txid"), "why")
+
+
 def rebuild_counters(s, d):
     """Counters from the slots alone, after the stored ones were lost."""
     st = P.state(s, d)
@@ -165,9 +198,13 @@ folded AS (SELECT key, list_reduce(l, lambda a, x: CASE
   {'status': 0::BIGINT, 'spender': (-1)::BIGINT, 'n_ok': 0::BIGINT, 'n_same': 0::BIGINT, 'n_failed': 0::BIGINT}) AS s FROM lists)
 SELECT key, s.status, s.spender, s.n_ok, s.n_same, s.n_failed FROM folded"""
 
+_SCAN = f"""hurt AS (SELECT DISTINCT k FROM utxo WHERE vout = 3 AND status = 1),
+tombs AS (SELECT txid FROM tx_items WHERE k % 2 = 1),
+seen AS (SELECT tx.*, CASE WHEN txid IN (SELECT txid FROM tombs) THEN 'tombstone' WHEN k IN (SELECT k FROM hurt) THEN 'slots' END AS why FROM tx)"""
+
 QUERIES = {
     k: globals()[k]
-    for k in ("payload_codecs", "payload_round_trip", "replica_watermarks", "replica_generations", "replay_fold", "replay_from_snapshot", "double_spend_stream", "snapshot_round_trip", "rebuild_counters", "slot_codec", "frame_codec", "blob_assembly")
+    for k in ("payload_codecs", "payload_round_trip", "replica_watermarks", "replica_generations", "replay_fold", "replay_from_snapshot", "double_spend_stream", "snapshot_round_trip", "backup_verified", "rebuild_scan", "rebuild_skipped", "rebuild_counters", "slot_codec", "frame_codec", "blob_assembly")
 }
 
 ORACLES = {
@@ -193,6 +230,9 @@ ORACLES = {
     "replay_from_snapshot": _FOLD,
     "double_spend_stream": _FOLD,
     "snapshot_round_trip": f"WITH {P.SQL} SELECT count(*) AS total, count(*) FILTER (status = 1) AS spent, count(*) FILTER (status = 2) AS pruned, count(*) FILTER (status = 255) AS frozen, count(*) FILTER (status = 0) AS unspent FROM utxo",
+    "backup_verified": f"WITH {P.SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS rows, true AS intact, count(*) AS restored FROM {n}" for n in snapshot.TABLES),
+    "rebuild_scan": f"WITH {P.SQL}, {_SCAN} SELECT txid, utxo_count, spent_utxos, pruned_utxos, CAST(delete_at_height AS BIGINT) AS delete_at_height FROM seen WHERE why IS NULL",
+    "rebuild_skipped": f"WITH {P.SQL}, {_SCAN} SELECT txid, why FROM seen WHERE why IS NOT NULL",
     "rebuild_counters": f"WITH {P.SQL} SELECT txid, utxo_count, spent_utxos, pruned_utxos FROM tx",
     "slot_codec": f"WITH {P.SQL} SELECT hash, vout, CAST(status AS BIGINT) AS status, coalesce(spender, '') AS spender, CAST(coalesce(vin, -1) AS BIGINT) AS vin, CAST(cooldown AS BIGINT) AS cooldown, true AS intact, CAST(73 AS BIGINT) AS n_bytes FROM utxo",
     "frame_codec": "SELECT CAST(CAST(o_orderkey AS HUGEINT) + CASE WHEN o_orderkey % 2 = 1 THEN 9223372036854775808::HUGEINT ELSE 0::HUGEINT END AS VARCHAR) AS request_id, CAST(1 AS BIGINT) AS op, o_orderpriority AS payload, true AS whole, CAST(16 + strlen(o_orderpriority) AS BIGINT) AS n_bytes FROM orders",

@@ -19,18 +19,56 @@ def _keyed(df: DataFrame, name: str, parts: int) -> DataFrame:
     return df.repartitionByRange(parts, shard_of(key), F.col(key)).sortWithinPartitions(key)
 
 
+def digests(state: State) -> DataFrame:
+    """table, shard, rows and digest of every table's rows, whatever their order; counts and XORs are combined map-side."""
+    out = None
+    for name in TABLES:
+        df = getattr(state, name)
+        row = F.xxhash64(*[F.coalesce(F.col(c).cast("binary") if t == "string" else F.col(c).cast("string"), F.lit("\x00null")) for c, t in df.dtypes])
+        one = df.groupBy(shard_of("parent" if name == "children" else "txid").alias("shard")).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(row).alias("digest"))
+        one = one.select(F.lit(name).alias("table"), "shard", "rows", "digest")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def write(state: State, folder: str, parts: int = 8) -> str:
-    """Writes a version and points to it; readers see the old or the new one, never a part."""
+    """Writes a version with its manifest and points to it; readers see the old or the new one, never a part."""
     version = uuid.uuid4().hex
     for name in TABLES:
         _keyed(getattr(state, name), name, parts).write.parquet(f"{folder}/{version}/{name}")
     spark = state.tx.sparkSession
+    digests(_open(spark, folder, version)).coalesce(1).write.parquet(f"{folder}/{version}/manifest")
     at = F.lit(version).alias("version"), F.current_timestamp().alias("written")
     spark.range(1).select(*at).coalesce(1).write.mode("append").parquet(f"{folder}/pointer")
     return version
 
 
+def _open(spark: SparkSession, folder: str, version: str) -> State:
+    return State(*[spark.read.parquet(f"{folder}/{version}/{name}") for name in TABLES])
+
+
+def newest(spark: SparkSession, folder: str) -> str:
+    return spark.read.parquet(f"{folder}/pointer").orderBy(F.desc("written")).first()["version"]
+
+
 def read(spark: SparkSession, folder: str, version: str | None = None) -> State:
     """The newest version, or the one named."""
-    version = version or spark.read.parquet(f"{folder}/pointer").orderBy(F.desc("written")).first()["version"]
-    return State(*[spark.read.parquet(f"{folder}/{version}/{name}") for name in TABLES])
+    return _open(spark, folder, version or newest(spark, folder))
+
+
+def verify(spark: SparkSession, folder: str, version: str | None = None) -> DataFrame:
+    """table, rows and intact: whether every shard of a version's tables is what its manifest says."""
+    version = version or newest(spark, folder)
+    said = spark.read.parquet(f"{folder}/{version}/manifest").withColumnsRenamed({"rows": "said_rows", "digest": "said_digest"})
+    found = digests(_open(spark, folder, version)).join(said, ["table", "shard"], "full_outer")
+    same = F.col("rows").eqNullSafe(F.col("said_rows")) & F.col("digest").eqNullSafe(F.col("said_digest"))
+    return found.groupBy("table").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.bool_and(same).alias("intact"))
+
+
+def restore(spark: SparkSession, folder: str, version: str | None = None) -> State:
+    """A version whose tables agree with its manifest; anything else is an error."""
+    version = version or newest(spark, folder)
+    wrong = [r["table"] for r in verify(spark, folder, version).where("NOT intact").collect()]  # at most the four tables
+    if wrong:
+        raise ValueError(f"version {version} is damaged: {', '.join(sorted(wrong))}")
+    return _open(spark, folder, version)

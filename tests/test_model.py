@@ -9,6 +9,7 @@ from ledgerloom.functions import codes as C
 from ledgerloom.functions.scalars import fingerprint, generation_ahead, log2_bucket, shard_of
 from ledgerloom.operators import inventory, pruner, records, slots
 from ledgerloom.operators.state import BLOCK, CHILDREN, TX, UTXO, Heights, State
+from ledgerloom.sources import payloads, snapshot
 from ledgerloom.streaming.op_stream import apply_one
 
 E = C.ERRORS
@@ -160,3 +161,44 @@ def test_golden_values(spark):
 @pytest.mark.parametrize("op, start, want", [("spend", (0, -1), "ok"), ("spend", (1, 2), "same"), ("spend", (1, 3), "failed"), ("unspend", (1, 2), "ok"), ("freeze", (1, 2), "failed"), ("unfreeze", (255, -1), "ok")])
 def test_stream_machine(op, start, want):
     assert apply_one(*start, op, 2)[2] == want
+
+
+def test_damaged_backup_is_refused(spark, tmp_path):
+    st = make(spark, [tx_row(n) for n in range(1, 6)], [slot(n, v) for n in range(1, 6) for v in (0, 1)])
+    version = snapshot.write(st, str(tmp_path))
+    assert snapshot.restore(spark, str(tmp_path)).utxo.count() == 10
+    other = spark.createDataFrame([slot(n, v, status=int(n == 3)) for n in range(1, 6) for v in (0, 1)], UTXO)
+    other.write.mode("overwrite").parquet(f"{tmp_path}/{version}/utxo")
+    assert {r["table"]: r["intact"] for r in snapshot.verify(spark, str(tmp_path)).collect()}["utxo"] is False
+    with pytest.raises(ValueError):
+        snapshot.restore(spark, str(tmp_path), version)
+
+
+def test_malformed_payloads(spark):
+    items = spark.createDataFrame([(0, i, b32(i), i, b32(9)) for i in range(3)], "batch int, seq int, txid binary, vout bigint, hash binary")
+    good = payloads.encode(items, "slots", "batch", "seq").first()["payload"]
+    cases = [bytes(good), bytes(good) + b"more", bytes(good)[:-1], b"", b"\x01", (9000).to_bytes(4, "little") + bytes(9000 * 68), (0).to_bytes(4, "little"), None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, p binary").select("i", payloads.decode(F.col("p"), "slots").alias("d"))
+    got = [(r["d"]["code"], len(r["d"]["items"])) for r in df.orderBy("i").collect()]
+    bad = (E["PAYLOAD_MALFORMED"], 0)
+    assert got == [(0, 3), (0, 3), bad, bad, bad, bad, (0, 0), bad]
+    first = df.first()["d"]["items"][2]
+    assert (bytes(first["txid"]), first["vout"], bytes(first["hash"])) == (b32(2), 2, b32(9))
+
+
+def test_children_beyond_a_full_list(spark):
+    st = make(spark, [tx_row(1)], [slot(1, 0), slot(1, 1)], children=[(b32(1), b32(1000 + i), "conflicting") for i in range(250)])
+    pairs = spark.createDataFrame([(b32(1), b32(3000 - i), i) for i in range(20)] + [(b32(1), b32(1000), 99), (b32(2), b32(5), 1)], "parent binary, child binary, seq bigint")
+    r = records.append_children(st, pairs, "conflicting")
+    assert [tuple(x)[1:] for x in r.items.collect()] == [(5, 15)] and r.state.children.count() == 255
+    new = {bytes(x["child"]) for x in r.state.children.collect()} - {b32(1000 + i) for i in range(250)}
+    assert new == {b32(3000 - i) for i in range(5)}
+
+
+def test_effective_changes_are_stamped(spark):
+    st = make(spark, [tx_row(1, updated_at=7), tx_row(2, updated_at=7)], [slot(1, 0), slot(1, 1), slot(2, 0), slot(2, 1)])
+    item = spark.createDataFrame([(b32(1), 0, b32(1010), 1, b32(9), 0, b32(0), False)], ITEM)
+    r = slots.spend(st, item, Heights(2000), now_ms=50)
+    assert {x["txid"][0]: (x["generation"], x["updated_at"]) for x in r.state.tx.collect()} == {1: (1, 50), 2: (0, 7)}
+    again = slots.spend(r.state.but(tx=r.state.tx.select(*st.tx.columns)), item, Heights(2000), now_ms=60)
+    assert again.items.first()["idempotent"] and {x["txid"][0]: x["updated_at"] for x in again.state.tx.collect()} == {1: 50, 2: 7}
