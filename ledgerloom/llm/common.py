@@ -170,12 +170,14 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
         return mix64(out)
 
 
-def shared_folder(spark: SparkSession, local: str = "/tmp/ledgerloom-checkpoints") -> str:
-    """The folder that all executors share; the setting is only filled in where it is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", local)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; on one machine it is filled in where it is unset, as in tests, on a cluster that is an error."""
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "/tmp/ledgerloom-checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder

@@ -22,8 +22,10 @@ n_copies (documents with the same text).
 Defined cases: a null or wordless text is a class by itself without links, with
 n_copies 1; a text of fewer than five words has one shingle, all its words;
 repeated rows are copies of each other; a class without any doc_id has class_id
-null; an empty table gives an empty result; only id and text are read. Texts are
-told apart by 64-bit hashes.
+null; of equal ids the least is one of them; a similarity of exactly the threshold links;
+a very long text is one set of shingles in one task, with the sets of its block; an
+empty table gives an empty result; only id and text are read, so other columns may have
+any names. Texts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -375,15 +377,18 @@ def _join(docs: DataFrame, params: JoinParams, key: str, text: str) -> DataFrame
 
 def keep_one(docs: DataFrame, params: JoinParams = JoinParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The row of one document of each class, the one with the least id, or any if none has an id; all columns as they are. Of repeated rows one stays."""
+    # Columns go by place until the end, so that none can clash.
+    names, k, t = docs.columns, docs.columns.index(key), docs.columns.index(text)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     # Where a class has no id at all, the text with the least key stands for it.
     one = F.col("doc_id").isNotNull() | F.col("lead").isNull() | (F.col("k") == F.col("lead"))
-    best = _join(docs, params, key, text).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & one)
+    best = _join(plain, params, f"c{k}", f"c{t}").where(F.col("doc_id").eqNullSafe(F.col("class_id")) & one)
     best = checkpoint(best.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n")))
-    found = lambda w: best.where(w).select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"))
-    kept = lambda w: docs.join(found(w), F.col(key).eqNullSafe(F.col("__id")) & (text_key(F.col(text)) == F.col("__k")), "left_semi")
-    if best.where("n > 1").isEmpty():
-        return kept("n = 1")
-    return kept("n = 1").unionByName(kept("n > 1").dropDuplicates([key, text]))
+    kept = lambda w: plain.join(best.where(w), F.col(f"c{k}").eqNullSafe(F.col("doc_id")) & (text_key(F.col(f"c{t}")) == F.col("k")), "left_semi")
+    out = kept("n = 1")
+    if not best.where("n > 1").isEmpty():
+        out = out.unionByName(kept("n > 1").dropDuplicates([f"c{k}", f"c{t}"]))
+    return out.toDF(*names)
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"

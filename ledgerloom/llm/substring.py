@@ -19,13 +19,15 @@ one shard that can answer for them:
 
 Anchors with more occurrences than ``hot`` are keyed by the window's own text, one
 window a segment, so no shard holds more than ``hot`` texts of one anchor and
-equal texts fold map-side. Hashes only route and group; windows are compared as
-words.
+equal texts fold map-side. Within a shard windows are compared as words by the
+automaton; segments and texts are told apart by 64-bit hashes, and a shard of one text
+only needs its count.
 
 Defined cases: a null text has no words, nothing removed, and the digest of the
-empty string; texts shorter than a window stay whole; repeated rows are
-occurrences of each other; an empty table gives an empty result; only id and text
-are read.
+empty string; texts shorter than a window stay whole; of equal grams in
+a window the first is its anchor; a very long text is cut into segments of at most two
+windows; repeated rows are occurrences of each other; an empty table gives an empty
+result; only id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations

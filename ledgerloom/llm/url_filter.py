@@ -7,9 +7,10 @@ terms must be several. Host and path rules come first and are found by walking a
 host's suffixes through a dictionary, so their number does not matter.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, no
-rule, and is judged by whatever terms it has (a null has none: allow); repeated
-rows give repeated results; an empty table gives an empty one; other columns are
-not read.
+rule, and is judged by whatever terms it has (a null has none: allow); of rules the
+longest wins, of equally long ones the first listed; a very long url is read whole, in one
+pass; repeated rows give repeated results; an empty table gives an empty one; other
+columns are not read.
 """
 
 from __future__ import annotations

@@ -751,6 +751,36 @@ def test_pipeline(spark):
     assert sum(map(bool, (secrets.SecretScanner.base(r["text"] or "") for r in stage2.collect()))) == 0
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, repeats, copies, long texts, clashing columns and empty tables go through every stage."""
+    import corpus_pipeline
+
+    base = [r for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang IS NOT NULL AND n_chars > 400").orderBy("doc_id").limit(40).collect()]
+    item = "quite another passage that no document holds except the one that has been given it by hand today"
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in base]
+    first = rows[0]
+    rows += [first, (10**6, first[1], first[2], "copy", first[4]), (10**6 + 1, None, None, None, None), (10**6 + 2, "", "en", "s", 0), (10**6 + 3, "\U0001f600 123", "en", "s", 5)]
+    rows += [(None, rows[1][1].replace(" ", "  ") + " and a tail of its own", rows[1][2], "s", 1), (10**6 + 4, rows[2][1] + " " + item, rows[2][2], "s", 1), (10**6 + 5, " ".join(r[1] for r in rows[:40] if r[2] == "en") * 3, "en", "long", 1)]
+    df = spark.createDataFrame(rows, DOC).withColumns({"k": F.lit(1), "language": F.lit(2), "__id": F.lit(3), "__leak": F.lit(4), "key": F.lit(5), "c0": F.lit(6)})
+    df.write.parquet(f"{tmp_path}/full/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id bigint, text string").write.parquet(f"{tmp_path}/full/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/full/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/full")
+        assert docs.columns == df.columns
+        docs = spark.createDataFrame(docs.collect(), df.schema)
+        kept.append([r["doc_id"] for r in docs.collect()])
+    assert not {10**6 + 1, 10**6 + 2, 10**6 + 3} & set(kept[0]) and len(kept[0]) == len(rows) - 3
+    assert kept[1].count(first[0]) == 1 and 10**6 not in kept[1] and len(kept[1]) == len(set(kept[1]))
+    assert 10**6 + 4 in kept[0] and 10**6 + 4 not in kept[2] and 10**6 + 5 in kept[2]
+    assert sorted(kept[3], key=str) == sorted(kept[2], key=str)
+    out = corpus_pipeline.run(spark, f"{tmp_path}/full")
+    assert {r["doc_id"] for r in out.collect()} == set(kept[3])
+    df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_queries_return_all_rows(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     q = queries.queries()
