@@ -3,6 +3,12 @@
 Every function takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each result as Parquet to the shared folder and gives what it reads back to the
 next. All stages but the last return the columns of documents.
+
+Defined cases, beside those of the operators: a document without text or without a letter
+goes in the first stage; rows with a null id stay as long as their texts do; of repeated rows
+and of equal texts one stays; of a class the least id stands for it; very long texts
+pass whole; more columns, whatever their names, are kept up to the last stage; empty
+tables give an empty result.
 """
 
 from __future__ import annotations

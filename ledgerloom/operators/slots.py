@@ -42,9 +42,10 @@ def tx_with_blocks(state: State) -> DataFrame:
 
 def _looked_up(state: State, items: DataFrame) -> DataFrame:
     """Items with their record (t_*) and slot (s_*), null where there is none."""
-    # Only what the batch names is read on: where the batch is small its ids are broadcast and the tables are not shuffled.
+    # Only blocks of named records are counted. The joins below keep to the batch's keys, so that Spark's runtime filters
+    # spare a large table the shuffle where the batch is small.
     ids = items.select("txid").distinct()
-    near = state.but(**{n: getattr(state, n).join(ids, "txid", "left_semi") for n in ("tx", "utxo", "block")})
+    near = state.but(**{n: getattr(state, n).join(ids, "txid", "left_semi") for n in ("block",)})
     tx = tx_with_blocks(near).select("txid", *[F.col(c).alias(f"t_{c}") for c in ("flags", "spending_height", "utxo_count", "n_blocks")])
     slot = near.utxo.select("txid", "vout", *[F.col(c).alias(f"s_{c}") for c in ("hash", "status", "spender", "vin", "cooldown")])
     return items.join(tx, "txid", "left").join(slot, ["txid", "vout"], "left")

@@ -18,7 +18,11 @@ OPS = {"purchase": "spend", "click": "unspend", "error": "freeze", "signup": "un
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/ledgerloom-checkpoints")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "/tmp/ledgerloom-checkpoints"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
