@@ -144,7 +144,7 @@ def payload_codecs(s, d):
     """Sizes and digests of every kind of batch, and what a reader makes of it."""
     out = None
     for kind in HEADERS:
-        told = _batches(s, d, kind).withColumn("read", payloads.decode(F.col("payload"), kind))
+        told = _batches(s, d, kind).select("*", F.explode(F.array(payloads.decode(F.col("payload"), kind))).alias("read"))
         one = told.select(F.lit(kind).alias("kind"), "batch", "n_items", F.length("payload").cast("long").alias("n_bytes"), F.sha2("payload", 256).alias("digest"), F.col("read.code").alias("code"), F.size("read.items").cast("long").alias("n_read"))
         out = one if out is None else out.unionByName(one)
     return out

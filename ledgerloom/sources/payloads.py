@@ -42,7 +42,9 @@ def encode(items: DataFrame, kind: str, batch: str, seq: str, header: dict[str,
     df = items.groupBy(batch).agg(rows.alias("rows")).withColumn("n_items", F.size("rows"))
     count = F.when(F.col("n_items") > C.MAX_BATCH, F.raise_error(F.lit(f"a batch has more than {C.MAX_BATCH} items")).cast("int")).otherwise(F.col("n_items"))
     body = F.unhex(F.array_join(F.transform("rows", lambda r: F.hex(r["item"])), ""))
-    return df.select(batch, F.col("n_items").cast("long").alias("n_items"), F.concat(le_bytes(count.cast("long"), 4), *[_write(header[n], w) for n, w in shared], body).alias("payload"))
+    payload = F.concat(le_bytes(count.cast("long"), 4), *[_write(header[n], w) for n, w in shared], body)
+    # Through a generator, so that a reader's many looks at the payload do not each put it together again.
+    return df.select(batch, F.col("n_items").cast("long").alias("n_items"), F.explode(F.array(payload)).alias("payload"))
 
 
 def decode(payload: Column, kind: str, most: int = C.MAX_BATCH) -> Column:
@@ -53,16 +55,18 @@ def decode(payload: Column, kind: str, most: int = C.MAX_BATCH) -> Column:
     whole = F.length(payload) >= start
     ok = F.coalesce(whole & (count <= most) & (F.length(payload) - start >= count * width), F.lit(False))
 
-    def item(i: Column) -> Column:
-        at, out = i * width + start, []
+    def item(x: Column) -> Column:
+        raw, at, out = F.unhex(x), 0, []
         for n, w in fields:
-            out.append(_read(payload, at, w).alias(n))
-            at = at + w
+            out.append(_read(raw, at, w).alias(n))
+            at += w
         return F.struct(*out)
 
-    places = F.when(ok & (count > 0), F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    # The items are cut in one pass over the digits; every look into the payload itself would copy it whole.
+    digits = F.when(ok & (count > 0), F.hex(F.substring(payload, F.lit(start + 1), (count * width).cast("int")))).otherwise("")
+    cut = F.regexp_extract_all(digits, F.lit(f"[0-9A-F]{{{2 * width}}}"), F.lit(0))
     values, at = [], 4
     for n, w in shared:
         values.append(F.when(whole, _read(payload, at, w)).alias(n))
         at += w
-    return F.struct(F.when(ok, 0).otherwise(C.ERRORS["PAYLOAD_MALFORMED"]).cast("long").alias("code"), *values, F.transform(places, item).alias("items"))
+    return F.struct(F.when(ok, 0).otherwise(C.ERRORS["PAYLOAD_MALFORMED"]).cast("long").alias("code"), *values, F.transform(cut, item).alias("items"))
