@@ -9,6 +9,7 @@ OFF = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThresh
 #: Shuffles that the planner adds for itself, by query: sums and counts at the end, and the few rows that a batch changes.
 ADDED = {
     "outcome_counters": (2, 1),
+    "spend_outcome_matrix": (2, 1),
 }
 
 
