@@ -10,6 +10,7 @@ OFF = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThresh
 ADDED = {
     "outcome_counters": (2, 1),
     "spend_outcome_matrix": (2, 1),
+    "spend_batch_state": (0, 1),
 }
 
 
