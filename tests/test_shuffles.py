@@ -11,6 +11,7 @@ ADDED = {
     "outcome_counters": (2, 1),
     "spend_outcome_matrix": (2, 1),
     "spend_batch_state": (0, 1),
+    "unspend_batch_state": (0, 1),
 }
 
 
