@@ -12,6 +12,7 @@ ADDED = {
     "spend_outcome_matrix": (2, 1),
     "spend_batch_state": (0, 1),
     "unspend_batch_state": (0, 1),
+    "spend_batch_outcomes": (0, 1),
 }
 
 
