@@ -13,6 +13,7 @@ ADDED = {
     "spend_batch_state": (0, 1),
     "unspend_batch_state": (0, 1),
     "spend_batch_outcomes": (0, 1),
+    "spend_ignoring_gates": (0, 1),
 }
 
 
