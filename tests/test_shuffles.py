@@ -14,6 +14,7 @@ ADDED = {
     "unspend_batch_state": (0, 1),
     "spend_batch_outcomes": (0, 1),
     "spend_ignoring_gates": (0, 1),
+    "unspend_batch_outcomes": (0, 1),
 }
 
 
