@@ -16,6 +16,7 @@ ADDED = {
     "spend_ignoring_gates": (0, 1),
     "unspend_batch_outcomes": (0, 1),
     "reassign_state": (0, 1),
+    "reassign_batch_outcomes": (0, 1),
 }
 
 
