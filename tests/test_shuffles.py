@@ -17,6 +17,7 @@ ADDED = {
     "unspend_batch_outcomes": (0, 1),
     "reassign_state": (0, 1),
     "reassign_batch_outcomes": (0, 1),
+    "reassign_audit": (0, 1),
 }
 
 
