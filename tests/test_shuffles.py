@@ -18,6 +18,7 @@ ADDED = {
     "reassign_state": (0, 1),
     "reassign_batch_outcomes": (0, 1),
     "reassign_audit": (0, 1),
+    "create_conflicting_children": (2, 0),
 }
 
 
