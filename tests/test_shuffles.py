@@ -19,6 +19,7 @@ ADDED = {
     "reassign_batch_outcomes": (0, 1),
     "reassign_audit": (0, 1),
     "create_conflicting_children": (2, 0),
+    "create_batch_state": (0, 0),
 }
 
 
