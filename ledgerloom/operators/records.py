@@ -84,14 +84,17 @@ def append_children(state: State, pairs: DataFrame, kind: str) -> Result:
     """Appends (parent, child) to the lists in the order of seq, each once and at most 255 a parent.
 
     Answers are a row for each parent that is offered children: n_added, n_dropped, so
-    that what a full list refuses is seen. Only the first 255 of a parent leave a task.
+    that what a full list refuses is seen. Only the first 255 of a parent leave a task,
+    and parents are looked up after that: pairs meet the lists as they lie by child or parent.
     """
-    first = pairs.groupBy("parent", "child").agg(F.min("seq").alias("seq")).withColumn("kind", F.lit(kind))
-    new = first.join(state.tx.select(F.col("txid").alias("parent")), "parent", "left_semi").join(state.children, ["parent", "child", "kind"], "left_anti")
-    have = state.children.where(F.col("kind") == kind).groupBy("parent").agg(F.count(F.lit(1)).alias("have"))
+    known = state.tx.select(F.col("txid").alias("parent"))
+    listed = state.children.where(F.col("kind") == kind).select("parent", "child")
+    new = pairs.groupBy("parent", "child").agg(F.min("seq").alias("seq")).join(listed, ["parent", "child"], "left_anti")
+    have = listed.groupBy("parent").agg(F.count(F.lit(1)).alias("have"))
     place = F.row_number().over(Window.partitionBy("parent").orderBy("seq", "child"))
-    kept = new.withColumn("place", place).where(F.col("place") <= C.MAX_CHILDREN).join(have, "parent", "left").where(F.col("place") + F.coalesce("have", F.lit(0)) <= C.MAX_CHILDREN)
-    told = new.groupBy("parent").agg(F.count(F.lit(1)).alias("n_new")).join(have, "parent", "left")
+    kept = new.withColumn("place", place).where(F.col("place") <= C.MAX_CHILDREN).join(known, "parent", "left_semi").join(have, "parent", "left")
+    kept = kept.where(F.col("place") + F.coalesce("have", F.lit(0)) <= C.MAX_CHILDREN).withColumn("kind", F.lit(kind))
+    told = new.groupBy("parent").agg(F.count(F.lit(1)).alias("n_new")).join(known, "parent", "left_semi").join(have, "parent", "left")
     added = F.least(F.col("n_new"), F.greatest(F.lit(0), F.lit(C.MAX_CHILDREN) - F.coalesce("have", F.lit(0))))
     return Result(state.but(children=state.children.unionByName(kept.select("parent", "child", "kind"))), told.select("parent", added.alias("n_added"), (F.col("n_new") - added).alias("n_dropped")))
 

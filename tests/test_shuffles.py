@@ -20,6 +20,7 @@ ADDED = {
     "reassign_audit": (0, 1),
     "create_conflicting_children": (2, 0),
     "create_batch_state": (0, 0),
+    "append_children_full": (3, 1),
 }
 
 
