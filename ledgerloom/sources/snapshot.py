@@ -13,6 +13,20 @@ from ..operators.state import State
 TABLES = ("tx", "utxo", "block", "children")
 
 
+#: A part of a table is written for so many bytes of the files that the table comes from, and so many parts at least.
+PART_BYTES, LEAST_PARTS = 32 << 20, 8
+
+
+def parts_of(df: DataFrame) -> int:
+    """Parts for a table by the size of its input files, so that what a task reads does not grow with the input."""
+    spark, size = df.sparkSession, 0
+    conf = spark._jsc.hadoopConfiguration()
+    for name in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        size += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return max(LEAST_PARTS, -(-size // PART_BYTES))
+
+
 def _keyed(df: DataFrame, name: str, parts: int) -> DataFrame:
     """Rows of one record lie together and in order, so that id filters prune row groups."""
     key = "parent" if name == "children" else "txid"
@@ -31,11 +45,12 @@ def digests(state: State) -> DataFrame:
     return out
 
 
-def write(state: State, folder: str, parts: int = 8) -> str:
+def write(state: State, folder: str, parts: int | None = None) -> str:
     """Writes a version with its manifest and points to it; readers see the old or the new one, never a part."""
     version = uuid.uuid4().hex
     for name in TABLES:
-        _keyed(getattr(state, name), name, parts).write.parquet(f"{folder}/{version}/{name}")
+        df = getattr(state, name)
+        _keyed(df, name, parts or parts_of(df)).write.parquet(f"{folder}/{version}/{name}")
     spark = state.tx.sparkSession
     digests(_open(spark, folder, version)).coalesce(1).write.parquet(f"{folder}/{version}/manifest")
     at = F.lit(version).alias("version"), F.current_timestamp().alias("written")

@@ -1,7 +1,12 @@
 """What the plans of batches shuffle, and how many parts a snapshot has: figures that must not outgrow the tables."""
 
 import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.operators.state import State
 from ledgerloom.plans.catalog import QUERIES
+from ledgerloom.sources import projection as P
+from ledgerloom.sources import snapshot
 
 DATA = "/root/testdata/sf0.001"
 OFF = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
@@ -50,3 +55,16 @@ def exchanges(spark, name):
 def test_batches_keep_the_records_partitioning(spark, name):
     added, whole = exchanges(spark, name)
     assert (added, whole) == ADDED[name]
+
+
+def test_parts_follow_the_size_of_the_input(spark, monkeypatch, tmp_path):
+    whole = P.state(spark, DATA)
+    st = State(*[getattr(whole, n).limit(50) if n != "utxo" else whole.utxo for n in snapshot.TABLES])
+    assert snapshot.parts_of(st.utxo) == snapshot.LEAST_PARTS
+    monkeypatch.setattr(snapshot, "PART_BYTES", 10_000)
+    parts = snapshot.parts_of(st.utxo)
+    assert parts > snapshot.LEAST_PARTS
+    version = snapshot.write(st, str(tmp_path))
+    assert len(list((tmp_path / version / "utxo").glob("part-*.parquet"))) == parts
+    assert snapshot.read(spark, str(tmp_path)).utxo.agg(F.count(F.lit(1))).first()[0] == whole.utxo.count()
+    assert snapshot.verify(spark, str(tmp_path)).where("NOT intact").count() == 0
