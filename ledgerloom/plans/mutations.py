@@ -251,22 +251,22 @@ def append_children(s, d):
 
 def append_children_full(s, d):
     """What full lists take and refuse: every line's part is a child of its supplier's record, in the order of lines."""
-    li = P.by_id(P.lines(s, d).select("l_orderkey", "l_suppkey", "vout"), "child", P._sha(F.concat_ws("-", "l_orderkey", "vout")))
+    li = P.by_id(P.lines(s, d).select("l_orderkey", "l_suppkey", "vout"), "child", P._sha(F.concat_ws("-", "l_orderkey", "vout")), P.parts_of(s, d))
     pairs = li.select(P._sha(F.col("l_suppkey") % 10).alias("parent"), "child", (F.col("l_orderkey") * 1000 + F.col("vout")).alias("seq"))
     r = records.append_children(P.state(s, d), pairs, "conflicting")
     last = r.state.children.where("kind = 'conflicting'").groupBy("parent").agg(F.bit_xor(F.conv(F.substring(F.hex("child"), 1, 15), 16, 10).cast("long")).alias("x"))
     return r.items.join(last, "parent").select(hex_of("parent").alias("parent"), "n_added", "n_dropped", "x")
 
 
-def _thrice(df: DataFrame, key: str) -> DataFrame:
+def _thrice(df: DataFrame, key: str, parts: int | None) -> DataFrame:
     """Rows of an order under the three requests that name it: txid and seq."""
     three = df.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("copy"))
     name = F.when(F.col("copy") == 0, F.col(key).cast("string")).otherwise(F.concat(F.lit("n"), key))
-    return P.by_id(three, "txid", P._sha(name)).withColumn("seq", (F.col(key) * 3 + F.col("copy")).cast("long"))
+    return P.by_id(three, "txid", P._sha(name), parts).withColumn("seq", (F.col(key) * 3 + F.col("copy")).cast("long"))
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
-    return _thrice(P.read(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", P._height().alias("h")), "o_orderkey")
+    return _thrice(P.read(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", P._height().alias("h")), "o_orderkey", P.parts_of(s, d))
 
 
 def create_items(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -279,7 +279,7 @@ def create_items(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("o_orderstatus") == "F", F.lit(100)).cast("long").alias("mined_block"), F.lit(1).cast("long").alias("tx_version"), zero.alias("locktime"),
         F.lit(500).cast("long").alias("fee"), F.lit(250).cast("long").alias("size_in_bytes"), zero.alias("spending_height"), F.lit(1710000000000).alias("created_at"), "copy",
     )
-    li = _thrice(P.lines(s, d).select("l_orderkey", "vout"), "l_orderkey")
+    li = _thrice(P.lines(s, d).select("l_orderkey", "vout"), "l_orderkey", P.parts_of(s, d))
     hashes = li.select("txid", "seq", "vout", P._sha(F.concat_ws(":", "l_orderkey", "vout")).alias("hash"))
     return items, hashes
 

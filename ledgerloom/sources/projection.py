@@ -25,16 +25,30 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def by_id(df: DataFrame, name: str, of: Column) -> DataFrame:
+#: Rows laid by an id get a part for so many bytes of the tables' files, so that what a task sorts stays in its memory.
+PART_BYTES = 8 << 20
+
+
+def parts_of(spark: SparkSession, sf_dir: str) -> int | None:
+    """Parts for rows laid by an id: one number for all rows of a directory, so that they meet as they lie; none where the session's own is enough."""
+    conf, size = spark._jsparkSession.sessionState().newHadoopConf(), 0
+    for name in ("orders", "lineitem"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        size += path.getFileSystem(conf).getContentSummary(path).getLength()
+    parts = -(-size // PART_BYTES)
+    return parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def by_id(df: DataFrame, name: str, of: Column, parts: int | None) -> DataFrame:
     """Rows laid by an id that is a hash of their columns, and the id. Only the columns are shuffled, the hash is made after it."""
-    return df.repartition(of).withColumn(name, of)
+    return (df.repartition(parts, of) if parts else df.repartition(of)).withColumn(name, of)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with their record (txid), place (vout), sequence number and the order's count of lines; those of a record lie together."""
     # An id that is never null needs no filter, so that all readers of the lines share one shuffle. No record has the empty one.
     own, txid = Window.partitionBy("txid"), F.coalesce(_sha(F.col("l_orderkey")), F.lit(b""))
-    return by_id(read(spark, sf_dir, "lineitem"), "txid", txid).withColumns({
+    return by_id(read(spark, sf_dir, "lineitem"), "txid", txid, parts_of(spark, sf_dir)).withColumns({
         "vout": (F.row_number().over(own.orderBy(*_LINE)) - 1).cast("long"),
         "seq": F.row_number().over(own.orderBy("l_shipdate", *_LINE)).cast("long"),
         "n": F.count(F.lit(1)).over(own),
@@ -47,9 +61,9 @@ def _height() -> Column:
 
 def state(spark: SparkSession, sf_dir: str) -> State:
     li = lines(spark, sf_dir)
-    zero = F.lit(0).cast("long")
-    o = by_id(read(spark, sf_dir, "orders").withColumn("h", _height()), "txid", _sha(F.col("o_orderkey")))
-    n = by_id(read(spark, sf_dir, "lineitem"), "txid", _sha(F.col("l_orderkey"))).groupBy("txid").agg(
+    zero, parts = F.lit(0).cast("long"), parts_of(spark, sf_dir)
+    o = by_id(read(spark, sf_dir, "orders").withColumn("h", _height()), "txid", _sha(F.col("o_orderkey")), parts)
+    n = by_id(read(spark, sf_dir, "lineitem"), "txid", _sha(F.col("l_orderkey")), parts).groupBy("txid").agg(
         F.count(F.lit(1)).alias("utxo_count"),
         F.sum(F.col("l_quantity").between(5.5, 15.5).cast("long")).alias("spent_utxos"),
         F.sum(F.col("l_quantity").between(15.6, 16.5).cast("long")).alias("pruned_utxos"),
@@ -77,7 +91,7 @@ def state(spark: SparkSession, sf_dir: str) -> State:
     block = o.where("o_orderstatus = 'F'").join(n.select("txid"), "txid", "left_semi").select(
         "txid", (F.col("h") % 7 + 100).alias("block_id"), F.col("h").alias("block_height"), zero.alias("subtree_idx")
     )
-    children = by_id(read(spark, sf_dir, "lineitem").where("l_suppkey % 10 < 2"), "parent", _sha(F.col("l_orderkey"))).select(
+    children = by_id(read(spark, sf_dir, "lineitem").where("l_suppkey % 10 < 2"), "parent", _sha(F.col("l_orderkey")), parts).select(
         "parent", _sha(F.col("l_suppkey")).alias("child"), F.when(F.col("l_suppkey") % 10 == 0, "deleted").otherwise("conflicting").alias("kind")
     ).distinct()
     return State(tx, utxo, block, children)
@@ -86,7 +100,7 @@ def state(spark: SparkSession, sf_dir: str) -> State:
 def items(spark: SparkSession, sf_dir: str, returnflag: str) -> DataFrame:
     """A batch of slot items: k (the order), txid, vout, hash, seq, spender, vin, new_hash, reserved."""
     li = lines(spark, sf_dir).where(F.col("l_returnflag") == returnflag).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_tax", "seq", "n")
-    li = by_id(li, "txid", _sha(F.when(F.col("l_tax") >= 0.075, F.concat(F.lit("u"), "l_orderkey")).otherwise(F.col("l_orderkey").cast("string"))))
+    li = by_id(li, "txid", _sha(F.when(F.col("l_tax") >= 0.075, F.concat(F.lit("u"), "l_orderkey")).otherwise(F.col("l_orderkey").cast("string"))), parts_of(spark, sf_dir))
     vout = (F.col("l_partkey") % (F.col("n") + 1)).cast("long")
     return li.select(
         F.col("l_orderkey").alias("k"), "txid", vout.alias("vout"),
@@ -101,7 +115,7 @@ def tx_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of record items, one for each order: k, txid, seq; the txid is unknown unless custkey % 3 = 1."""
     unknown = (F.col("o_custkey") % 3 != 1) | (F.col("o_orderkey") % 97 == 0)
     txid = _sha(F.when(unknown, F.concat(F.lit("u"), "o_orderkey")).otherwise(F.col("o_orderkey").cast("string")))
-    return by_id(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "txid", txid).select(
+    return by_id(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "txid", txid, parts_of(spark, sf_dir)).select(
         F.col("o_orderkey").alias("k"), "txid", F.col("o_orderkey").cast("long").alias("seq"),
     )
 

@@ -1,12 +1,14 @@
 """What the plans of batches shuffle, and how many parts a snapshot has: figures that must not outgrow the tables."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.state import State
-from ledgerloom.plans.catalog import QUERIES
+from ledgerloom.plans.catalog import ORACLES, QUERIES
 from ledgerloom.sources import projection as P
 from ledgerloom.sources import snapshot
+from test_queries import TABLES, rows
 
 DATA = "/root/testdata/sf0.001"
 OFF = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
@@ -68,3 +70,25 @@ def test_parts_follow_the_size_of_the_input(spark, monkeypatch, tmp_path):
     assert len(list((tmp_path / version / "utxo").glob("part-*.parquet"))) == parts
     assert snapshot.read(spark, str(tmp_path)).utxo.agg(F.count(F.lit(1))).first()[0] == whole.utxo.count()
     assert snapshot.verify(spark, str(tmp_path)).where("NOT intact").count() == 0
+
+
+#: Queries whose rows are laid by id in parts of a bounded size.
+LAID = ("spend_outcome_matrix",)
+
+
+@pytest.mark.parametrize("name", LAID)
+def test_parts_laid_by_id_follow_the_size_of_the_input(spark, monkeypatch, name):
+    assert P.parts_of(spark, DATA) is None
+    monkeypatch.setattr(P, "PART_BYTES", 10_000)
+    parts = P.parts_of(spark, DATA)
+    assert parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = QUERIES[name](spark, DATA)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    laid = plan.count("REPARTITION_BY_NUM")
+    assert laid and laid == plan.count(f", {parts}), REPARTITION_BY_NUM") and "REPARTITION_BY_COL" not in plan
+    assert exchanges(spark, name) == ADDED[name]
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    out = con.execute(ORACLES[name])
+    assert rows(df.columns, df.collect()) == rows([c[0] for c in out.description], out.fetchall())
