@@ -73,7 +73,7 @@ def test_parts_follow_the_size_of_the_input(spark, monkeypatch, tmp_path):
 
 
 #: Queries whose rows are laid by id in parts of a bounded size.
-LAID = ("spend_outcome_matrix", "spend_batch_state")
+LAID = ("spend_outcome_matrix", "spend_batch_state", "unspend_batch_state")
 
 
 @pytest.mark.parametrize("name", LAID)
