@@ -73,7 +73,7 @@ def test_parts_follow_the_size_of_the_input(spark, monkeypatch, tmp_path):
 
 
 #: Queries whose rows are laid by id in parts of a bounded size.
-LAID = ("spend_outcome_matrix", "spend_batch_state", "unspend_batch_state", "create_batch_state", "reassign_state", "spend_batch_outcomes", "spend_ignoring_gates", "unspend_batch_outcomes", "reassign_batch_outcomes")
+LAID = ("spend_outcome_matrix", "spend_batch_state", "unspend_batch_state", "create_batch_state", "reassign_state", "spend_batch_outcomes", "spend_ignoring_gates", "unspend_batch_outcomes", "reassign_batch_outcomes", "reassign_audit")
 
 
 @pytest.mark.parametrize("name", LAID)
