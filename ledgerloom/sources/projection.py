@@ -28,6 +28,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Rows laid by an id get a part for so many bytes of the tables' files, so that what a task sorts stays in its memory.
 PART_BYTES = 8 << 20
 
+#: A task that reads the files for such parts gets no more than this of them: with more parts than
+#: spark.shuffle.sort.bypassMergeThreshold it sorts its rows by part, in some 12 times the bytes of the file.
+SPLIT_BYTES = 32 << 20
+SPLIT_SETTING = "spark.sql.files.maxPartitionBytes"
+
 
 def parts_of(spark: SparkSession, sf_dir: str) -> int | None:
     """Parts for rows laid by an id: one number for all rows of a directory, so that they meet as they lie; none where the session's own is enough."""
@@ -36,7 +41,11 @@ def parts_of(spark: SparkSession, sf_dir: str) -> int | None:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
         size += path.getFileSystem(conf).getContentSummary(path).getLength()
     parts = -(-size // PART_BYTES)
-    return parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+    if parts <= int(spark.conf.get("spark.sql.shuffle.partitions")):
+        return None
+    if spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() > SPLIT_BYTES:
+        spark.conf.set(SPLIT_SETTING, str(SPLIT_BYTES))
+    return parts
 
 
 def by_id(df: DataFrame, name: str, of: Column, parts: int | None) -> DataFrame:

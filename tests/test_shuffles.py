@@ -1,5 +1,7 @@
 """What the plans of batches shuffle, and how many parts a snapshot has: figures that must not outgrow the tables."""
 
+import os
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +94,34 @@ def test_parts_laid_by_id_follow_the_size_of_the_input(spark, monkeypatch, name)
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     out = con.execute(ORACLES[name])
     assert rows(df.columns, df.collect()) == rows([c[0] for c in out.description], out.fetchall())
+
+
+#: Queries whose files are read in splits of a bounded size where their rows are laid in many parts.
+SPLIT = ("spend_batch_state",)
+
+
+@pytest.fixture
+def splits(spark, monkeypatch):
+    old = spark.conf.get(P.SPLIT_SETTING)
+    monkeypatch.setattr(P, "SPLIT_BYTES", 10_000)
+    yield old
+    spark.conf.set(P.SPLIT_SETTING, old)
+
+
+@pytest.mark.parametrize("name", SPLIT)
+def test_splits_read_for_many_parts_are_bounded(spark, monkeypatch, splits, name):
+    monkeypatch.setattr(P, "PART_BYTES", 10_000)
+    plan, found = [QUERIES[name](spark, DATA)._jdf.queryExecution().sparkPlan()], set()
+    while plan:
+        p = plan.pop()
+        plan += [p.children().apply(i) for i in range(p.children().size())]
+        if p.nodeName().startswith("Scan parquet") and "l_orderkey" in p.simpleString(1000):
+            found.add(p.inputRDD().getNumPartitions())
+    assert found == {-(-os.path.getsize(f"{DATA}/lineitem.parquet") // 10_000)}
+
+
+def test_splits_are_only_made_smaller_and_only_for_many_parts(spark, monkeypatch, splits):
+    assert P.parts_of(spark, DATA) is None and spark.conf.get(P.SPLIT_SETTING) == splits
+    monkeypatch.setattr(P, "PART_BYTES", 10_000)
+    spark.conf.set(P.SPLIT_SETTING, "5000")
+    assert P.parts_of(spark, DATA) and spark.conf.get(P.SPLIT_SETTING) == "5000"
