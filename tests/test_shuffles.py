@@ -97,7 +97,7 @@ def test_parts_laid_by_id_follow_the_size_of_the_input(spark, monkeypatch, name)
 
 
 #: Queries whose files are read in splits of a bounded size where their rows are laid in many parts.
-SPLIT = ("spend_batch_state", "spend_batch_outcomes", "spend_ignoring_gates", "reassign_batch_outcomes", "reassign_audit", "create_batch_state", "reassign_state", "unspend_batch_state")
+SPLIT = ("spend_batch_state", "spend_batch_outcomes", "spend_ignoring_gates", "reassign_batch_outcomes", "reassign_audit", "create_batch_state", "reassign_state", "unspend_batch_state", "unspend_batch_outcomes")
 
 
 @pytest.fixture
