@@ -25,26 +25,35 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows laid by an id get a part for so many bytes of the tables' files, so that what a task sorts stays in its memory.
-PART_BYTES = 8 << 20
+#: Rows laid by an id get a part for so many bytes of the tables' files, and for so many of their rows (files that
+#: compress well hold more of them), so that what a task sorts stays in its memory.
+PART_BYTES, PART_ROWS = 8 << 20, 1 << 19
 
 #: A task that reads the files for such parts gets no more than this of them: with more parts than
-#: spark.shuffle.sort.bypassMergeThreshold it sorts its rows by part, in some 12 times the bytes of the file.
-SPLIT_BYTES = 32 << 20
+#: spark.shuffle.sort.bypassMergeThreshold it sorts its rows by part, in some 12 times the bytes of a file of plain rows.
+SPLIT_BYTES, SPLIT_ROWS = 32 << 20, 1 << 21
 SPLIT_SETTING = "spark.sql.files.maxPartitionBytes"
 
+#: Rows of tables by path, bytes and time of change.
+_counted: dict[tuple[str, int, int], int] = {}
+
 
 def parts_of(spark: SparkSession, sf_dir: str) -> int | None:
     """Parts for rows laid by an id: one number for all rows of a directory, so that they meet as they lie; none where the session's own is enough."""
-    conf, size = spark._jsparkSession.sessionState().newHadoopConf(), 0
+    conf, size, rows = spark._jsparkSession.sessionState().newHadoopConf(), 0, 0
     for name in ("orders", "lineitem"):
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-        size += path.getFileSystem(conf).getContentSummary(path).getLength()
-    parts = -(-size // PART_BYTES)
+        fs = path.getFileSystem(conf)
+        key = (f"{sf_dir}/{name}", fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime())
+        if key not in _counted:
+            _counted[key] = read(spark, sf_dir, name).count()  # of the files' footers
+        size, rows = size + key[1], rows + _counted[key]
+    parts = max(-(-size // PART_BYTES), -(-rows // PART_ROWS))
     if parts <= int(spark.conf.get("spark.sql.shuffle.partitions")):
         return None
-    if spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() > SPLIT_BYTES:
-        spark.conf.set(SPLIT_SETTING, str(SPLIT_BYTES))
+    split = min(SPLIT_BYTES, max(1, size * SPLIT_ROWS // max(1, rows)))
+    if spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() > split:
+        spark.conf.set(SPLIT_SETTING, str(split))
     return parts
 
 

@@ -125,3 +125,34 @@ def test_splits_are_only_made_smaller_and_only_for_many_parts(spark, monkeypatch
     monkeypatch.setattr(P, "PART_BYTES", 10_000)
     spark.conf.set(P.SPLIT_SETTING, "5000")
     assert P.parts_of(spark, DATA) and spark.conf.get(P.SPLIT_SETTING) == "5000"
+
+
+#: Queries whose rows are laid by id in parts of a bounded number of rows, however few bytes the files have.
+COUNTED = ("unspend_batch_state",)
+
+
+@pytest.mark.parametrize("name", COUNTED)
+def test_parts_laid_by_id_follow_the_rows_of_files_that_compress_well(spark, monkeypatch, splits, name):
+    monkeypatch.setattr(P, "PART_ROWS", 1000, raising=False)
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    n = con.execute("select (select count(*) from orders) + (select count(*) from lineitem)").fetchone()[0]
+    parts = -(-n // 1000)
+    assert parts > int(spark.conf.get("spark.sql.shuffle.partitions")) and os.path.getsize(f"{DATA}/lineitem.parquet") < P.PART_BYTES
+    df = QUERIES[name](spark, DATA)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    laid = plan.count("REPARTITION_BY_NUM")
+    assert laid and laid == plan.count(f", {parts}), REPARTITION_BY_NUM") and "REPARTITION_BY_COL" not in plan
+    assert exchanges(spark, name) == ADDED[name]
+    out = con.execute(ORACLES[name])
+    assert rows(df.columns, df.collect()) == rows([c[0] for c in out.description], out.fetchall())
+
+
+def test_splits_read_for_many_parts_are_bounded_in_rows(spark, monkeypatch, splits):
+    monkeypatch.setattr(P, "PART_ROWS", 1000, raising=False)
+    monkeypatch.setattr(P, "SPLIT_ROWS", 100, raising=False)
+    P.parts_of(spark, DATA)
+    size = sum(os.path.getsize(f"{DATA}/{t}.parquet") for t in ("orders", "lineitem"))
+    n = sum(P.read(spark, DATA, t).count() for t in ("orders", "lineitem"))
+    assert int(spark.conf.get(P.SPLIT_SETTING)) == size * 100 // n < 10_000
