@@ -128,7 +128,7 @@ def test_splits_are_only_made_smaller_and_only_for_many_parts(spark, monkeypatch
 
 
 #: Queries whose rows are laid by id in parts of a bounded number of rows, however few bytes the files have.
-COUNTED = ("unspend_batch_state", "spend_batch_outcomes", "create_batch_state", "unspend_batch_outcomes", "reassign_state", "spend_ignoring_gates", "reassign_batch_outcomes")
+COUNTED = ("unspend_batch_state", "spend_batch_outcomes", "create_batch_state", "unspend_batch_outcomes", "reassign_state", "spend_ignoring_gates", "reassign_batch_outcomes", "reassign_audit")
 
 
 @pytest.mark.parametrize("name", COUNTED)
